@@ -93,7 +93,7 @@ def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH c AS (
-  SELECT vec_id, list_transform(generate_series(1, 64), i -> CASE WHEN embedding[i] > 0 THEN '1' ELSE '0' END) AS bits FROM embeddings),
+  SELECT vec_id, list_transform(generate_series(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN '1' ELSE '0' END) AS bits FROM embeddings),
 s AS (SELECT vec_id, CAST(array_to_string(bits, '') AS BIT) AS code FROM c),
 d AS (
   SELECT q.vec_id AS query_id, b.vec_id AS id, CAST(bit_count(xor(q.code, b.code)) AS INT) AS distance
