@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from planweave.llm import chat, hamming, mixing, packing, pii, quality, token_file
+from planweave.llm import chat, hamming, mixing, near_dup, packing, pii, quality, repeats, token_file, toxicity
 
-_MODULES = (token_file, quality, mixing, pii, hamming, packing, chat)
+_MODULES = (token_file, quality, near_dup, toxicity, mixing, pii, hamming, repeats, packing, chat)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
