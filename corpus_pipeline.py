@@ -1,10 +1,68 @@
-"""A corpus in five stages: quality rules, near duplicates, personal data, source mix, packing."""
+"""A training corpus in five stages: quality rules, near duplicates, personal data, source mix, packing.
+
+Each stage takes the documents that the one before kept and returns documents of the same columns; the last returns packed pieces. Between
+stages they are written as Parquet to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planweave.llm.common import documents, n_words, stored
+from planweave.llm.mixing import mix_sources
+from planweave.llm.near_dup import near_duplicates, without
+from planweave.llm.packing import cut_pieces, pack_pieces
+from planweave.llm.pii import find_pii
+from planweave.llm.quality import quality_rules
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules(docs).where("kept").select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near duplicates (5-word shingles, similarity 0.8)."""
+    found = stored(near_duplicates(docs), "near-duplicates")
+    return without(docs, found.where("NOT kept").select("doc_id").distinct(), "doc_id")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; ``n_chars`` follows."""
+    text = F.col("pii_redacted")
+    cleaned = find_pii(docs, redact=True).withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast("long")).withColumn("text", text)
+    return cleaned.select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the source mix takes it, also no time."""
+    mixed = mix_sources(docs.withColumn("size", n_words(F.col("text"))))
+    taken = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens: where each piece of each document lies."""
+    pieces = cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_pieces(stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("near duplicates", keep_one_of_each),
+    ("personal data", redact),
+    ("source mix", mix),
+    ("packing", pack),
+]
+#: No SQL: the first stage already rests on compression, the last on a tokenizer. Tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table of ``sf_dir``."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

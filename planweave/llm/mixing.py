@@ -56,9 +56,10 @@ def mix_sources(
     seed: str = SEED,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """How often the mix takes each document: ``doc_id, source, size, source_size, target, copies``, one row per input row.
+    """How often the mix takes each document: adds ``source_size, target, copies``, one row per input row.
 
-    In: ``doc_id, source, size``. A document's expected copies are target / source size of its source. Within a source the
+    In: ``doc_id, source, size`` and any other columns, which stay (but those named like a result or like this operator's own, with a
+    leading underscore, are replaced). A document's expected copies are target / source size of its source. Within a source the
     documents stand in a fixed order, the expected copies are summed up along it from one random offset per source, and a document
     is emitted once for every integer that its part of the sum crosses. So each document gets the floor or the ceiling of its
     expectation, and as the order goes by size within shards, the words that a source gives stay close to its target.
@@ -69,7 +70,9 @@ def mix_sources(
     Null sources are one source; a null size counts as 0 and a null doc_id as an empty one. Rows that repeat are separate documents.
     A source without words has target 0 and no copies. An empty table gives an empty result. Reruns agree.
     """
-    docs = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
+    own = ("source_size", "target", "copies", "_source", "_n", "_shards", "_offset", "_rate", "_hash", "_shard", "_rank", "_s", "_k", "_before")
+    docs = docs.drop(*own).withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long"))
+    names = docs.columns
     per_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     named = F.concat(F.lit(seed + "|"), F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
     targets = (
@@ -95,7 +98,7 @@ def mix_sources(
     summed = ranked.join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_k")))
     upto = F.floor((F.col("_before") + F.col("_rank")) * F.col("_rate") + F.col("_offset"))
     prior = F.floor((F.col("_before") + F.col("_rank") - 1) * F.col("_rate") + F.col("_offset"))
-    return summed.select("doc_id", "source", "size", "source_size", "target", (upto - prior).cast("long").alias("copies"))
+    return summed.select(*names, "source_size", "target", (upto - prior).cast("long").alias("copies"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

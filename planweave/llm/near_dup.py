@@ -93,6 +93,11 @@ def restricted(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_semi")
 
 
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not among ``ids``; a null key never is."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_anti")
+
+
 def rare_values(sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame:
     """Inverted lists: ``value, node, n``, for the rarest sketch values of every set only, and only values of at least two such sets.
 

@@ -1,0 +1,57 @@
+import re
+
+from planweave.llm.pii import find_pii, find_spans, luhn, mod97
+
+# The base patterns as the data contract states them.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_base(t):
+    out = [("email", m.start(), m.end()) for m in EMAIL.finditer(t)]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(t):
+        d = re.sub(r"\D", "", m[0])
+        total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d)))
+        if 16 <= len(d) <= 19 and total % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    out += [("phone", m.start(), m.end()) for m in PHONE.finditer(t) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
+    return out
+
+
+CASES = [
+    "mail a.b+c@x-y.example.com, @no.host or a@b or é@x.yz a@b.c@d.e a@b.c.d@e.f. x@y..z",
+    "1.2.3.4 256.1.1.1 1.2.3 1.2.3.4.5.6.7.8 001.002.003.255 9.9.9.0000000",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112 and 41111111111111110000 4111  1111 1111 1111 6304000000000000000",
+    "+49 (0)30 123456 +1 +1-2 +12345678 +1234567890123456 +1(2)3.4-5 67 8 9 ++49 30 123 45 67 +",
+    "IBAN DE89 3704 0044 0532 0130 00, bad DE89 3704 0044 0532 0130 01; GB82WEST12345698765432",
+    "ssn 123-45-6789, 123-45-6789 000-12-3456 social security 219-09-9999",
+    "card 378282246310005 alone: 378282246310005 order 378282246310005",
+    "", "😀 a@b.cd 😀 1.2.3.4",
+]
+
+
+def test_base_spans_equal_the_patterns(spark):
+    texts = CASES + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in texts:
+        assert [s[:3] for s in find_spans(t) if s[4]] == brute_base(t), t
+
+
+def test_added_kinds():
+    kinds = lambda t: [(s[0], t[s[1] : s[2]]) for s in find_spans(t) if not s[4]]
+    assert kinds(CASES[4]) == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")]
+    assert ("ssn", "123-45-6789") in kinds("my ssn 123-45-6789")
+    assert kinds("nothing 123-45-6789 around") == []
+    assert kinds("card 378282246310005") == [("card", "378282246310005")]
+    assert luhn("4111111111111111") and not luhn("4111111111111112") and mod97("DE89370400440532013000")
+
+
+def test_rows(spark):
+    rows = [(1, None, "k"), (2, "", "k"), (None, "a@b.cd", "k"), (3, "a@b.cd", "k"), (3, "a@b.cd", "k"), (4, "x 1.2.3.4 y" * 3000, "k")]
+    got = find_pii(spark.createDataFrame(rows, "doc_id long, text string, kind string"), redact=True).collect()
+    assert len(got) == 6 and {r.kind for r in got} == {"k"}
+    assert sorted(len(r.pii_spans) for r in got) == [0, 0, 1, 1, 1, 3000]
+    assert {r.pii_redacted for r in got if r.doc_id in (1, 2, 3)} == {None, "", "<email>"}
+    assert find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
