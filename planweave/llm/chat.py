@@ -101,7 +101,7 @@ def op10_format_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RENDER = "'<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)"
 OP10_SQL = f"""
 WITH a AS (
-  SELECT conv_id, min(turn) AS t0, max(turn) AS t1, arg_min(text, turn) AS x0, arg_max(text, turn) AS x1
+  SELECT conv_id, min(turn) AS t0, max(turn) AS t1, arg_min_null(text, turn) AS x0, arg_max_null(text, turn) AS x1
   FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 s AS (
   SELECT a.conv_id, CASE WHEN a.conv_id % 3 = 0 THEN a.t0 ELSE a.t1 END AS at, CASE WHEN a.conv_id % 3 = 0 THEN b.x0 ELSE b.x1 END AS new
