@@ -1 +1 @@
-
+"""Plans and registered queries."""

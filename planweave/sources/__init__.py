@@ -1 +1 @@
-
+"""Where records come from."""

@@ -1 +1 @@
-
+"""Empty on purpose: nothing that this library rebuilds is a stream."""
