@@ -13,6 +13,8 @@ from planweave.llm.common import stored
 
 K = 10
 BITS = 64
+#: Values per segment up to which radii are searched in one first step.
+FIRST_VALUES = 200
 
 
 def sign_codes(vectors: DataFrame, bits: int = BITS) -> DataFrame:
@@ -39,10 +41,11 @@ def hamming_top_k(base: DataFrame, queries: DataFrame, k: int = K, bits: int = B
     """The k nearest base rows of every query: ``query_id, id, distance, rank``, by Hamming distance, then id. Exact.
 
     Both tables: ``id, code`` (long). Base rows with one code are one entry with their k smallest ids, which is all that a top-k list can
-    take. Codes are cut into m segments, m so that a segment has about as many values as there are codes. Round r looks up, for every open query, all
-    segment values at distance r. After it every code within m*(r+1)-1 bits has been seen, since a code further away in every segment is
-    further than that in all; a query is done once its kth verified distance is within that bound. Queries with fewer than k base rows end
-    with the last round. Null ids or codes are left out; queries that repeat an id with another code are not expected.
+    take. Codes are cut into m segments, m so that a segment has about as many values as there are codes. A step looks up, for every open query, the values
+    of one segment at distance r; then comes the next segment, and after the last one r grows. Once segments 0 to s are searched up to r and the others up to
+    r-1, every code within m*r+s bits has been seen, since any other is further away than that in all segments together; a query is done once its kth
+    verified distance is within that bound. The first steps, of few values, are taken together. Queries with fewer than k base rows end
+    with the last step. Null ids or codes are left out; queries that repeat an id with another code are not expected.
     """
     spark = base.sparkSession
     base = base.where("id IS NOT NULL AND code IS NOT NULL")
@@ -58,9 +61,12 @@ def hamming_top_k(base: DataFrame, queries: DataFrame, k: int = K, bits: int = B
     best = spark.createDataFrame([], "query_id long, distance int, id long, copy int")
     by_rank = W.partitionBy("query_id").orderBy("distance", "id", "copy")
     done = []
-    for r in range(widest + 1):
-        widths = [bits // m + (s < bits % m) for s in range(m)]
-        rows = [(s, sum(1 << b for b in c)) for s, w in enumerate(widths) if r <= w for c in combinations(range(w), r)]
+    widths = [bits // m + (s < bits % m) for s in range(m)]
+    together = max(r for r in range(widest + 1) if r == 0 or sum(math.comb(widest, i) for i in range(r + 1)) <= FIRST_VALUES)
+    steps = [(together, m - 1, [(s, r) for r in range(together + 1) for s in range(m)])]
+    steps += [(r, s, [(s, r)]) for r in range(together + 1, widest + 1) for s in range(m)]
+    for number, (r, last, looked_up) in enumerate(steps):
+        rows = [(s, sum(1 << b for b in c)) for s, d in looked_up if d <= widths[s] for c in combinations(range(widths[s]), d)]
         masks = spark.createDataFrame(rows, "seg int, mask long")
         probes = open_.select("*", F.explode(_segments(F.col("query_code"), bits, m)).alias("s")).join(masks.withColumnRenamed("seg", "_seg"), F.col("s.seg") == F.col("_seg"))
         probes = probes.select("query_id", "query_code", F.col("s.seg").alias("seg"), F.col("s.val").bitwiseXOR(F.col("mask")).alias("val"))
@@ -68,14 +74,14 @@ def hamming_top_k(base: DataFrame, queries: DataFrame, k: int = K, bits: int = B
         seen = met.groupBy("query_id", "code").agg(F.first("distance").alias("distance"), F.first("ids").alias("ids"))
         new = seen.select("query_id", "distance", F.posexplode("ids").alias("copy", "id")).select("query_id", "distance", "id", "copy")
         merged = best.unionByName(new).dropDuplicates(["query_id", "distance", "id", "copy"])
-        best = stored(merged.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k), f"top-{r}")
+        best = stored(merged.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k), f"top-{number}")
         kth = best.where(F.col("rank") == k).select("query_id", F.col("distance").alias("_kth"))
-        covered = open_.join(kth.where(F.col("_kth") <= m * (r + 1) - 1), "query_id", "left_semi").select("query_id")
-        if r == widest:
+        covered = open_.join(kth.where(F.col("_kth") <= m * r + last), "query_id", "left_semi").select("query_id")
+        if number == len(steps) - 1:
             done.append(best)
             break
         done.append(best.join(covered, "query_id", "left_semi"))
-        open_ = stored(open_.join(covered, "query_id", "left_anti"), f"open-{r}")
+        open_ = stored(open_.join(covered, "query_id", "left_anti"), f"open-{number}")
         best = best.join(covered, "query_id", "left_anti").drop("rank")
         if open_.isEmpty():
             break
