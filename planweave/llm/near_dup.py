@@ -20,7 +20,7 @@ PERCENT = 80
 #: Values of a sketch. Two sets at the threshold share about 77 of them; fewer than SHARED is an event of less than 1e-8.
 K, SHARED = 96, 52
 #: Lists of up to so many sets give all their pairs; longer ones are compared with pivots, in rounds.
-SHORT_LIST = 8
+SHORT_LIST = 16
 #: Rows up to which a list of ids may be broadcast (16 MB); longer ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -99,7 +99,7 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def rare_values(sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame:
-    """Inverted lists: ``value, node, n``, for the rarest sketch values of every set only, and only values of at least two such sets.
+    """Inverted lists: ``value, node, n, m`` (set size, and how many values the set has from this one on, among those that others have too), for the rarest sketch values of every set only, and only values of at least two such sets.
 
     Sets that are linked share at least s values of their sketches. In any order that is the same for all sets, they then share one among
     each one's first (size - s + 1) values. With rare values first, common lines and passages stay out of the lists.
@@ -110,14 +110,15 @@ def rare_values(sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame
     least = F.greatest(F.lit(1), F.when(F.col("n") > k, F.lit(shared)).otherwise(whole))
     mine = seen.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
     first = (F.least("n", F.lit(k)) - least + 1 - (F.least("n", F.lit(k)) - F.size("values"))).cast("int")
-    prefix = mine.where(first > 0).select("node", "n", F.explode(F.slice("values", F.lit(1), first)).alias("v")).select("v.value", "node", "n")
+    prefix = mine.where(first > 0).select("node", "n", F.size("values").alias("s"), F.posexplode(F.slice("values", F.lit(1), first)).alias("i", "v"))
+    prefix = prefix.select("v.value", "node", "n", (F.col("s") - F.col("i")).cast("long").alias("m"))
     return prefix.withColumn("listed", F.count("*").over(by_value)).where("listed > 1").drop("listed")
 
 
 def verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame:
     """The pairs (``a, b``) that are linked. The union of both sketches estimates their similarity first; full sets decide."""
     side = lambda df, n: df.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in df.columns if c != "node"))
-    both = pairs.join(side(sketch, "a"), "a").join(side(sketch, "b"), "b")
+    both = stored(pairs.distinct(), "pairs").join(side(sketch, "a"), "a").join(side(sketch, "b"), "b")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
     small = (F.col("n_a") <= k) & (F.col("n_b") <= k) & (F.size(F.array_union("sketch_a", "sketch_b")) <= k)
@@ -152,41 +153,57 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(lists: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame:
     """Enough links (``a, b``) to connect all sets that are linked: pairs that are connected already need no check.
 
-    Short lists give all their pairs. In a long list, pivots (the smallest nodes of some hash buckets) meet all its members; then pairs
-    within one component are settled, pivots leave the list, and what is still open goes on with twice as many pivots. So a list of copies
-    of one text costs as many pairs as it has members, and no pair is given up.
+    Short lists give all their pairs. The sets of long lists get lists anew, from their full sets: what is linked shares one of the rarest
+    fifth of its values, so sets that have just a common passage part here. There, if a value is the rarest that two sets share, they share
+    no more than what comes after it in either; where that is too little for a link, the pair is left out, and a set leaves the lists in which it is too little for any. Lists that are still long have pivots (the smallest nodes of some hash
+    buckets) that meet all members; then pairs within one component are settled, pivots leave the list, and what is open goes on with
+    more pivots. So a list of copies of one text costs as many pairs as it has members, and no pair is given up.
     """
-    near = lambda df: df.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b")))
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, comp, pivots = None, None, 1
+    sized = stored(lists.join(lists.groupBy("value").agg(F.count("*").alias("listed")), "value"), "sized-lists")
+    short, long = sized.where(F.col("listed") <= SHORT_LIST), sized.where(F.col("listed") > SHORT_LIST)
+    whole = lambda df: df.withColumn("m", F.col("n")).withColumn("c", F.col("node"))  # sketches do not bound what full sets share
+    links = stored(verified(_all_pairs(whole(short), percent), sketch, sets, percent, k, shared), "links")
+    dense = stored(long.select("node").distinct(), "dense")
+    if dense.isEmpty():
+        return links
+    full = restricted(sets, dense, "node").select("node", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("sketch"))
+    lists = stored(rare_values(full, percent, 1 << 40, 0), "dense-lists")
+    lists = lists.withColumn("c", F.col("node"))
+    pivots = 1
     while True:
-        counts = stored(lists.groupBy("value").agg(F.count("*").alias("listed")), "list-sizes")
-        sized = lists.join(counts, "value")
-        member = sized.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), *([F.col("comp").alias("cb")] if comp is not None else []), "listed")
-        short = member.where(F.col("listed") <= SHORT_LIST)
-        mirror = short.select("value", F.col("b").alias("a"), F.col("nb").alias("na"), *([F.col("cb").alias("ca")] if comp is not None else []))
-        chosen = sized.where(F.col("listed") > SHORT_LIST)
+        smallest = lists.join(lists.groupBy("value").agg(F.min("n").alias("least")), "value")
+        able = F.col("m") * (100 + percent) >= percent * (F.col("n") + F.greatest("least", F.col("n") * percent / 100))
+        lists = stored(smallest.where(able).drop("least"), "able")
+        sized = stored(lists.join(lists.groupBy("value").agg(F.count("*").alias("listed")), "value"), "sized-lists")
+        short, long = sized.where(F.col("listed") <= SHORT_LIST), sized.where(F.col("listed") > SHORT_LIST)
         bucket = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        what = F.struct("node", "n", *(["comp"] if comp is not None else []))
-        heads = stored(chosen.groupBy("value", bucket.alias("bucket")).agg(F.min(what).alias("p")).select("value", F.col("p.node").alias("a"), F.col("p.n").alias("na"), *([F.col("p.comp").alias("ca")] if comp is not None else [])), "pivots")
-        long = member.where(F.col("listed") > SHORT_LIST)
-        pairs = short.join(mirror, "value").where("a < b").drop("listed").unionByName(long.join(heads, "value").drop("listed"))
-        if comp is not None:
-            pairs = pairs.where("ca <> cb")
-        new = stored(verified(stored(ordered(near(pairs)), "pairs"), sketch, sets, percent, k, shared), "links")
-        links = new if links is None else links.unionByName(new)
-        open_ = lists.select("value", "node", "n").join(counts.where(F.col("listed") > SHORT_LIST).select("value"), "value", "left_semi")
-        open_ = stored(open_.join(heads.select("value", F.col("a").alias("node")), ["value", "node"], "left_anti"), "open-lists")
+        heads = stored(long.groupBy("value", bucket.alias("bucket")).agg(F.min(F.struct("node", "n", "m", "c")).alias("p")).select("value", "p.*"), "pivots")
+        pairs = _all_pairs(short, percent).unionByName(_pairs(heads, long, F.lit(True), percent))
+        links = links.unionByName(stored(verified(pairs, sketch, sets, percent, k, shared), "links"))
+        open_ = stored(long.drop("listed", "c").join(heads.select("value", "node"), ["value", "node"], "left_anti"), "open-lists")
         if open_.isEmpty():
             return links
         comp = components(links)
-        labelled = open_.join(comp, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("comp"))
-        labelled = stored(labelled, "labelled")
-        mixed = labelled.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
-        lists = stored(labelled.join(stored(mixed, "mixed"), "value", "left_semi"), "lists")
+        labelled = stored(open_.join(comp, "node", "left").select("value", "node", "n", "m", F.coalesce("component", "node").alias("c")), "labelled")
+        mixed = stored(labelled.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("value"), "mixed")
+        lists = stored(labelled.join(mixed, "value", "left_semi"), "lists")
         if lists.isEmpty():
             return links
-        pivots = 2 * pivots if pivots > 1 else 4
+        pivots *= 16
+
+
+def _pairs(one: DataFrame, two: DataFrame, which, percent: int) -> DataFrame:
+    """Pairs ``a, b`` (ascending) of rows of two tables of lists, of different components, whose sizes and remaining values allow a link."""
+    side = lambda df, x: df.select("value", *(F.col(c).alias(c + x) for c in ("node", "n", "m", "c")))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    values = F.least("ma", "mb") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    met = side(one, "a").join(side(two, "b"), "value").where(which & (F.col("ca") != F.col("cb")) & sizes & values)
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
+
+
+def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of lists that are known to be short."""
+    return _pairs(lists, lists, F.col("nodea") < F.col("nodeb"), percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, k: int = K, shared: int = SHARED) -> DataFrame:
