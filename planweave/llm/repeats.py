@@ -45,11 +45,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``gram, ctx, doc, at``: one row per run of windows with one anchor.
+    """``gram, ctx, doc, at, again``: one row per run of windows with one anchor.
 
-    ``ctx`` is a hash of the context's bytes; ``at`` packs first window (upper 32 bits), tag (16), number of windows (8), anchor (8).
+    ``ctx`` is a hash of the context's bytes; ``at`` packs first window (upper 32 bits), tag (16), number of windows (8), anchor (8). ``again`` is 1
+    where the same context stands earlier in the same batch, so just one row per batch has to meet the others of its gram.
     """
-    kinds = _LONGS("gram", "ctx", "doc", "at")
+    kinds = _LONGS("gram", "ctx", "doc", "at", "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,29 +61,35 @@ def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             ends = (first + count + window - 1).tolist()
             ctx = [digest(texts[n][a:b], k) for n, a, b, k in zip(number.tolist(), first.tolist(), ends, behind.tolist(), strict=True)]
             at = (first << 32) | (tag[number] << 16) | (count << 8) | behind
-            yield _batch(kinds, gram.view(np.int64), np.array(ctx, np.uint64).view(np.int64), doc[number], at)
+            gram, ctx, doc = gram.view(np.int64), np.array(ctx, np.uint64).view(np.int64), doc[number]
+            order = np.lexsort((at, doc, ctx, gram))
+            gram, ctx, doc, at = gram[order], ctx[order], doc[order], at[order]
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (ctx[1:] != ctx[:-1])
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            yield _batch(kinds, gram, ctx, doc, at, ((doc != doc[head]) | (at != at[head])).astype(np.int64))
 
-    return _keyed(docs).mapInArrow(run, "gram long, ctx long, doc long, at long")
+    return _keyed(docs).mapInArrow(run, "gram long, ctx long, doc long, at long, again long")
 
 
 def judged(occ: DataFrame, most: int) -> DataFrame:
     """``kind, gram, doc, at`` of the runs that matter: 0 repeats an equal context; 1 and 2 are the first of one of several contexts of an anchor (2: more than ``most``)."""
-    per_gram, per_ctx = W.partitionBy("gram"), W.partitionBy("gram", "ctx").orderBy("doc", "at")
-    start = F.shiftright("at", 32)
-    dealt = occ.repartition("gram").sortWithinPartitions("gram", "ctx", "doc", "at")
+    mark = F.col("again") == 1
+    dealt = occ.withColumn("route", F.when(mark, F.col("doc")).otherwise(F.col("gram"))).repartition("again", "route")
+    per_gram, per_ctx = W.partitionBy("again", "route"), W.partitionBy("again", "route", "ctx").orderBy("doc", "at")
     seen = (
-        dealt.withColumn("several", F.min("ctx").over(per_gram) != F.max("ctx").over(per_gram))
-        .withColumn("before", F.first(F.struct("doc", start)).over(per_ctx))
-        .withColumn("again", F.col("before") != F.struct("doc", start))
+        dealt.sortWithinPartitions("again", "route", "ctx", "doc", "at")
+        .withColumn("several", F.min("ctx").over(per_gram) != F.max("ctx").over(per_gram))
+        .withColumn("repeats", F.first(F.struct("doc", "at")).over(per_ctx) != F.struct("doc", "at"))
         .withColumn("contexts", F.sum((F.row_number().over(per_ctx) == 1).cast("int")).over(per_gram))
     )
-    kind = F.when(F.col("again"), 0).when(F.col("several"), F.when(F.col("contexts") > most, 2).otherwise(1))
+    kind = F.when(mark | F.col("repeats"), 0).when(F.col("several"), F.when(F.col("contexts") > most, 2).otherwise(1))
     return seen.select(kind.alias("kind"), "gram", "doc", "at").where("kind IS NOT NULL")
 
 
 def contexts(docs: DataFrame, need: DataFrame, window: int) -> DataFrame:
-    """``gram, doc, at, bytes, key`` for the runs in ``need`` (kind 1 and 2): bytes of a context, or for kind 2 one row per window with its hash as key."""
-    kinds = _LONGS("gram", "doc", "at") | {"bytes": pa.binary(), "key": pa.int64()}
+    """``gram, doc, at, bytes, window, key`` for the runs in ``need`` (kind 1 and 2): bytes of a context, or for kind 2 one row per window with its hash as key."""
+    kinds = _LONGS("gram", "doc", "at") | {"bytes": pa.binary(), "window": pa.int64(), "key": pa.int64()}
     tag = F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF))
     lists = need.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("kind", "gram", "at")).alias("runs"))
 
@@ -94,11 +101,11 @@ def contexts(docs: DataFrame, need: DataFrame, window: int) -> DataFrame:
                 for r in runs:
                     first, count = r["at"] >> 32, r["at"] >> 8 & 0xFF
                     if r["kind"] == 1:
-                        rows.append((r["gram"], doc, r["at"], data[first : first + count + window - 1], None))
+                        rows.append((r["gram"], doc, r["at"], data[first : first + count + window - 1], None, None))
                     else:
                         for p in range(first, first + count):
                             key = xxhash.xxh3_64_intdigest(data[p : p + window], p - first - (r["at"] & 0xFF) & 0xFF)
-                            rows.append((r["gram"], doc, p << 32 | r["at"] & 0xFFFF0000, None, key - (1 << 64) * (key >> 63)))
+                            rows.append((r["gram"], doc, r["at"], None, p, key - (1 << 64) * (key >> 63)))
                 if len(rows) >= 20_000:
                     yield _batch(kinds, *zip(*rows, strict=True))
                     rows = []
@@ -106,7 +113,7 @@ def contexts(docs: DataFrame, need: DataFrame, window: int) -> DataFrame:
                 yield _batch(kinds, *zip(*rows, strict=True))
 
     met = _keyed(docs).join(lists, ["doc", "tag"]).select("doc", "text", "runs")
-    return met.mapInArrow(run, "gram long, doc long, at long, bytes binary, key long")
+    return met.mapInArrow(run, "gram long, doc long, at long, bytes binary, window long, key long")
 
 
 def _promising(groups: list[list[tuple[int, int, bytes]]], window: int) -> list[list[tuple[int, int, bytes]]]:
@@ -170,8 +177,8 @@ def sorted_repeats(groups: list[list[tuple[int, int, bytes]]], window: int) -> t
     from_ = np.searchsorted(begin, earliest, side="right") - 1
     place = first[which] + w - begin[which]
     other = first[from_] + earliest - begin[from_]
-    again = (doc[which] != doc[from_]) | (place != other)
     tag = np.array([c[1] >> 16 & 0xFFFF for c in flat], np.int64)
+    again = (doc[which] != doc[from_]) | (place != other) | (tag[which] != tag[from_])
     return doc[which][again], tag[which][again], place[again]
 
 
@@ -207,24 +214,36 @@ def sort_contexts(rows: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, tag long, first long, count long")
 
 
+def _pieces(first: int, count: int, but: list[int] | None) -> Iterator[tuple[int, int]]:
+    """A run of windows without some of them, as shorter runs."""
+    for stop in [*sorted(but or ()), first + count]:
+        if stop > first:
+            yield first, stop - first
+        count -= stop + 1 - first
+        first = stop + 1
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, most: int = SORTED_CONTEXTS) -> DataFrame:
     """``doc_id, n_bytes, removed (array of start, end), kept (binary)``, one row per input row (``doc_id, text`` and any other columns).
 
     Removed is each UTF-8 byte that lies in a string of ``window`` bytes that also starts earlier: in a document of smaller doc_id, or earlier in the
-    same one; all strings are judged on the input. Null texts are empty; null doc_ids come first. Rows that repeat a doc_id are one document, so
-    of two equal strings at equal places in them neither is earlier. An empty table gives an empty result.
+    same one; all strings are judged on the input. Null texts are empty; null doc_ids come first. Rows that
+    repeat a doc_id and its text are one document, whose strings are not earlier than themselves; of rows that repeat a doc_id with other text, the order is
+    by start, then by a hash of the text. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
     found = stored(judged(occurrences(docs, window), most), "runs")
     tag = F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF))
-    equal = found.where("kind = 0").select("doc", tag.alias("tag"), F.shiftright("at", 32).alias("first"), F.shiftright("at", 8).bitwiseAND(F.lit(0xFF)).alias("count"))
+    fields = [tag.alias("tag"), F.shiftright("at", 32).alias("first"), F.shiftright("at", 8).bitwiseAND(F.lit(0xFF)).alias("count")]
+    none = F.lit(None).cast("array<long>").alias("but")
+    equal = found.where("kind = 0").select("doc", *fields, none)
     rows = stored(contexts(docs, found.where("kind > 0"), window), "contexts")
-    by_sort = sort_contexts(rows.where("key IS NULL"), window)
-    many = rows.where("key IS NOT NULL").select("gram", "key", "doc", tag.alias("tag"), F.shiftright("at", 32).alias("first"))
-    heads = stored(many.groupBy("gram", "key").agg(F.min(F.struct("doc", "first")).alias("head")), "earliest")
-    by_hash = many.join(heads, ["gram", "key"]).where("struct(doc, first) <> head").select("doc", "tag", "first", F.lit(1).cast("long").alias("count"))
+    by_sort = sort_contexts(rows.where("key IS NULL"), window).withColumn("but", none)
+    earliest = rows.where("key IS NOT NULL").groupBy("gram", "key").agg(F.min(F.struct("doc", "window", "at")).alias("e")).select("gram", "e.*")
+    stay = stored(earliest.groupBy("gram", "doc", "at").agg(F.collect_list("window").alias("but")), "earliest")
+    by_hash = found.where("kind = 2").select("gram", "doc", "at").distinct().join(stay, ["gram", "doc", "at"], "left").select("doc", *fields, "but")
     runs = stored(equal.unionByName(by_sort).unionByName(by_hash), "repeated-runs")
-    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("tag", "first", "count")).alias("runs"))
+    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("tag", "first", "count", "but")).alias("runs"))
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +251,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most: int = SORTED_CON
             out = []
             for doc, tag, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data, spans = _utf8(text), []
-                mine = sorted((r["first"], r["first"] + r["count"] - 1 + window) for r in runs or () if r["tag"] == tag)
-                for a, b in mine:
+                mine = [p for r in runs or () if r["tag"] == tag for p in _pieces(r["first"], r["count"], r["but"])]
+                for a, b in sorted((p, p + n - 1 + window) for p, n in mine):
                     if spans and a <= spans[-1]["end"]:
                         spans[-1]["end"] = max(spans[-1]["end"], b)
                     else:
