@@ -34,6 +34,13 @@ def _batch(kinds: dict[str, pa.DataType], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller parts, as Python values of nested columns take many times their Arrow size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -94,7 +101,7 @@ def contexts(docs: DataFrame, need: DataFrame, window: int) -> DataFrame:
     lists = need.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("kind", "gram", "at")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = _utf8(text)
@@ -247,7 +254,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most: int = SORTED_CON
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for doc, tag, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data, spans = _utf8(text), []
