@@ -27,9 +27,9 @@ from planweave.llm.tokens import encoder
 END_ID = 2
 BLOCK = 512
 #: A frame ends with the document that fills it up to so many ids.
-FRAME = 1 << 17
+FRAME = 1 << 19
 #: Blocks that are packed side by side at a time, which bounds the memory of packing.
-SLAB = 1 << 9
+SLAB = 1 << 10
 ESCAPE_BITS = 30
 #: Selector -> (ids per word, bits per id).
 SELECTORS = (
@@ -90,28 +90,26 @@ def _pack_slab(ids: np.ndarray, escape_bits: int) -> tuple[np.ndarray, np.ndarra
     size = np.full(n_blocks, BLOCK)
     if n_blocks:
         size[-1] = len(ids) - BLOCK * (n_blocks - 1)
-    at = np.zeros(n_blocks, np.int64)
-    out, owner = [], []
-    live = np.flatnonzero(at < size)
-    while len(live):
-        sel = choice[live, at[live]]
-        words = sel.astype(np.uint64) << np.uint64(60)
-        for k in np.unique(sel):
-            n, bits = SELECTORS[k]
-            mine = np.flatnonzero(sel == k)
-            if bits:
-                rows, start = live[mine], at[live[mine]]
-                for j in range(n):
-                    words[mine] |= values[rows, start + j] << np.uint64(j * bits)
-        out.append(words)
+    at, live = np.zeros(n_blocks, np.int64), np.flatnonzero(size > 0)
+    owner, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(live):  # each round: where the next word of every unfinished block begins
+        now = at[live]
         owner.append(live)
-        at[live] += _N[sel]
+        start.append(now)
+        at[live] = now + _N[choice[live, now]]
         live = live[at[live] < size[live]]
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), places, escapes
-    words, owner = np.concatenate(out), np.concatenate(owner)
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_blocks))])
-    return words[np.argsort(owner, kind="stable")], starts, places, escapes
+    owner, start = np.concatenate(owner), np.concatenate(start)
+    order = np.argsort(owner, kind="stable")
+    owner, start = owner[order], start[order]
+    sel = choice[owner, start]
+    words = sel.astype(np.uint64) << np.uint64(60)
+    flat, begin = values.reshape(-1), owner * values.shape[1] + start
+    for k in np.unique(sel):
+        n, bits = SELECTORS[k]
+        mine = np.flatnonzero(sel == k)
+        for j in range(n if bits else 0):
+            words[mine] |= flat[begin[mine] + j] << np.uint64(j * bits)
+    return words, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_blocks))]), places, escapes
 
 
 def unpack_ids(words: np.ndarray, starts: np.ndarray, places: np.ndarray, escapes: np.ndarray, n_ids: int) -> np.ndarray:
@@ -134,26 +132,17 @@ def unpack_ids(words: np.ndarray, starts: np.ndarray, places: np.ndarray, escape
     return ids[:n_ids]
 
 
-def encode_ids(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
-    """``doc_id, ids``: ids of every whole text as little-endian 32-bit integers in one binary, with ``end_id`` appended.
+def write_token_files(
+    docs: DataFrame, path: str, tokenizer: str, shards: int, end_id: int | None = END_ID
+) -> None:
+    """Encode every whole text of ``docs`` (``doc_id, text`` and others), append ``end_id``, and write the ids as Simple-8b shards to ``path``.
 
-    A null text counts as an empty one. Rows that repeat are encoded each.
+    Shards are in ascending doc_id order (nulls first, equal doc_ids by text). Texts are dealt by ranges of doc_id before they are encoded, as
+    they are smaller than ids and sampling the ranges then encodes nothing. A null text counts as an empty one; rows that repeat are encoded each.
     """
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in batches:
-            ids = [encode(t) + tail for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
-
-
-def write_token_files(encoded: DataFrame, path: str, shards: int) -> None:
-    """Write ``doc_id, ids`` as Simple-8b shards in ascending doc_id order (nulls first, equal doc_ids by content)."""
     names = [c.split()[0] for c in SHARD.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def frame_row(shard: int, frame: int, first: int, docs: list, parts: list[bytes]) -> pa.RecordBatch:
         ids = np.frombuffer(b"".join(parts), "<u4")
@@ -163,9 +152,11 @@ def write_token_files(encoded: DataFrame, path: str, shards: int) -> None:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode
         shard, frame, first, held, docs, parts = TaskContext.get().partitionId(), 0, 0, 0, [], []
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(text.as_py()) + tail
                 docs.append(doc)
                 parts.append(ids)
                 held += len(ids) // 4
@@ -175,7 +166,7 @@ def write_token_files(encoded: DataFrame, path: str, shards: int) -> None:
         if docs:
             yield frame_row(shard, frame, first, docs, parts)
 
-    ordered = encoded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
 
 
@@ -219,8 +210,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write their ids as Simple-8b shards, and digest what the files hold."""
     path = scratch_path(spark, "token-files")
-    encoded = encode_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
-    write_token_files(encoded, path, shards=max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), shards)
     return token_index(spark, path)
 
 
