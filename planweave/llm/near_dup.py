@@ -118,17 +118,24 @@ def rare_values(sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame
 def verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame:
     """The pairs (``a, b``) that are linked. The union of both sketches estimates their similarity first; full sets decide."""
     side = lambda df, n: df.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in df.columns if c != "node"))
-    both = stored(pairs.distinct(), "pairs").join(side(sketch, "a"), "a").join(side(sketch, "b"), "b")
+    pairs = stored(pairs.distinct(), "pairs")
+    files = _files(20 * pairs.count())
+    both = pairs.join(side(sketch, "a"), "a").join(side(sketch, "b"), "b")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
     small = (F.col("n_a") <= k) & (F.col("n_b") <= k) & (F.size(F.array_union("sketch_a", "sketch_b")) <= k)
     likely = F.when(small, common * 100 >= F.size(union) * percent).otherwise(common * k >= F.size(union) * shared)
-    close = stored(both.where(likely).select("a", "b"), "likely-pairs")
+    close = stored(both.where(likely).select("a", "b").coalesce(files), "likely-pairs")
     met = close.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
     inter = F.size(F.array_intersect("hashes_a", "hashes_b"))
     return met.where(100 * inter >= percent * (F.size("hashes_a") + F.size("hashes_b") - inter)).select("a", "b").distinct()
 
 
+def _files(rows: int) -> int:
+    """Tasks and files for a table of known size in an iteration, so that rounds on little data are short."""
+    return max(6, -(-rows // 100_000))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable, for the nodes of ``links`` (``a, b``).
 
@@ -136,14 +143,14 @@ def components(links: DataFrame) -> DataFrame:
     the number of rounds is logarithmic; minima are aggregated before they are shuffled, and hubs are met by joins that Spark can split.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
+    files, mark = _files(edges.count()), None
     while True:
         ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
-        large = stored(ends.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        least = stored(ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(files), "minima")
+        large = stored(ends.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(files), "large-star")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "minima")
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        edges = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -169,24 +176,24 @@ def links_of(lists: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int,
     full = restricted(sets, dense, "node").select("node", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("sketch"))
     lists = stored(rare_values(full, percent, 1 << 40, 0), "dense-lists")
     lists = lists.withColumn("c", F.col("node"))
-    pivots = 1
+    files, pivots = _files(lists.count()), 1
     while True:
         smallest = lists.join(lists.groupBy("value").agg(F.min("n").alias("least")), "value")
         able = F.col("m") * (100 + percent) >= percent * (F.col("n") + F.greatest("least", F.col("n") * percent / 100))
-        lists = stored(smallest.where(able).drop("least"), "able")
-        sized = stored(lists.join(lists.groupBy("value").agg(F.count("*").alias("listed")), "value"), "sized-lists")
+        lists = stored(smallest.where(able).drop("least").coalesce(files), "able")
+        sized = stored(lists.join(lists.groupBy("value").agg(F.count("*").alias("listed")), "value").coalesce(files), "sized-lists")
         short, long = sized.where(F.col("listed") <= SHORT_LIST), sized.where(F.col("listed") > SHORT_LIST)
         bucket = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        heads = stored(long.groupBy("value", bucket.alias("bucket")).agg(F.min(F.struct("node", "n", "m", "c")).alias("p")).select("value", "p.*"), "pivots")
+        heads = stored(long.groupBy("value", bucket.alias("bucket")).agg(F.min(F.struct("node", "n", "m", "c")).alias("p")).select("value", "p.*").coalesce(files), "pivots")
         pairs = _all_pairs(short, percent).unionByName(_pairs(heads, long, F.lit(True), percent))
         links = links.unionByName(stored(verified(pairs, sketch, sets, percent, k, shared), "links"))
-        open_ = stored(long.drop("listed", "c").join(heads.select("value", "node"), ["value", "node"], "left_anti"), "open-lists")
+        open_ = stored(long.drop("listed", "c").join(heads.select("value", "node"), ["value", "node"], "left_anti").coalesce(files), "open-lists")
         if open_.isEmpty():
             return links
         comp = components(links)
-        labelled = stored(open_.join(comp, "node", "left").select("value", "node", "n", "m", F.coalesce("component", "node").alias("c")), "labelled")
-        mixed = stored(labelled.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("value"), "mixed")
-        lists = stored(labelled.join(mixed, "value", "left_semi"), "lists")
+        labelled = stored(open_.join(comp, "node", "left").select("value", "node", "n", "m", F.coalesce("component", "node").alias("c")).coalesce(files), "labelled")
+        mixed = stored(labelled.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("value").coalesce(files), "mixed")
+        lists = stored(labelled.join(mixed, "value", "left_semi").coalesce(files), "lists")
         if lists.isEmpty():
             return links
         pivots *= 16
