@@ -623,8 +623,8 @@ def g7_selective_schedule_safe(spark, sf):
 def l3_due_schedules(spark, sf):
     """Schedules that fire within a day of the first one."""
     e = read_table(spark, sf, "events").select(F.col("event_id"), F.col("ts").alias("at"))
-    first = e.agg(F.min("at").alias("now"))
-    return V.due_schedules(e.crossJoin(F.broadcast(first)), F.col("now"), 86400).select("event_id")
+    first = e.agg(F.min("at").cast("string").alias("now")).first().now
+    return V.due_schedules(e, F.lit(first).cast("timestamp"), 86400).select("event_id")
 
 
 # Schemas.
