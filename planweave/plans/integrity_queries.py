@@ -217,10 +217,11 @@ def h11_namespace_ids(spark, sf):
     return both(spark, sf)[0].select(F.col("record_id").alias("id")).unionByName(blocks).distinct()
 
 
-@query("i7_execution_sequence", "SELECT record_id, CASE WHEN position % 2 = 0 THEN position END AS seq FROM src")
+@query("i7_execution_sequence", "SELECT record_id, CASE WHEN position % 2 = 0 THEN position ELSE -1 END AS seq FROM src")
 def i7_execution_sequence(spark, sf):
     s = both(spark, sf)[0]
-    return O.execution_sequence(s, s.where("position % 2 = 0").select("record_id", F.col("position").alias("seq")))
+    placed = O.execution_sequence(s, s.where("position % 2 = 0").select("record_id", F.col("position").alias("seq")))
+    return placed.withColumn("seq", F.coalesce("seq", F.lit(-1).cast("long")))
 
 
 @query("l8_pending_migrations", "SELECT DISTINCT url AS name FROM pages WHERE page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)", records=False)
