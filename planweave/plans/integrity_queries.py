@@ -43,6 +43,14 @@ def d16_singleton_mismatches(spark, sf):
     return I.singleton_mismatches(*(p.where(F.col("record_id") % 10 != drop) for drop in (0, 1)))
 
 
+@query("d16_whole_singleton_mismatches", """WITH s AS (SELECT p_brand AS t, list(p_partkey ORDER BY p_partkey) AS a, count(*) AS n FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1),
+d AS (SELECT p_brand AS t, list(p_partkey ORDER BY p_partkey) AS b, count(*) AS m FROM part WHERE p_partkey % 10 <> 1 GROUP BY 1)
+SELECT coalesce(s.t, d.t) AS item_type_id, coalesce(n, 0) AS s_n, coalesce(m, 0) AS d_n FROM s FULL JOIN d ON s.t = d.t WHERE NOT (a IS NOT DISTINCT FROM b OR (coalesce(n, 0) = 1 AND m IS NULL))""", records=False)
+def d16_whole_singleton_mismatches(spark, sf):
+    p = read_table(spark, sf, "part").select(F.col("p_brand").alias("item_type_id"), F.col("p_partkey").alias("record_id"))
+    return I.singleton_mismatches(*(p.where(F.col("record_id") % 10 != drop) for drop in (0, 1)))
+
+
 @query("d17_schema_compat", """WITH s AS (SELECT n_name AS name, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0),
 d AS (SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'none' ELSE r_name END AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 1)
 SELECT coalesce(s.name, d.name) AS name, s.value AS s_value, d.value AS d_value FROM s FULL JOIN d ON s.name = d.name WHERE s.value IS DISTINCT FROM d.value""", records=False)
@@ -176,6 +184,14 @@ def g3_match_diagnostics(spark, sf):
     return V.match_diagnostics(told(d.where("position % 4 = 0")), told(s))
 
 
+@query("g3_whole_match_diagnostics", "SELECT record_id, 'current' AS slice, sha256(d.current) AS version_hash FROM src s JOIN dst d USING (record_id) WHERE s.current = d.current")
+def g3_whole_match_diagnostics(spark, sf):
+    """Diagnostics of all destination versions that are still the same in the source."""
+    s, d = both(spark, sf)
+    told = lambda df: df.select("record_id", F.lit("current").alias("slice"), F.sha2("current", 256).alias("version_hash"))
+    return V.match_diagnostics(told(d), told(s))
+
+
 @query("i4_compact_positions", "SELECT record_id, CAST(row_number() OVER (PARTITION BY item_type_id, parent_id ORDER BY position, record_id) AS INT) AS position FROM dst WHERE record_id IN (SELECT record_id FROM src)")
 def i4_compact_positions(spark, sf):
     s, d = both(spark, sf)
