@@ -8,29 +8,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Levels of nesting that are descended.
-MAX_DEPTH = 12
+from planweave.operators.store import kept
 
+#: Members of a block that are no fields, where its fields stand beside them.
+RESERVED = ("id", "type", "item_type", "__itemTypeId", "meta", "creator")
+_PLACE = ("block_path", "block_model", "fields_path", "parent_type")
 
-def explode_document(docs: DataFrame, value: str = "value", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``keys..., path, depth, kind, value`` of every node of the JSON text in column ``value``; the other columns repeat.
+
+def explode_document(docs: DataFrame, value: str = "value") -> DataFrame:
+    """``keys..., path, depth, kind, value, block_path, block_model, fields_path, parent_type`` of every node of the JSON text in column ``value``; the other columns repeat.
 
     Objects add ``.key`` to the path and arrays ``[i]``; ``kind`` is object, array, string, number, boolean or null; ``value`` is the node's canonical
-    JSON text. One level is unfolded at a time with built-in functions; documents deeper than ``max_depth`` are cut there (``too_deep`` finds them).
-    Null and text that is no JSON give no rows.
+    JSON text. ``block_path`` and ``block_model`` are of the innermost block around the node (null outside of blocks), ``fields_path`` is where its fields
+    stand (empty for the document itself), ``parent_type`` is the member ``type`` of the object that the node is a member of. One level is unfolded at a
+    time with built-in functions and kept as a table, until no object or array is left. Null and text that is no JSON give no rows.
     """
     keys = [c for c in docs.columns if c != value]
-    level = docs.select(*keys, F.lit("").alias("path"), F.lit(0).alias("depth"), F.to_json(F.try_parse_json(value)).alias("value")).where("value IS NOT NULL")
+    none = F.lit(None).cast("string")
+    place = (none.alias("block_path"), none.alias("block_model"), F.lit("").alias("fields_path"), none.alias("parent_type"))
+    level = docs.select(*keys, F.lit("").alias("path"), F.lit(0).alias("depth"), F.to_json(F.try_parse_json(value)).alias("value"), *place).where("value IS NOT NULL")
     out = [level]
-    for depth in range(1, max_depth + 1):
-        up = out[-1]
-        raw = up.where("value LIKE '{%'").select(*keys, "path", F.col("value").alias("o")).select(*keys, "path", F.expr("posexplode(json_object_keys(o))").alias("i", "k"), "o")
-        step = raw.select(*keys, F.concat("path", F.lit("."), "k").alias("path"), F.lit(depth).alias("depth"), _member("o", F.col("k")).alias("value"))
-        arrays = up.where("value LIKE '[%' AND value <> '[]'").select(*keys, "path", F.posexplode(F.expr("cast(parse_json(value) AS array<variant>)")).alias("i", "v"))
-        listed = arrays.select(*keys, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), F.lit(depth).alias("depth"), F.coalesce(F.to_json("v"), F.lit("null")).alias("value"))
-        out.append(step.unionByName(listed))
+    while not (up := out[-1].where("value LIKE '{%' AND value <> '{}' OR value LIKE '[%' AND value <> '[]'")).isEmpty():
+        depth = F.lit(len(out)).alias("depth")
+        raw = _placed(up.where("value LIKE '{%'")).select(*keys, "path", *_PLACE, F.col("value").alias("o"), F.expr("posexplode(json_object_keys(value))").alias("i", "k"))
+        step = raw.select(*keys, F.concat("path", F.lit("."), "k").alias("path"), depth, _member("o", F.col("k")).alias("value"), *_PLACE)
+        arrays = up.where("value LIKE '[%'").select(*keys, "path", *_PLACE[:-1], F.posexplode(F.expr("cast(parse_json(value) AS array<variant>)")).alias("i", "v"))
+        item = F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path")
+        listed = arrays.select(*keys, item, depth, F.coalesce(F.to_json("v"), F.lit("null")).alias("value"), *_PLACE[:-1], none.alias("parent_type"))
+        out.append(kept(step.unionByName(listed), "level"))
     rows = reduce(DataFrame.unionByName, out)
-    return rows.select(*keys, "path", "depth", kind_of(F.col("value")).alias("kind"), "value")
+    return rows.select(*keys, "path", "depth", kind_of(F.col("value")).alias("kind"), "value", *_PLACE)
+
+
+def _placed(objects: DataFrame) -> DataFrame:
+    """Objects with the place of their members: in the object itself if it is a block, else where it is."""
+    part = lambda at: F.get_json_object("value", f"$.{at}")
+    model = F.coalesce(part("item_type.id"), part("relationships.item_type.data.id"), part("__itemTypeId"))
+    found = objects.withColumn("parent_type", part("type")).withColumn("_model", F.when((F.col("depth") > 0) & (F.col("parent_type") == "item") & part("id").isNotNull(), model))
+    block = F.col("_model") != ""
+    fields = F.when(part("attributes").startswith("{"), F.concat("path", F.lit(".attributes"))).otherwise(F.col("path"))
+    new = {"block_path": F.col("path"), "block_model": F.col("_model"), "fields_path": fields}
+    return found.withColumns({c: F.when(block, v).otherwise(F.col(c)) for c, v in new.items()}).drop("_model")
 
 
 def _member(obj: str, key: Column) -> Column:
@@ -47,9 +65,27 @@ def kind_of(value: Column) -> Column:
 
 
 def references(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Edges ``from_id, to_id, path, required`` from exploded rows and link fields ``field, required`` (one per field, small)."""
-    hit = rows.where("kind = 'string'").withColumn("field", F.regexp_extract("path", r"^\.([^.\[]+)", 1)).join(links, "field")
-    return hit.select(F.col("record_id").alias("from_id"), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v").alias("to_id"), "path", "required").distinct()
+    """Edges ``from_id, to_id, path, required`` from exploded rows and link fields ``field, required`` (small), at any depth.
+
+    A field belongs to the innermost block around it, or to the record. With a column ``item_type_id``, a link field is one of that model, else of every
+    model; records have the ``item_type_id`` of their rows, or null without that column. Links in structured text (``item`` of itemLink and inlineItem)
+    are edges in every field; ``required`` is that of the field's row of ``kind`` text, else false. Rows of another ``kind``, or all without
+    that column, are fields of links: each string in them is an edge.
+    """
+    inside = F.col("path").startswith(F.concat("fields_path", F.lit(".")))
+    field = F.when(inside, F.regexp_extract(F.expr("substring(path, length(fields_path) + 1)"), r"^\.([^.\[]+)", 1))
+    beside = F.col("block_path").isNotNull() & (F.col("fields_path") == F.col("block_path")) & field.isin(*RESERVED)
+    text = F.coalesce(F.col("parent_type").isin("itemLink", "inlineItem") & F.col("path").endswith(".item"), F.lit(False))
+    model = F.coalesce("block_model", "item_type_id") if "item_type_id" in rows.columns else F.col("block_model")
+    found = rows.where("kind = 'string'").select("record_id", "path", "value", F.when(~beside, field).alias("_field"), text.alias("_text"), model.alias("_model"))
+    is_text = F.coalesce(F.col("kind") == "text", F.lit(False)) if "kind" in links.columns else F.lit(False)
+    known = links.select(F.col("field").alias("_name"), "required", is_text.alias("_in_text"), *(["item_type_id"] if "item_type_id" in links.columns else []))
+    same = (F.col("_field") == F.col("_name")) & (F.col("_text") == F.col("_in_text"))
+    if "item_type_id" in links.columns:
+        same &= F.col("_model").eqNullSafe(F.col("item_type_id"))
+    hit = found.join(F.broadcast(known), same, "left").where("_text OR _name IS NOT NULL")
+    to = F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v").alias("to_id")
+    return hit.select(F.col("record_id").alias("from_id"), to, "path", F.coalesce("required", F.lit(False)).alias("required")).distinct()
 
 
 def parent_edges(records: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def d37_reserved_ids_free(spark, sf):
 def c3_published_references(spark, sf):
     long = X.slices(both(spark, sf)[0].where("item_type_id = 'order'")).where("slice = 'published'").select("record_id", F.col("fields").alias("value"))
     links = spark.createDataFrame([("customer", True)], "field string, required boolean")
-    return X.references(X.explode_document(long, max_depth=1), links).select("from_id", "to_id")
+    return X.references(X.explode_document(long), links).select("from_id", "to_id")
 
 
 @query("c6_nested_block_ids", "SELECT l_orderkey AS record_id, string_agg(DISTINCT l_linenumber, ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS blocks FROM (SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber FROM lineitem) GROUP BY 1", records=False)

@@ -263,7 +263,7 @@ SELECT record_id, slice, '' AS path, 0 AS depth, 'object' AS kind, f AS value FR
 UNION ALL SELECT record_id, slice, '.' || key, 1, 'string', '"' || json_extract_string(f, '$.' || key) || '"' FROM k""")
 def c1_explode_fields(spark, sf):
     long = X.slices(both(spark, sf)[0]).select("record_id", "slice", F.col("fields").alias("value"))
-    return X.explode_document(long, max_depth=2)
+    return X.explode_document(long).select("record_id", "slice", "path", "depth", "kind", "value")
 
 
 _EDGES_SQL = """e AS (
@@ -275,7 +275,7 @@ _EDGES_SQL = """e AS (
 def _edges(spark, source):
     links = spark.createDataFrame([("customer", True)], "field string, required boolean")
     orders = X.slices(source.where("item_type_id = 'order'")).select("record_id", F.col("fields").alias("value"))
-    return X.references(X.explode_document(orders, max_depth=1), links).unionByName(X.parent_edges(source))
+    return X.references(X.explode_document(orders), links).unionByName(X.parent_edges(source))
 
 
 @query("c2_record_references", f"WITH {_EDGES_SQL} SELECT * FROM e")
@@ -283,6 +283,39 @@ def c2_record_references(spark, sf):
     return _edges(spark, both(spark, sf)[0])
 
 
+@query("c2_nested_references", """WITH b AS (SELECT l_orderkey, l_partkey, l_suppkey, '.modules[' || CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS VARCHAR) || '].attributes' AS place
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+SELECT 'o' || o_orderkey AS from_id, 'c' || o_custkey AS to_id, '.customer' AS path, true AS required FROM orders
+UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, place || '.part', true FROM b
+UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey, place || '.hero.supplier', false FROM b
+UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, place || '.body.document.children[0].children[0].item', true FROM b""", records=False)
+def c2_nested_references(spark, sf):
+    """Orders with their line items as blocks; a line links its part and holds a block that links the supplier, and a text that links the part."""
+    links = [("order", "customer", True, "link"), ("line", "part", True, "link"), ("supply", "supplier", False, "link"), ("line", "body", True, "text")]
+    return X.references(X.explode_document(_nested_orders(spark, sf)), spark.createDataFrame(links, "item_type_id string, field string, required boolean, kind string"))
+
+
+def _nested_orders(spark, sf):
+    """``record_id, item_type_id, value``: every order as one JSON text with its line items as blocks."""
+    id_ = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    text = lambda **f: F.struct(*(c.alias(k) for k, c in f.items()))
+    item = lambda model: text(id=F.lit(model))
+
+    def block(line):
+        own = F.concat_ws("-", line["l_orderkey"], line["l_linenumber"])
+        part = id_("p", line["l_partkey"])
+        hero = text(id=F.concat(own, F.lit("s")), type=F.lit("item"), item_type=item("supply"), supplier=id_("s", line["l_suppkey"]))
+        link = text(type=F.lit("itemLink"), item=part, children=F.array(text(type=F.lit("span"), value=F.lit("part"))))
+        body = text(schema=F.lit("dast"), document=text(type=F.lit("root"), children=F.array(text(type=F.lit("paragraph"), children=F.array(link)))))
+        return text(id=own, type=F.lit("item"), relationships=text(item_type=text(data=item("line"))), attributes=text(part=part, hero=hero, body=body))
+
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey")))
+    blocks = read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines")).withColumnRenamed("l_orderkey", "o_orderkey")
+    orders = read_table(spark, sf, "orders").join(blocks, "o_orderkey", "left")
+    value = F.to_json(text(customer=id_("c", F.col("o_custkey")), modules=F.transform("lines", block)))
+    return orders.select(id_("o", F.col("o_orderkey")).alias("record_id"), F.lit("order").alias("item_type_id"), value.alias("value"))
+
+
 @query("d8_dangling_references", f"WITH {_EDGES_SQL} SELECT from_id, to_id, path, required FROM e WHERE to_id NOT IN (SELECT record_id FROM src) AND to_id NOT IN (SELECT record_id FROM dst)")
 def d8_dangling_references(spark, sf):
     s, d = both(spark, sf)
