@@ -50,9 +50,11 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     prefix of turns, equal in role and text (nulls equal nulls), rendered once; a completion is the rest of its side, and its mask lists
     the spans that are trained on. A pair with no common turn has an empty prompt; if one side ends within the other or both are
     the same, its completion is empty, and ``identical`` tells the latter. Pairs of which a side has no rows are left out. Null roles and
-    texts render as empty. Two conversations meet by a join on ``pair_id``; a row holds one pair.
+    texts render as empty. Turns with a null ``pair_id`` are one conversation like others. Two conversations meet by a join on ``pair_id``; a row holds one pair.
     """
-    both = turn_lists(chosen).withColumnRenamed("turns", "_c").join(turn_lists(rejected).withColumnRenamed("turns", "_r"), "pair_id")
+    c = turn_lists(chosen).withColumnRenamed("turns", "_c")
+    r = turn_lists(rejected).select(F.col("pair_id").alias("_id"), F.col("turns").alias("_r"))
+    both = c.join(r, F.col("pair_id").eqNullSafe(F.col("_id"))).drop("_id")
     same = F.zip_with("_c", "_r", lambda a, b: F.coalesce(a.eqNullSafe(b), F.lit(False)))
     shorter = F.least(F.size("_c"), F.size("_r"))
     first_other = F.array_position(same, F.lit(False)).cast("int")
@@ -75,7 +77,8 @@ def neighbour_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides from one table of conversations, which has no preferences of its own.
 
     Chosen is a conversation as it is. Rejected is the same one with one answer taken from the neighbour (2k and 2k+1 are
-    neighbours): the first answer where conv_id divides by 3, else the last. Without an answer on both sides, nothing is replaced.
+    neighbours): the first answer where conv_id divides by 3, else the last. Without an answer on both sides, nothing is replaced;
+    a null conv_id has no neighbour.
     """
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     answers = turns.where(F.col("role") == TRAINED_ROLE).groupBy("pair_id").agg(
