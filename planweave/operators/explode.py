@@ -1,4 +1,4 @@
-"""Nested documents as rows: every value of a record with its path, locale and owning block; references and ownership from these rows."""
+"""Nested documents as rows: every value of a record with its path and owning block; references and ownership from these rows."""
 
 from __future__ import annotations
 
