@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,11 @@ from planweave.llm.common import stored
 K = 10
 BITS = 64
 #: Values per segment up to which radii are searched in one first step.
-FIRST_VALUES = 200
+FIRST_VALUES = 16
+#: Codes of one segment value that stand in one list; a value with more has several lists.
+LIST_CODES = 512
+#: What comparing one code costs against looking up one value; it serves the choice of the number of segments only.
+COMPARE_COST = 1 / 16
 
 
 def sign_codes(vectors: DataFrame, bits: int = BITS) -> DataFrame:
@@ -37,57 +42,97 @@ def _segments(code, bits: int, m: int):
     return F.array(*out)
 
 
+def segment_count(n_codes: int, k: int = K, bits: int = BITS) -> int:
+    """Into how many segments codes are cut: the number with the least predicted work per query, looked-up values and compared codes.
+
+    The kth distance is predicted as that of evenly spread codes; where codes lie closer together, searches end earlier.
+    """
+    below, kth = 0.0, bits
+    for d in range(bits + 1):
+        below += math.comb(bits, d) / 2**bits
+        if n_codes * below >= k:
+            kth = d
+            break
+    best = None
+    for m in range(2, bits // 2 + 1):
+        r, last = divmod(kth, m)
+        work = 0.0
+        for s in range(m):
+            wide = bits // m + (s < bits % m)
+            values = sum(math.comb(wide, i) for i in range(min(wide, r if s <= last else r - 1) + 1))
+            work += values + COMPARE_COST * n_codes * values / 2**wide
+        if best is None or work < best[0]:
+            best = work, m
+    return best[1]
+
+
+def inverted_lists(codes: DataFrame, bits: int, m: int, list_codes: int = LIST_CODES) -> DataFrame:
+    """``seg, val, entries`` (array of code, ids): the codes by the value of each segment, a common value's in several lists by a hash."""
+    cut = codes.select("code", "ids", F.explode(_segments(F.col("code"), bits, m)).alias("s")).select("code", "ids", "s.seg", "s.val")
+    lists = cut.groupBy("seg", "val").agg(F.ceil(F.count("*") / list_codes).alias("lists"))
+    part = F.pmod(F.xxhash64("code"), F.col("lists")).alias("part")
+    dealt = cut.join(lists, ["seg", "val"]).select("seg", "val", part, F.struct("code", "ids").alias("entry"))
+    return dealt.groupBy("seg", "val", "part").agg(F.collect_list("entry").alias("entries")).drop("part")
+
+
+def _masks(spark: SparkSession, looked_up: list[tuple[int, int]], widths: list[int]) -> DataFrame:
+    """``_seg, mask``: what to flip in a segment's value to get all values at the given distances."""
+    rows = [(s, sum(1 << b for b in c)) for s, r in looked_up if r <= widths[s] for c in combinations(range(widths[s]), r)]
+    return spark.createDataFrame(rows, "_seg int, mask long")
+
+
 def hamming_top_k(base: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
     """The k nearest base rows of every query: ``query_id, id, distance, rank``, by Hamming distance, then id. Exact.
 
-    Both tables: ``id, code`` (long). Base rows with one code are one entry with their k smallest ids, which is all that a top-k list can
-    take. Codes are cut into m segments, m so that a segment has about as many values as there are codes. A step looks up, for every open query, the values
-    of one segment at distance r; then comes the next segment, and after the last one r grows. Once segments 0 to s are searched up to r and the others up to
-    r-1, every code within m*r+s bits has been seen, since any other is further away than that in all segments together; a query is done once its kth
-    verified distance is within that bound. The first steps, of few values, are taken together. Queries with fewer than k base rows end
-    with the last step. Null ids or codes are left out; queries that repeat an id with another code are not expected.
+    Both tables: ``id, code`` (long) and any others. Base rows with one code are one entry with their k smallest ids, which is all that a top-k
+    list can take. Codes are cut into segments (``segment_count``), and inverted lists hold the codes of each segment value. A step looks up, for
+    every open query, the values of one segment at distance r; then comes the next segment, and after the last one r grows. Once segments 0 to s
+    are searched up to r and the others up to r-1, every code within m*r+s bits has been seen, since any other is further away than
+    that in all segments together; a query is done once its kth verified distance is within that bound. The first radii, of few values,
+    are taken in one step. A list gives its k nearest codes within the query's kth distance so far, so what leaves it stays small however long it is.
+
+    Ties go to the smaller id. Null ids or codes are left out. Base rows that repeat are rows of their own. Queries that repeat are one; a query id with several codes gets
+    the rows of each of them. With fewer than k base rows a query gets them all; an empty table gives none.
     """
     spark = base.sparkSession
     base = base.where("id IS NOT NULL AND code IS NOT NULL")
     smallest = base.groupBy("code", "id").agg(F.count("*").alias("_n")).select("code", F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(k)))).alias("_c"), "id")
     firsts = smallest.withColumn("_r", F.row_number().over(W.partitionBy("code").orderBy("id", "_c"))).where(F.col("_r") <= k)
     codes = stored(firsts.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    count = codes.count()
-    m = max(1, min(bits, math.ceil(bits / max(4, min(20, round(math.log2(count + 1))))))) if count else 1
-    widest = -(-bits // m)
-    index = stored(codes.select("code", "ids", F.explode(_segments(F.col("code"), bits, m)).alias("s")).select("code", "ids", "s.seg", "s.val"), "segments")
     queries = queries.where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct()
-    open_ = stored(queries, "open-queries")
-    best = spark.createDataFrame([], "query_id long, distance int, id long, copy int")
-    by_rank = W.partitionBy("query_id").orderBy("distance", "id", "copy")
-    done = []
+    open_ = stored(queries.withColumn("kth", F.lit(bits)), "open-queries")
+    count = codes.count()
+    best = spark.createDataFrame([], "query_id long, query_code long, distance int, id long, copy int, code long")
+    if not count or open_.isEmpty():
+        return best.select("query_id", "id", "distance", F.lit(0).alias("rank"))
+    m = segment_count(count, k, bits)
     widths = [bits // m + (s < bits % m) for s in range(m)]
-    together = max(r for r in range(widest + 1) if r == 0 or sum(math.comb(widest, i) for i in range(r + 1)) <= FIRST_VALUES)
+    index = stored(inverted_lists(codes, bits, m), "lists")
+    query, by_rank = ["query_id", "query_code"], W.partitionBy("query_id", "query_code").orderBy("distance", "id", "copy", "code")
+    together = max(r for r in range(widths[0] + 1) if r == 0 or sum(math.comb(widths[0], i) for i in range(r + 1)) <= FIRST_VALUES)
     steps = [(together, m - 1, [(s, r) for r in range(together + 1) for s in range(m)])]
-    steps += [(r, s, [(s, r)]) for r in range(together + 1, widest + 1) for s in range(m)]
+    steps += [(r, s, [(s, r)]) for r in range(together + 1, widths[0] + 1) for s in range(m)]
+    done = []
     for number, (r, last, looked_up) in enumerate(steps):
-        rows = [(s, sum(1 << b for b in c)) for s, d in looked_up if d <= widths[s] for c in combinations(range(widths[s]), d)]
-        masks = spark.createDataFrame(rows, "seg int, mask long")
-        probes = open_.select("*", F.explode(_segments(F.col("query_code"), bits, m)).alias("s")).join(masks.withColumnRenamed("seg", "_seg"), F.col("s.seg") == F.col("_seg"))
-        probes = probes.select("query_id", "query_code", F.col("s.seg").alias("seg"), F.col("s.val").bitwiseXOR(F.col("mask")).alias("val"))
-        met = probes.join(index, ["seg", "val"]).select("query_id", "code", "ids", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))).alias("distance"))
-        seen = met.groupBy("query_id", "code").agg(F.first("distance").alias("distance"), F.first("ids").alias("ids"))
-        new = seen.select("query_id", "distance", F.posexplode("ids").alias("copy", "id")).select("query_id", "distance", "id", "copy")
-        merged = best.unionByName(new).dropDuplicates(["query_id", "distance", "id", "copy"])
+        cut = open_.select("*", F.explode(_segments(F.col("query_code"), bits, m)).alias("s"))
+        probes = cut.join(F.broadcast(_masks(spark, looked_up, widths)), F.col("s.seg") == F.col("_seg"))  # masks of one step: few, whatever the data
+        probes = probes.select(*query, "kth", F.col("s.seg").alias("seg"), F.col("s.val").bitwiseXOR(F.col("mask")).alias("val"))
+        compared = F.transform("entries", lambda e: F.struct(F.bit_count(F.col("query_code").bitwiseXOR(e["code"])).alias("distance"), e["ids"].alias("ids"), e["code"].alias("code")))
+        near = F.slice(F.array_sort(F.filter(compared, lambda e: e["distance"] <= F.col("kth"))), 1, k)
+        met = probes.join(index, ["seg", "val"]).select(*query, F.explode(near).alias("e")).select(*query, "e.*")
+        new = met.select(*query, "distance", F.posexplode("ids").alias("copy", "id"), "code").select(best.columns)
+        merged = best.unionByName(new).distinct()
         best = stored(merged.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k), f"top-{number}")
-        kth = best.where(F.col("rank") == k).select("query_id", F.col("distance").alias("_kth"))
-        covered = open_.join(kth.where(F.col("_kth") <= m * r + last), "query_id", "left_semi").select("query_id")
-        if number == len(steps) - 1:
+        kth = best.where(F.col("rank") == k).select(*query, F.col("distance").alias("_kth"))
+        seen = stored(open_.join(kth, query, "left").select(*query, F.coalesce("_kth", "kth").alias("kth"), (F.col("_kth") <= m * r + last).alias("covered")), f"seen-{number}")
+        open_ = seen.where("covered IS NOT TRUE").select(*query, "kth")
+        if number == len(steps) - 1 or open_.isEmpty():
             done.append(best)
             break
-        done.append(best.join(covered, "query_id", "left_semi"))
-        open_ = stored(open_.join(covered, "query_id", "left_anti"), f"open-{number}")
-        best = best.join(covered, "query_id", "left_anti").drop("rank")
-        if open_.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        covered = seen.where("covered").select(*query)
+        done.append(best.join(covered, query, "left_semi"))
+        best = best.join(covered, query, "left_anti").drop("rank")
+    out = reduce(DataFrame.unionByName, done)
     return out.select("query_id", "id", "distance", "rank")
 
 
