@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planweave.operators.store import kept, new_path
+
 #: A word is a longest run of characters outside this class (fixed by the data contract).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,16 +24,16 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``.
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller parts, as Python values take many times their Arrow size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
-    Only where the session names none (tests, one machine) a local temporary folder is chosen and remembered.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="planweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/planweave/{name}-{uuid.uuid4().hex}"
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``."""
+    return new_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,9 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage in a way that survives lost executors, as the files lie in shared storage.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df, name, compression="zstd")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

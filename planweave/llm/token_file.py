@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planweave.llm.common import documents, scratch_path
+from planweave.llm.common import documents, in_slices, scratch_path
 from planweave.llm.tokens import encoder
 
 END_ID = 2
@@ -37,7 +37,6 @@ SELECTORS = (
     (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
 )
 _N = np.array([n for n, _ in SELECTORS])
-_POWERS = np.array([1 << b for b in range(60)], np.uint64)
 
 SHARD = (
     "shard int, frame int, first long, n_ids long, doc_ids array<long>, lengths array<long>, "
@@ -59,56 +58,61 @@ def pack_ids(ids: np.ndarray, escape_bits: int = ESCAPE_BITS) -> tuple[np.ndarra
     )
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Bits of ids of at most 52 bits, which floating point holds exactly."""
+    return np.frexp(ids.astype(np.float64))[1].astype(np.int8)
+
+
 def _pack_slab(ids: np.ndarray, escape_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Blocks are packed side by side: in each round every unfinished block takes its next word."""
     ids = np.asarray(ids, np.uint64)
-    places = np.flatnonzero(ids >> np.uint64(escape_bits)) 
+    places = np.flatnonzero(ids >> np.uint64(escape_bits))
     escapes = ids[places]
     n_blocks = -(-len(ids) // BLOCK)
-    room = n_blocks * BLOCK
-    low = np.zeros(room, np.uint64)
+    wide = BLOCK + int(_N[0])
+    values = np.zeros((n_blocks, wide), np.uint64)  # zeros behind a block's end fit into any word
+    low = np.zeros(n_blocks * BLOCK, np.uint64)
     low[: len(ids)] = ids
     low[places] = 0
-    width = np.searchsorted(_POWERS, low, side="right").astype(np.int8)
-    table = np.zeros((n_blocks, BLOCK + _N[0]), np.int8)  # zeros behind a block's end fit into any word
-    values = np.zeros((n_blocks, BLOCK + _N[0]), np.uint64)
-    table[:, :BLOCK] = width.reshape(n_blocks, BLOCK)
     values[:, :BLOCK] = low.reshape(n_blocks, BLOCK)
-    widest = {1: table}
-    for n in sorted({int(n) for n in _N} - {1}):  # widest[n][b, i]: most bits among n ids from i on
+    table = np.zeros((n_blocks, wide), np.int8)
+    table[:, :BLOCK] = _bits(low).reshape(n_blocks, BLOCK)
+    # a selector that fits is one of more and narrower ids than all behind it, which fit too: so the number that fits tells the first one
+    choice = np.full((n_blocks, BLOCK), len(SELECTORS) - 1, np.int8)
+    widest = {1: table}  # widest[n][b, i]: most bits among n ids from i on
+    for n, bits in reversed(SELECTORS[:-1]):
         half = max(k for k in widest if k < n)
         rest = min(k for k in widest if k >= n - half)
-        a, b = widest[half], widest[rest]
         shift = n - rest
-        joined = a.copy()
-        joined[:, : a.shape[1] - shift] = np.maximum(a[:, : a.shape[1] - shift], b[:, shift:])
+        joined = widest[half].copy()
+        np.maximum(joined[:, : wide - shift], widest[rest][:, shift:], out=joined[:, : wide - shift])
         widest[n] = joined
-    choice = np.full((n_blocks, BLOCK), len(SELECTORS) - 1, np.int8)
-    for k in range(len(SELECTORS) - 2, -1, -1):
-        n, bits = SELECTORS[k]
-        choice[widest[n][:, :BLOCK] <= bits] = k
+        choice -= joined[:, :BLOCK] <= bits
     size = np.full(n_blocks, BLOCK)
     if n_blocks:
         size[-1] = len(ids) - BLOCK * (n_blocks - 1)
+    jump = np.arange(BLOCK) + _N[choice]
     at, live = np.zeros(n_blocks, np.int64), np.flatnonzero(size > 0)
     owner, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(live):  # each round: where the next word of every unfinished block begins
-        now = at[live]
         owner.append(live)
-        start.append(now)
-        at[live] = now + _N[choice[live, now]]
-        live = live[at[live] < size[live]]
+        start.append(at)
+        at = jump[live, at]
+        on = at < size[live]
+        live, at = live[on], at[on]
     owner, start = np.concatenate(owner), np.concatenate(start)
     order = np.argsort(owner, kind="stable")
     owner, start = owner[order], start[order]
     sel = choice[owner, start]
     words = sel.astype(np.uint64) << np.uint64(60)
-    flat, begin = values.reshape(-1), owner * values.shape[1] + start
+    flat, begin = values.reshape(-1), owner * wide + start
     for k in np.unique(sel):
         n, bits = SELECTORS[k]
         mine = np.flatnonzero(sel == k)
+        got, first = words[mine], begin[mine]
         for j in range(n if bits else 0):
-            words[mine] |= flat[begin[mine] + j] << np.uint64(j * bits)
+            got |= flat[first + j] << np.uint64(j * bits)
+        words[mine] = got
     return words, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_blocks))]), places, escapes
 
 
@@ -154,9 +158,9 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         shard, frame, first, held, docs, parts = TaskContext.get().partitionId(), 0, 0, 0, [], []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + tail
+        for batch in in_slices(batches):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(text) + tail
                 docs.append(doc)
                 parts.append(ids)
                 held += len(ids) // 4

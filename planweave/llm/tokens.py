@@ -6,20 +6,37 @@ compare them), but a piece that was seen before costs one look-up.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers; when there are more, it starts over. This bounds its memory at about 200 MB.
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers: the latest and those before them, each at most so many. This bounds its memory at about 170 MB.
+REMEMBERED = 1 << 19
 #: Longer pieces are not remembered.
-LONGEST = 64
+LONGEST = 48
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įĴ-ķŌ-ž]+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įĴ-ķŌ-ž"
+#: A word of common letters, and ASCII marks behind it that are a word of their own (an apostrophe is not among them).
+_WORD_AND_MARKS = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
+#: The parts of a tokenizer file under which a text may be cut at its spaces.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_LEVEL = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True},
+        _BYTE_LEVEL | {"use_regex": False},
+    ],
+}
+_WORD_NORMAL = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,36 +47,45 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Piece -> its ids as little-endian 32-bit integers."""
+    """Piece -> its ids as little-endian 32-bit integers. When it is full it becomes the older half, from which pieces that are still in use return."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = REMEMBERED):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > LONGEST:
-            return self.encode(piece)
-        if len(self) >= REMEMBERED:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+            if len(piece) > LONGEST:
+                return ids
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = self.encode(piece)
+        self[piece] = ids
         return ids
 
 
 class TextEncoder:
     """Encodes texts with a tokenizer file, add_special_tokens=False.
 
-    A text is cut at single spaces only where the tokenizer cuts too: the byte-level one begins a piece at a space before a word, the
-    word-level one drops white space. Texts with other white space, runs of it, or markup of added tokens are encoded as a whole.
+    A text is cut at single spaces only where the tokenizer cuts too. That is known for two kinds of files, told by their normalizer and
+    pre-tokenizer: a byte-level one begins a piece at a space before a word, a word-level one drops white space. Texts with other white
+    space, runs of it, or markup of added tokens are encoded as a whole, and so is every text with a file of another kind.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = REMEMBERED):
         self.tok = tok = Tokenizer.from_file(path)
         self.model, self.normal, self.pre = tok.model, tok.normalizer, tok.pre_tokenizer
+        parts = json.loads(tok.to_str())
+        kind = parts["normalizer"], parts["pre_tokenizer"]
+        plain = parts["model"]["type"] == "BPE" and not (parts["model"]["dropout"] or parts["truncation"] or parts["padding"])
+        self.keeps_space = kind == (None, _BYTE_LEVEL)
+        self.cuts = plain and (self.keeps_space or kind == (_WORD_NORMAL, _WORD_LEVEL))
         self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
-        self.keeps_space = self.normal is None
         letters = _byte_letters()
         self.letter = [letters[b] for b in range(256)]
-        self.inner, self.first = _Pieces(self._inner), _Pieces(self._piece)
+        self.inner, self.first = _Pieces(self._inner, most), _Pieces(self._piece, most)
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -81,17 +107,16 @@ class TextEncoder:
         return self._pack([t.id for t in self.model.tokenize("Ġ" + word if self.keeps_space else word)])
 
     def _inner(self, piece: str) -> bytes:
-        if _LETTERS.fullmatch(piece):
-            return self._letters(piece)
-        if piece and piece[-1] in ".," and _LETTERS.fullmatch(piece, 0, len(piece) - 1):  # the mark is a word of its own
-            return self.inner[piece[:-1]] + self.first[piece[-1]]
-        return self._piece(" " + piece if self.keeps_space else piece)
+        m = _WORD_AND_MARKS.fullmatch(piece)
+        if m is None:
+            return self._piece(" " + piece if self.keeps_space else piece)
+        return self.inner[m[1]] + self.first[m[2]] if m[2] else self._letters(piece)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian 32-bit integers; a null text has none."""
         if not text:
             return b""
-        odd = any(a in text for a in self.added) or _OTHER_SPACE.search(text)
+        odd = not self.cuts or any(a in text for a in self.added) or _OTHER_SPACE.search(text)
         if odd or self.keeps_space and (text[0].isspace() or text[-1].isspace() or any(r in text for r in _RUNS)):
             return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
         inner, first, out = self.inner, self.first, []
@@ -103,7 +128,7 @@ class TextEncoder:
         return b"".join(out[:-1] if self.keeps_space else out)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> TextEncoder:
     """One encoder per worker and file."""
     return TextEncoder(path)
