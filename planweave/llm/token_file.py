@@ -141,8 +141,9 @@ def write_token_files(
 ) -> None:
     """Encode every whole text of ``docs`` (``doc_id, text`` and others), append ``end_id``, and write the ids as Simple-8b shards to ``path``.
 
-    Shards are in ascending doc_id order (nulls first, equal doc_ids by text). Texts are dealt by ranges of doc_id before they are encoded, as
-    they are smaller than ids and sampling the ranges then encodes nothing. A null text counts as an empty one; rows that repeat are encoded each.
+    Shards are in ascending doc_id order (nulls first, equal doc_ids by a hash of the text, so that rows of one id may lie in several shards). Texts are
+    dealt by ranges before they are encoded, as they are smaller than ids and sampling the ranges then encodes nothing. A null text counts as
+    an empty one; rows that repeat are encoded each; a very long text is in one frame. An empty table gives no files.
     """
     names = [c.split()[0] for c in SHARD.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 4]
@@ -170,8 +171,9 @@ def write_token_files(
         if docs:
             yield frame_row(shard, frame, first, docs, parts)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    ordered = hashed.repartitionByRange(shards, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

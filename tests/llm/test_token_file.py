@@ -46,13 +46,11 @@ def test_files(spark):
     write_token_files(docs.repartition(5), path, BYTES, shards=4)
     library = Tokenizer.from_file(BYTES)
     ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
-    got = sorted((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in token_index(spark, path).collect())
-    start, want = 0, []
-    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        e = ids(t)
-        want.append((i is not None, i or 0, start, len(e), zlib.crc32(np.array(e, "<u4").tobytes())))
-        start += len(e)
-    assert got == sorted(want)
+    got = sorted(token_index(spark, path).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+    assert [r.doc_id or -1 for r in got] == sorted(r.doc_id or -1 for r in got)
+    want = sorted((i or -1, len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for i, t, _ in rows)
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == want
     whole = {(r.doc_id, bytes(r.ids)) for r in read_token_files(spark, path).collect()}
     assert whole == {(i, np.array(ids(t), "<u4").tobytes()) for i, t, _ in rows}
 
@@ -61,3 +59,12 @@ def test_no_rows(spark):
     path = scratch_path(spark, "test")
     write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, BYTES, shards=2)
     assert token_index(spark, path).collect() == []
+
+
+def test_one_id_in_several_shards(spark):
+    rows = [(None if i % 2 else 5, f"text {i}") for i in range(400)]
+    path = scratch_path(spark, "test")
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, BYTES, shards=8)
+    got = sorted(token_index(spark, path).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))] and len(got) == 400
+    assert spark.read.parquet(path).select("shard").distinct().count() > 4
