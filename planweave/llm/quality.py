@@ -11,13 +11,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from planweave.llm.common import WORD, documents
+from planweave.llm.common import WORD, documents, in_slices
 
 #: zstandard level of all ratios, and the bytes of a fixed chunk.
 LEVEL, CHUNK = 3, 4096
 #: Whole documents: from so many UTF-8 bytes on, the ratio (bytes / compressed bytes) must lie within these limits. Ratios of
-#: ordinary prose rise with length, as the compressor finds more to refer to; below the first length there is no verdict.
+#: ordinary prose rise with length, as the compressor finds more to refer to.
 BANDS = (
+    (0, 0.00, 2.00),
+    (128, 0.90, 2.05),
     (256, 1.10, 2.10),
     (512, 1.15, 2.15),
     (1024, 1.25, 2.28),
@@ -28,8 +30,10 @@ BANDS = (
     (65536, 1.50, 2.85),
     (262144, 1.50, 3.20),
 )
-#: Full chunks have one band; a document with at least this share of chunks outside of it is rejected.
-CHUNK_BAND, CHUNK_SHARE = (1.45, 2.90), 0.25
+#: All chunks are of one length, so they have one band. How many of a document's chunks may lie outside goes by their number: from so many
+#: chunks on, a document with at least this share outside is rejected.
+CHUNK_BAND = (1.45, 2.90)
+CHUNK_SHARES = ((2, 0.50), (4, 0.25), (64, 0.20))
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 
@@ -64,16 +68,25 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def limits(table: tuple, size: int) -> tuple:
+    """The row of a table of limits for a length."""
+    return next(row for row in reversed(table) if size >= row[0])
+
+
 def compression(data: bytes, compress=zstandard.ZstdCompressor(level=LEVEL).compress) -> tuple[float, int, int, bool]:
-    """Ratio of the whole, full chunks, full chunks outside their band, and whether the bands accept the document."""
+    """Ratio of the whole, chunks, chunks outside their band, and whether the bands accept the document.
+
+    A document of more than one chunk is cut into chunks of CHUNK bytes; the last one is its final CHUNK bytes, which overlap the one before, so
+    no byte is left out. A shorter one is judged as a whole only. An empty one is accepted here (the base rule rejects it).
+    """
     size = len(data)
-    if size < BANDS[0][0]:
-        return (size / len(compress(data)) if size else 1.0), 0, 0, True
+    if not size:
+        return 1.0, 0, 0, True
     ratio = size / len(compress(data))
-    _, low, high = next(b for b in reversed(BANDS) if size >= b[0])
-    chunks = [CHUNK / len(compress(data[i : i + CHUNK])) for i in range(0, size - CHUNK + 1, CHUNK)]
-    bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks)
-    return ratio, len(chunks), bad, low <= ratio <= high and not (chunks and bad >= CHUNK_SHARE * len(chunks))
+    _, low, high = limits(BANDS, size)
+    starts = [*range(0, size - CHUNK, CHUNK), size - CHUNK] if size > CHUNK else []
+    bad = sum(not CHUNK_BAND[0] <= CHUNK / len(compress(data[i : i + CHUNK])) <= CHUNK_BAND[1] for i in starts)
+    return ratio, len(starts), bad, low <= ratio <= high and not (starts and bad >= limits(CHUNK_SHARES, len(starts))[1] * len(starts))
 
 
 def judge(text: str | None) -> tuple:
@@ -88,8 +101,8 @@ def judge(text: str | None) -> tuple:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Adds the columns of COLUMNS to the documents; columns of the same name that came in are replaced.
 
-    One pass over whole texts without a shuffle. Null and empty texts have no words, so they fail the base rule. Repeated rows are
-    judged each for itself.
+    One pass over whole texts without a shuffle, very long ones included. Null and empty texts have no words, so they fail the base rule. Repeated rows are
+    judged each for itself; a ratio on a limit is within it. An empty table gives none.
     """
     added = T._parse_datatype_string(COLUMNS)
     docs = docs.drop(*added.names)
@@ -98,7 +111,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     kinds = [types[c.split()[1]] for c in COLUMNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 1024):
             found = list(zip(*map(judge, batch.column(place).to_pylist()), strict=True)) or [()] * len(kinds)
             new = [pa.array(v, k) for v, k in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added.names])
