@@ -9,12 +9,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planweave.llm.common import documents, stored
+from planweave.llm.common import documents, in_slices, stored
 
-SHINGLE_WORDS = 5
+SHINGLE_WORDS = 4
 #: Two sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Values of a sketch. Two sets at the threshold share about 77 of them; fewer than SHARED is an event of less than 1e-8.
@@ -24,23 +23,9 @@ SHORT_LIST = 16
 #: Rows up to which a list of ids may be broadcast (16 MB); longer ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-_REMEMBERED = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, remembered for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles of ``size`` words, with A-Z in lower case.
 
@@ -49,7 +34,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # for bytes, both know ASCII only
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     take = min(size, len(words))
     mixed = np.full(len(words) - take + 1, take, np.uint64)
     for j in range(take):
@@ -64,7 +49,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE_WORDS, k: int = K) -> DataFram
     kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_id": pa.binary(), "sketch": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             n, ids, low = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, size)
@@ -81,7 +66,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     """``node, hashes``: the whole shingle sets of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingle_set(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
@@ -104,15 +89,20 @@ def rare_values(sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame
     Sets that are linked share at least s values of their sketches. In any order that is the same for all sets, they then share one among
     each one's first (size - s + 1) values. With rare values first, common lines and passages stay out of the lists.
     """
-    by_value = W.partitionBy("value")
-    seen = sets.select("node", "n", F.explode("sketch").alias("value")).withColumn("df", F.count("*").over(by_value)).where("df > 1")
+    each = sets.select("node", "n", F.explode("sketch").alias("value"))
+    seen = each.join(_shared_values(each, "df"), "value")
     whole = F.least(F.ceil(F.col("n") * percent / 100), F.floor(k - F.col("n") * ((100 - percent) / percent)))
     least = F.greatest(F.lit(1), F.when(F.col("n") > k, F.lit(shared)).otherwise(whole))
     mine = seen.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
     first = (F.least("n", F.lit(k)) - least + 1 - (F.least("n", F.lit(k)) - F.size("values"))).cast("int")
     prefix = mine.where(first > 0).select("node", "n", F.size("values").alias("s"), F.posexplode(F.slice("values", F.lit(1), first)).alias("i", "v"))
-    prefix = prefix.select("v.value", "node", "n", (F.col("s") - F.col("i")).cast("long").alias("m"))
-    return prefix.withColumn("listed", F.count("*").over(by_value)).where("listed > 1").drop("listed")
+    prefix = stored(prefix.select("v.value", "node", "n", (F.col("s") - F.col("i")).cast("long").alias("m")), "rare-values")
+    return prefix.join(_shared_values(prefix, "listed"), "value").drop("listed")
+
+
+def _shared_values(rows: DataFrame, name: str) -> DataFrame:
+    """``value`` and how many rows have it, if several do. Counted before the shuffle; the join with it is one that Spark splits where a value is frequent."""
+    return rows.groupBy("value").agg(F.count("*").alias(name)).where(F.col(name) > 1)
 
 
 def verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame:
@@ -239,7 +229,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents, on 4-word shingles."""
-    return near_duplicates(documents(spark, sf_dir), size=4)
+    return near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES = {"op3_near_duplicates": op3_near_duplicates}

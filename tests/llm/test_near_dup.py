@@ -71,3 +71,16 @@ def test_nulls_repeats_and_empty(spark):
         (-1, -1, True), (1, 1, True), (3, 3, True), (3, 3, True), (9, 3, False),
     ]
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Sets of more shingles than a sketch holds, at a similarity of exactly 0.8: the last shingle-shifting edits of which 100 pairs are made."""
+    rnd = random.Random(11)
+    rows = []
+    for pair in range(100):
+        n = rnd.choice((108, 180, 360, 900))  # shingles of each; 8/9 of them are shared, so the similarity is 8/9 / (2 - 8/9) = 0.8
+        words = [f"p{pair}w{i}" for i in range(n + 3)]
+        other = words[: n - n // 9 + 3] + [f"q{pair}w{i}" for i in range(n // 9)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] == i - i % 2 for i in got)
