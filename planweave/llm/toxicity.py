@@ -13,18 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm.common import documents, stored
+from planweave.llm.common import documents, in_slices, stored
 
-#: Labelled rows that lexicons and classifier are fitted on at most (a sample by hash when there are more), and terms kept.
-SAMPLE_ROWS, TERMS = 12_000, 2_000
+#: Labelled documents that voters are mined from and held against at most, and documents that the classifier is fitted on at most: bounds that
+#: do not grow with the data. When there are more, those with the smallest hashes are taken.
+LABELLED_ROWS, SAMPLE_ROWS = 12_000, 12_000
+#: Terms that voters know, and further ones that the classifier knows.
+TERMS = 2_000
 #: A term is mined from so many toxic rows on, and from this log-likelihood ratio (G squared) on.
 MIN_TOXIC, MIN_G2 = 3, 15.0
 #: Of the pairs of voters, so many with the strongest dependence given the class get a correlation of their own.
 PAIRS = 12
-BROADCAST_ROWS = 1_000_000
-#: A small public lexicon of English insults, the one voter that is not mined.
+#: Small public lexicons, the two that are not mined: English insults, and words of courtesy.
 INSULTS = frozenset("idiot stupid moron loser scum trash clown pathetic worthless disgusting imbecile dumb jerk".split())
+COURTESY = frozenset("please thanks thank welcome sorry sincerely regards kindly bitte danke merci gracias".split())
 PREFIXES = (3, 4, 5, 6)
+#: Words from which on a text without any hit counts as calm.
+CALM_WORDS = 8
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
@@ -64,22 +69,27 @@ class Lexicon:
         return found
 
 
-VOTERS = ("insults", "word", "prefix3", "prefix4", "prefix5", "prefix6", "dense", "shouting", "bangs", "symbols")
+#: All but the last two say toxic or nothing; those say clean or nothing.
+VOTERS = ("insults", "word", "prefix3", "prefix4", "prefix5", "prefix6", "dense", "shouting", "bangs", "symbols", "calm", "courteous")
 
 
 def votes(text: str | None, words: set[str], hits: set[int], kinds: list[str]) -> int:
-    """Bit mask of the voters that say toxic."""
+    """Bit mask of the voters that say something. ``kinds`` are those of the voters' terms; hits of other terms do not count."""
     text = text or ""
-    found = {kinds[i] for i in hits}
+    mine = [i for i in hits if i < len(kinds)]
+    found = {kinds[i] for i in mine}
     tokens = _TOKEN.findall(text)
+    insulting = not INSULTS.isdisjoint(words)
     said = [
-        not INSULTS.isdisjoint(words),
+        insulting,
         "w" in found,
         *(str(k) in found for k in PREFIXES),
-        len(hits) >= 0.02 * len(words) and bool(hits),
+        len(mine) >= 0.02 * len(words) and bool(mine),
         2 * sum(map(str.isupper, tokens)) > len(tokens),
         bool(_BANGS.search(text)),
         bool(_SYMBOLS.search(text)),
+        not mine and not insulting and len(words) >= CALM_WORDS,
+        not COURTESY.isdisjoint(words),
     ]
     return sum(1 << i for i, v in enumerate(said) if v)
 
@@ -87,8 +97,9 @@ def votes(text: str | None, words: set[str], hits: set[int], kinds: list[str]) -
 class LabelModel:
     """p(votes, y) is log-linear: a bias of y, an accuracy of every voter for each y, and a correlation for chosen pairs of voters.
 
-    Voters say toxic or nothing, so all 2^m patterns can be summed up exactly. The likelihood of the pattern counts of unlabelled rows (y is summed
-    out) and of labelled rows is climbed by gradient steps from the labelled rows' own rates. Patterns are few, so rows never come here.
+    A voter says its word or nothing, so all 2^m patterns can be summed up exactly. The likelihood of the pattern counts of all documents (y is
+    summed out) and of labelled rows that no voter was mined from is climbed by gradient steps from these labelled rows' rates. Patterns are few, so
+    rows never come here.
     """
 
     def __init__(self, m: int):
@@ -141,11 +152,10 @@ class LabelModel:
         return self
 
 
-def fit_linear(rows: list[tuple[np.ndarray, float]], width: int, steps: int = 300, penalty: float = 0.3) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary features (lists of numbers) and soft targets, by gradient steps with a diagonal scale."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r, _ in rows])
-    column = np.concatenate([r for r, _ in rows]).astype(np.int64) if len(owner) else np.zeros(0, np.int64)
-    target = np.array([t for _, t in rows])
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, width: int, steps: int = 300, penalty: float = 0.3) -> tuple[np.ndarray, float]:
+    """Logistic regression on binary features (numbers, by row) and soft targets, by gradient steps with a diagonal scale."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    column = np.concatenate(rows).astype(np.int64) if len(owner) else np.zeros(0, np.int64)
     w, b = np.zeros(width), math.log((target.sum() + 0.5) / (len(rows) - target.sum() + 0.5))
     scale = 1.0 / (penalty + 0.25 * np.bincount(column, minlength=width) * 4)
     for _ in range(steps):
@@ -158,9 +168,10 @@ def fit_linear(rows: list[tuple[np.ndarray, float]], width: int, steps: int = 30
 
 @dataclass
 class ToxicityModel:
-    """What scoring needs: terms, voters' weights and the linear classifier."""
+    """What scoring needs: terms (those of the voters first), their number, and the linear classifier's weights."""
 
     terms: list[str]
+    voter_terms: int
     weights: np.ndarray
     bias: float
     label_model: LabelModel | None = None
@@ -169,7 +180,7 @@ class ToxicityModel:
         return Lexicon({t: i for i, t in enumerate(self.terms)})
 
     def kinds(self) -> list[str]:
-        return [t.split(":", 1)[0] for t in self.terms]
+        return [t.split(":", 1)[0] for t in self.terms[: self.voter_terms]]
 
     def features(self, text: str | None, lexicon: Lexicon, kinds: list[str]) -> tuple[list[int], int]:
         words = words_of(text)
@@ -177,6 +188,10 @@ class ToxicityModel:
         said = votes(text, words, hits, kinds)
         return sorted(hits) + [len(self.terms) + j for j in range(len(VOTERS)) if said >> j & 1], said
 
+    def posterior(self, pattern: int) -> float:
+        """Probability of toxic given what the voters say."""
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.label_model.logit[pattern])))))
+
 
 def mine_terms(sample: DataFrame) -> list[str]:
     """Terms that tell toxic rows apart: of at least MIN_TOXIC toxic rows, by log-likelihood ratio, the strongest TERMS."""
@@ -191,7 +206,7 @@ def mine_terms(sample: DataFrame) -> list[str]:
                 c.clear()
             return pa.RecordBatch.from_arrays(made, ["term", "clean", "toxic"])
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for i, (text, toxic) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 counts[toxic].update({t for w in words_of(text) for t in terms_of(w)})
                 if i % 400 == 399:
@@ -215,54 +230,74 @@ def mine_terms(sample: DataFrame) -> list[str]:
     return [r["term"] for r in strong.orderBy(F.desc("g2"), "term").limit(TERMS).select("term").collect()]
 
 
-def pattern_counts(docs: DataFrame, model: ToxicityModel) -> np.ndarray:
-    """How many rows of ``docs`` have each pattern of votes; counted per batch before the shuffle."""
+def pattern_counts(docs: DataFrame, model: ToxicityModel, *by: str) -> list:
+    """How many rows of ``docs`` (``text`` and the integer columns ``by``) have each pattern of votes; counted per batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, kinds = model.lexicon(), model.kinds()
         for batch in batches:
-            c = Counter(model.features(t, lexicon, kinds)[1] for t in batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([*c], pa.int32()), pa.array([*c.values()], pa.int64())], ["pattern", "n"])
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            c = Counter((model.features(t, lexicon, kinds)[1], *rest) for t, *rest in rows)
+            made = [*zip(*c, strict=True)] or [()] * (1 + len(by))
+            yield pa.RecordBatch.from_arrays([*(pa.array(m, pa.int32()) for m in made), pa.array([*c.values()], pa.int64())], ["pattern", *by, "n"])
 
-    got = docs.select("text").mapInArrow(run, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(1 << len(VOTERS))
-    for r in got:
-        out[r["pattern"]] = r["n"]
-    return out
+    columns = ", ".join(["pattern int", *(f"{c} int" for c in by), "n long"])
+    return docs.select("text", *by).mapInArrow(run, columns).groupBy("pattern", *by).agg(F.sum("n").alias("n")).collect()  # 2^voters at most
 
 
-def fit_toxicity(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
-    """Fit on ``docs`` (text; unlabelled) and ``labelled`` (text, toxic 0/1). At most SAMPLE_ROWS labelled rows are used.
-
-    Lexicons are mined from the labelled rows; the label model learns the voters' accuracies and correlations from the vote patterns of
-    all documents and of the labelled rows; the classifier is trained on its posterior, in which a row's own label counts as one more,
-    fallible voter. Without labels of both kinds the model is the public lexicon alone.
-    """
-    model = ToxicityModel(mine_terms(labelled), np.zeros(0), 0.0)
-    width = len(model.terms) + len(VOTERS)
+def weak_labels(docs: DataFrame, model: ToxicityModel, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``text, n, posterior``: about ``rows`` distinct texts (those with the smallest hashes), how many rows have each, and what the voters make of it."""
+    total = docs.count()
+    share = min(1.0, 1.2 * rows / max(total, 1))  # of the distinct texts; a few more than needed, as the limit below cuts
+    hashed = docs.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    texts = hashed.groupBy("text", "h").agg(F.count("*").alias("n")).orderBy(F.pmod("h", F.lit(1 << 20)), "h", "text").limit(rows).select("text", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, kinds = model.lexicon(), model.kinds()
         for batch in batches:
-            got = [model.features(t, lexicon, kinds) for t in batch.column(0).to_pylist()]
-            made = [pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int32()), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(made, ["features", "pattern", "toxic"])
+            said = [model.posterior(model.features(t, lexicon, kinds)[1]) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.float64())], ["text", "n", "posterior"])
+
+    return stored(texts, "sampled-texts").mapInArrow(run, "text string, n long, posterior double")
+
+
+def fit_toxicity(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
+    """Fit on ``docs`` (text; all, unlabelled) and ``labelled`` (text, toxic 0/1; LABELLED_ROWS at most).
 
-    rows = labelled.select("text", "toxic").mapInArrow(run, "features array<int>, pattern int, toxic int").collect()  # SAMPLE_ROWS at most
+    Labelled rows fall into two halves by a hash of the text. The terms of the voters are mined from one half. The label model learns prior,
+    accuracies and correlations from the vote patterns of all documents and of the other half. What it then says of a text, from the votes
+    alone, is the label of the classifier's rows: SAMPLE_ROWS texts of ``docs`` at most. The classifier knows the voters, their terms, and terms mined from
+    these posterior labels; no row's own gold label reaches it. Texts that repeat count once in the fit. Ties among terms go by G squared, then by name. Without
+    labels of both kinds in both halves the model is the public lexicon alone. Null and empty texts have no terms; an empty table has no votes.
+    """
+    half = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)), F.lit(2)) == 0).alias("mines"))
+    terms = mine_terms(half.where("mines").select("text", "toxic"))
+    model = ToxicityModel(terms, len(terms), np.zeros(0), 0.0)
     known = np.zeros((2, 1 << len(VOTERS)))
-    for r in rows:
-        known[r["toxic"], r["pattern"]] += 1
-    if not known[0].sum() or not known[1].sum():
-        model.weights = np.zeros(width)
+    for r in pattern_counts(half.where("NOT mines"), model, "toxic"):
+        known[r["toxic"], r["pattern"]] = r["n"]
+    if not terms or not known[0].sum() or not known[1].sum():
+        model.weights = np.zeros(len(model.terms) + len(VOTERS))
         model.weights[len(model.terms)] = 4.0
         model.bias = -2.0
         return model
-    model.label_model = LabelModel(len(VOTERS)).fit(pattern_counts(docs, model), known)
-    logit = model.label_model.logit
-    agree = np.mean([(logit[r["pattern"]] > 0) == bool(r["toxic"]) for r in rows])
-    own = math.log(max(agree, 0.9) / max(1 - agree, 0.01))
-    posterior = [1 / (1 + math.exp(-max(-30, min(30, logit[r["pattern"]] + (own if r["toxic"] else -own))))) for r in rows]
-    model.weights, model.bias = fit_linear([(np.array(r["features"], int), p) for r, p in zip(rows, posterior, strict=True)], width)
+    seen = np.zeros(1 << len(VOTERS))
+    for r in pattern_counts(docs, model):
+        seen[r["pattern"]] = r["n"]
+    model.label_model = LabelModel(len(VOTERS)).fit(seen, known)
+    sample = stored(weak_labels(docs, model), "weak-labels")
+    more = mine_terms(sample.select("text", (F.col("posterior") >= 0.5).cast("int").alias("toxic")))
+    model.terms = terms + [t for t in more if t not in set(terms)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, kinds = model.lexicon(), model.kinds()
+        for batch in batches:
+            got = [model.features(t, lexicon, kinds)[0] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1)], ["features", "posterior"])
+
+    rows = sample.select("text", "posterior").mapInArrow(run, "features array<int>, posterior double").collect()  # SAMPLE_ROWS at most
+    posterior = np.array([r["posterior"] for r in rows])
+    model.weights, model.bias = fit_linear([np.array(r["features"], int) for r in rows], posterior, len(model.terms) + len(VOTERS))
     return model
 
 
@@ -273,7 +308,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, kinds = model.lexicon(), model.kinds()
-        for batch in batches:
+        for batch in in_slices(batches):
             z = [model.bias + float(model.weights[model.features(t, lexicon, kinds)[0]].sum()) for t in batch.column(place).to_pylist()]
             scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
@@ -286,14 +321,16 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text, toxic`` of about ``rows`` labelled documents at most, by a hash of the id; a document labelled twice counts as toxic if once."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """``text, toxic`` of at most ``rows`` labelled documents, those with the smallest hashes of their ids.
+
+    A document labelled twice counts as toxic if once; of rows that repeat a doc_id, one text stands for it. Null ids and labels are left out.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    n = known.count()
-    share = min(1.0, rows / max(n, 1))
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    few = F.broadcast(some) if min(n, 2 * rows) <= BROADCAST_ROWS else some
-    return docs.join(few, "doc_id").select("text", "toxic")
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # of ``rows`` rows at most
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    return met.groupBy("doc_id").agg(one.alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

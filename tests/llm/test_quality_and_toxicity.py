@@ -31,13 +31,17 @@ def test_base_counts_equal_brute_force(spark):
 
 def test_bands():
     rnd = random.Random(4)
-    noise = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(9000))
-    assert not compression(noise.encode() + b" " + "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(3)).encode())[3] or compression(noise.encode())[0] < 1.45
-    assert not compression(("the same words again " * 400).encode())[3]
-    assert compression(b"")[3] and compression(b"short text")[3]
-    # a repetitive stretch inside ordinary text shows in its chunks
     words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9))) for _ in range(4000)]
-    assert compression((" ".join(words[:3000]) + "x " * 20000).encode())[3] is False
+    prose = " ".join(words)
+    noise = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(12000))
+    accepts = lambda t: compression(t.encode())[3]
+    assert accepts("") and accepts("short text") and all(accepts(prose[:n]) for n in (120, 300, 900, 3000, 10000, 17000))
+    assert not any(accepts(noise[:n]) for n in (3000, 9000))
+    assert not any(accepts(("the same words again " * 900)[:n]) for n in (150, 400, 3000, 18000))
+    assert not accepts(prose[:12000] + "x " * 20000)  # a repetitive stretch inside ordinary text shows in its chunks
+    tail = prose[:8192] + noise[:3500]  # and so does a last part that is no full chunk
+    assert compression(tail.encode())[1] == 3 and compression(tail.encode())[2] >= 1
+    assert compression(b"a" * 4096)[1] == 0 and compression(prose[:4097].encode())[1] == 2
 
 
 def test_clean_documents_stay(spark):
@@ -81,6 +85,23 @@ def test_held_out_accuracy(spark):
     assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.9
 
 
+def test_labels_come_from_votes(spark):
+    """The classifier finds words that only go along with what voters know, and no gold label reaches the row it belongs to."""
+    rnd = random.Random(6)
+    plain = [f"{a}{b}lo" for a in "bcdfgklm" for b in "aeiou"]
+    said = lambda *more: " ".join([*(rnd.choice(plain) for _ in range(30)), *more])
+    labelled = [(said("grumblo", "wretchy"), 1) for _ in range(60)] + [(said(), 0) for _ in range(400)]
+    wrong = [(said(), 1) for _ in range(6)] + [(said("grumblo"), 0) for _ in range(3)]
+    docs = [(t,) for t, _ in labelled + wrong] + [(said("wretchy", "vexorim"),) for _ in range(60)] + [(said(),) for _ in range(500)]
+    model = fit_toxicity(spark.createDataFrame(docs, "text string"), spark.createDataFrame(labelled + wrong, "text string, toxic int"))
+    assert "w:vexorim" in model.terms[model.voter_terms :]
+    rows = [(1, said("grumblo", "wretchy")), (2, said("vexorim", "wretchy")), (3, said()), (4, wrong[0][0]), (5, "")]
+    score = {r.doc_id: r.score for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert score[1] > 0.5 and score[2] > 0.5 and max(score[3], score[4], score[5]) < 0.5
+    calm, word = (1 << VOTERS.index(v) for v in ("calm", "word"))
+    assert model.posterior(calm) < 0.1 < 0.5 < model.posterior(word | sum(1 << VOTERS.index(f"prefix{k}") for k in (3, 4, 5, 6)))
+
+
 def test_toxicity_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (None, "you idiot", 0.5), (3, "kind words", 0.5), (3, "kind words", 0.5)], "doc_id long, text string, score double")
     model = fit_toxicity(docs, spark.createDataFrame([], "text string, toxic int"))
