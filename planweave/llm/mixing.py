@@ -55,6 +55,7 @@ def mix_sources(
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
     shard_rows: int = SHARD_ROWS,
+    by: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """How often the mix takes each document: adds ``source_size, target, copies``, one row per input row.
 
@@ -64,8 +65,9 @@ def mix_sources(
     is emitted once for every integer that its part of the sum crosses. So each document gets the floor or the ceiling of its
     expectation, and as the order goes by size within shards, the words that a source gives stay close to its target.
 
-    The order is (shard, size, hash of doc_id). A large source has many shards of about ``shard_rows`` rows; the sum before a shard
-    comes from a small table of shard counts, so no task ever holds a whole source.
+    The order is (shard, size, hash of the columns ``by``). A large source has many shards of about ``shard_rows`` rows; the sum before a shard
+    comes from a small table of shard counts, so no task ever holds a whole source. Where ids repeat or are missing, ``by`` should name a digest
+    of the text too, or all such rows meet in one shard. The table of sources is small: one task may order it.
 
     Null sources are one source; a null size counts as 0 and a null doc_id as an empty one. Rows that repeat are separate documents.
     A source without words has target 0 and no copies. An empty table gives an empty result. Reruns agree.
@@ -82,7 +84,7 @@ def mix_sources(
         .withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumnRenamed("source", "_source")
     )
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by))
     placed = (
         docs.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
         .drop("_source", "_n")
@@ -103,15 +105,15 @@ def mix_sources(
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents; ``taken`` counts a document's words once per copy."""
-    docs = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    mixed = mix_sources(stored(docs, "mix-sizes"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    mixed = mix_sources(stored(docs, "mix-sizes"), by=("doc_id", "digest"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 OP5_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS hash
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n,
