@@ -1,8 +1,10 @@
 """Removing repeated byte strings across documents with suffix arrays.
 
-Every window of WINDOW bytes picks an anchor from its own content (``anchors``), so equal windows meet under one anchor. Runs of windows under
-an anchor are contexts. Equal contexts need no sorting; where an anchor has several contexts, a suffix array of them (``suffix_groups``) brings
-equal windows together, and the earliest of each kind stays.
+Every window of WINDOW bytes picks an anchor, a gram of its own content (``anchors``), so equal windows meet under one anchor. Runs of windows under
+an anchor are contexts. Equal contexts need no sorting: the earliest stays. Where an anchor has several contexts, a suffix array of them
+(``suffix_groups``) brings equal windows together. An anchor with too many to be sorted by one task is split by more of the windows' content:
+windows whose anchor lies in one stretch of offsets also share the bytes around it, so the stretch and these bytes make smaller groups, of shorter contexts,
+which are sorted in turn; what is still too large is split until a group is one window, where nothing is left to sort.
 """
 
 from __future__ import annotations
@@ -17,119 +19,179 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planweave.llm.anchors import GRAM, anchors
-from planweave.llm.common import documents, stored
+from planweave.llm.common import documents, in_slices, stored
 from planweave.llm.suffix_groups import suffix_arrays
 
 WINDOW = 100
-#: Contexts of an anchor that are sorted together. An anchor with more (a very common line) has its windows grouped by hash and aggregated instead.
+#: Contexts that are sorted together; larger groups are split by content first.
 SORTED_CONTEXTS = 64
+#: Offsets of the anchor in a window that make one group when an anchor is split.
+STRETCH = 20
 #: Bytes of contexts that a task sorts at a time.
 SORTED_BYTES = 3 << 20
+#: Anchors with so many contexts in a sample of so many documents are dealt by context from the start. This decides where rows go, not what is found.
+SAMPLE_DOCUMENTS, HOT_CONTEXTS = 5_000, 25
+#: Rows up to which a list of ids may be broadcast (16 MB); longer ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 NULL_ID = -(1 << 63)
 
 _LONGS = lambda *names: {n: pa.int64() for n in names}
+_KEY = ["doc", "tag"]
 
 
 def _batch(kinds: dict[str, pa.DataType], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches in smaller parts, as Python values of nested columns take many times their Arrow size."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+def _rows_batch(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return _batch(kinds, *(zip(*rows, strict=True) if rows else [()] * len(kinds)))
 
 
 def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _signed(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc, tag, text``: the id that orders documents (null first), and 16 bits of the text, which tell repeated ids apart."""
-    tag = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), tag.alias("tag"), "text")
+    """``doc, tag, text``: the id that orders documents (null first), and 64 bits of the text where rows share an id, else 0."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
+    several = stored(rows.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", F.lit(True).alias("several")), "repeated-ids")
+    n = several.count()
+    if not n:
+        return rows.select("doc", F.lit(0).cast("long").alias("tag"), "text")
+    met = rows.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, "doc", "left")
+    return met.select("doc", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("tag"), "text")
 
 
-def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``gram, ctx, doc, at, again``: one row per run of windows with one anchor.
+def occurrences(keyed: DataFrame, window: int = WINDOW, hot: np.ndarray | None = None) -> DataFrame:
+    """``gram, ctx, ctx2, doc, tag, at, lane``: one row per run of windows with one anchor.
 
-    ``ctx`` is a hash of the context's bytes; ``at`` packs first window (upper 32 bits), tag (16), number of windows (8), anchor (8). ``again`` is 1
-    where the same context stands earlier in the same batch, so just one row per batch has to meet the others of its gram.
+    ``ctx`` and ``ctx2`` are 128 bits of a hash of the context's bytes; ``at`` packs first window (upper bits), number of windows (8), anchor (8). ``lane`` is 1
+    where the same context stands earlier in the same batch, so just one row per batch has to meet the others of its gram; 2 for other rows of ``hot`` anchors.
     """
-    kinds = _LONGS("gram", "ctx", "doc", "at", "again")
+    kinds = _LONGS("gram", "ctx", "ctx2", "doc", "tag", "at", "lane")
+    hot = np.zeros(0, np.int64) if hot is None else np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [_utf8(t) for t in batch.column(2).to_pylist()]
             number, gram, first, count, behind = anchors(texts, window)
-            digest = xxhash.xxh3_64_intdigest
+            digest = xxhash.xxh3_128_digest
             ends = (first + count + window - 1).tolist()
-            ctx = [digest(texts[n][a:b], k) for n, a, b, k in zip(number.tolist(), first.tolist(), ends, behind.tolist(), strict=True)]
-            at = (first << 32) | (tag[number] << 16) | (count << 8) | behind
-            gram, ctx, doc = gram.view(np.int64), np.array(ctx, np.uint64).view(np.int64), doc[number]
-            order = np.lexsort((at, doc, ctx, gram))
-            gram, ctx, doc, at = gram[order], ctx[order], doc[order], at[order]
+            both = b"".join([digest(texts[n][a:b], k) for n, a, b, k in zip(number.tolist(), first.tolist(), ends, behind.tolist(), strict=True)])
+            ctx, ctx2 = np.frombuffer(both, "<i8").reshape(-1, 2).T
+            at = (first << 16) | (count << 8) | behind
+            gram, doc, tag = gram.view(np.int64), doc[number], tag[number]
+            order = np.lexsort((tag, at, doc, ctx2, ctx, gram))
+            gram, ctx, ctx2, doc, tag, at = (c[order] for c in (gram, ctx, ctx2, doc, tag, at))
             new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (ctx[1:] != ctx[:-1])
+            new[1:] = (gram[1:] != gram[:-1]) | (ctx[1:] != ctx[:-1]) | (ctx2[1:] != ctx2[:-1])
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            yield _batch(kinds, gram, ctx, doc, at, ((doc != doc[head]) | (at != at[head])).astype(np.int64))
+            again = (doc != doc[head]) | (at != at[head]) | (tag != tag[head])
+            is_hot = np.isin(gram, hot) if len(hot) else np.zeros(len(gram), bool)
+            yield _batch(kinds, gram, ctx, ctx2, doc, tag, at, np.where(again, 1, np.where(is_hot, 2, 0)))
+
+    return keyed.mapInArrow(run, ", ".join(f"{k} long" for k in kinds))
 
-    return _keyed(docs).mapInArrow(run, "gram long, ctx long, doc long, at long, again long")
+
+def hot_anchors(keyed: DataFrame, window: int = WINDOW, rows: int = SAMPLE_DOCUMENTS, least: int = HOT_CONTEXTS) -> np.ndarray:
+    """Anchors with many contexts, from a sample of about ``rows`` documents, so that there are at most its runs by ``least``."""
+    total = keyed.count()
+    some = keyed if total <= rows else keyed.sample(fraction=rows / total, seed=1)
+    per = occurrences(some, window).select("gram", "ctx").distinct().groupBy("gram").agg(F.count("*").alias("n"))
+    return np.array([r["gram"] for r in per.where(F.col("n") >= least).select("gram").collect()], np.int64)
 
 
 def judged(occ: DataFrame, most: int) -> DataFrame:
-    """``kind, gram, doc, at`` of the runs that matter: 0 repeats an equal context; 1 and 2 are the first of one of several contexts of an anchor (2: more than ``most``)."""
-    mark = F.col("again") == 1
-    dealt = occ.withColumn("route", F.when(mark, F.col("doc")).otherwise(F.col("gram"))).repartition("again", "route")
-    per_gram, per_ctx = W.partitionBy("again", "route"), W.partitionBy("again", "route", "ctx").orderBy("doc", "at")
+    """``kind, gram, doc, tag, at`` of the runs that matter: 0 repeats an equal context; 1 and 2 are the first of one of several contexts of an anchor (2: more than ``most``)."""
+    route = F.when(F.col("lane") == 1, F.col("doc")).when(F.col("lane") == 2, F.xxhash64("gram", "ctx")).otherwise(F.col("gram"))
+    dealt = occ.withColumn("route", route).repartition("lane", "route")
+    place = ["lane", "route"]
+    per_gram, per_ctx = W.partitionBy(*place), W.partitionBy(*place, "ctx", "ctx2").orderBy("doc", "at", "tag")
     seen = (
-        dealt.sortWithinPartitions("again", "route", "ctx", "doc", "at")
+        dealt.sortWithinPartitions(*place, "ctx", "ctx2", "doc", "at", "tag")
         .withColumn("several", F.min("ctx").over(per_gram) != F.max("ctx").over(per_gram))
-        .withColumn("repeats", F.first(F.struct("doc", "at")).over(per_ctx) != F.struct("doc", "at"))
+        .withColumn("repeats", F.first(F.struct("doc", "at", "tag")).over(per_ctx) != F.struct("doc", "at", "tag"))
         .withColumn("contexts", F.sum((F.row_number().over(per_ctx) == 1).cast("int")).over(per_gram))
     )
-    kind = F.when(mark | F.col("repeats"), 0).when(F.col("several"), F.when(F.col("contexts") > most, 2).otherwise(1))
-    return seen.select(kind.alias("kind"), "gram", "doc", "at").where("kind IS NOT NULL")
+    many = (F.col("lane") == 2) | (F.col("contexts") > most)
+    kind = F.when((F.col("lane") == 1) | F.col("repeats"), 0).when(many, 2).when(F.col("several"), 1)
+    return seen.select(kind.alias("kind"), "gram", *_KEY, "at").where("kind IS NOT NULL")
+
 
+def _stretches(data: bytes, at: int, window: int) -> Iterator[tuple[bytes, int, bytes]]:
+    """A context by stretches of offsets of its anchor: bytes that all windows of the stretch share, the shorter context's ``at``, its bytes."""
+    first, count, behind = at >> 16, at >> 8 & 0xFF, at & 0xFF
+    for low in range((behind - count + 1) // STRETCH * STRETCH, behind + 1, STRETCH):
+        top, bottom = min(low + STRETCH - 1, behind), max(low, behind - count + 1)
+        right = max(0, window - GRAM - (low + STRETCH - 1))
+        shared = b"%d:" % low + data[behind - low : behind + GRAM + right]
+        begin = behind - top
+        n = top - bottom + 1
+        yield shared, (first + begin) << 16 | n << 8 | top, data[begin : begin + n + window - 1]
 
-def contexts(docs: DataFrame, need: DataFrame, window: int) -> DataFrame:
-    """``gram, doc, at, bytes, window, key`` for the runs in ``need`` (kind 1 and 2): bytes of a context, or for kind 2 one row per window with its hash as key."""
-    kinds = _LONGS("gram", "doc", "at") | {"bytes": pa.binary(), "window": pa.int64(), "key": pa.int64()}
-    tag = F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF))
-    lists = need.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("kind", "gram", "at")).alias("runs"))
+
+def contexts(keyed: DataFrame, need: DataFrame, window: int) -> DataFrame:
+    """``part, key, same, same2, doc, tag, at, bytes`` for the runs in ``need`` (kind 1 and 2).
+
+    Kind 1 gives its context, with the gram as ``key``; kind 2 gives its stretches (``part`` true), with a hash of what their windows share as ``key`` and 128
+    bits of the bytes' hash as ``same, same2``.
+    """
+    kinds = {"part": pa.bool_()} | _LONGS("key", "same", "same2", "doc", "tag", "at") | {"bytes": pa.binary()}
+    lists = need.groupBy(*_KEY).agg(F.collect_list(F.struct("kind", "gram", "at")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in in_slices(batches):
             rows = []
-            for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, tag, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = _utf8(text)
                 for r in runs:
-                    first, count = r["at"] >> 32, r["at"] >> 8 & 0xFF
+                    at = r["at"]
+                    begin = at >> 16
+                    piece = data[begin : begin + (at >> 8 & 0xFF) + window - 1]
                     if r["kind"] == 1:
-                        rows.append((r["gram"], doc, r["at"], data[first : first + count + window - 1], None, None))
-                    else:
-                        for p in range(first, first + count):
-                            key = xxhash.xxh3_64_intdigest(data[p : p + window], p - first - (r["at"] & 0xFF) & 0xFF)
-                            rows.append((r["gram"], doc, r["at"], None, p, key - (1 << 64) * (key >> 63)))
+                        rows.append((False, r["gram"], 0, 0, doc, tag, at, piece))
+                        continue
+                    for shared, at2, part in _stretches(piece, at, window):
+                        same = xxhash.xxh3_128_digest(part, at2 & 0xFF)
+                        rows.append((True, _signed(xxhash.xxh3_128_digest(shared)), _signed(same), _signed(same[8:]), doc, tag, at2, part))
                 if len(rows) >= 20_000:
-                    yield _batch(kinds, *zip(*rows, strict=True))
+                    yield _rows_batch(kinds, rows)
                     rows = []
             if rows:
-                yield _batch(kinds, *zip(*rows, strict=True))
+                yield _rows_batch(kinds, rows)
+
+    met = keyed.join(lists, _KEY).select(*_KEY, "text", "runs")
+    return met.mapInArrow(run, "part boolean, key long, same long, same2 long, doc long, tag long, at long, bytes binary")
+
+
+def single_windows(parts: DataFrame, window: int) -> DataFrame:
+    """``same, same2, doc, tag, at, window``: every window of the contexts, with 128 bits of its hash."""
+    kinds = _LONGS("same", "same2", *_KEY, "at", "window")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            rows = []
+            for doc, tag, at, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for i in range(at >> 8 & 0xFF):
+                    same = xxhash.xxh3_128_digest(data[i : i + window], (at & 0xFF) - i)
+                    rows.append((_signed(same), _signed(same[8:]), doc, tag, at, (at >> 16) + i))
+            yield _rows_batch(kinds, rows)
 
-    met = _keyed(docs).join(lists, ["doc", "tag"]).select("doc", "text", "runs")
-    return met.mapInArrow(run, "gram long, doc long, at long, bytes binary, window long, key long")
+    return parts.select(*_KEY, "at", "bytes").mapInArrow(run, ", ".join(f"{k} long" for k in kinds))
 
 
-def _promising(groups: list[list[tuple[int, int, bytes]]], window: int) -> list[list[tuple[int, int, bytes]]]:
+def _promising(groups: list[list[tuple[int, int, int, bytes]]], window: int) -> list[list[tuple[int, int, int, bytes]]]:
     """Contexts that can share a window: a window holds at least half of what it has beside the gram on one side of it."""
     half, out = (window - GRAM) // 2, []
     for group in groups:
         seen: dict[bytes, int] = {}
         sides = []
-        for _, at, data in group:
+        for _, _, at, data in group:
             a = at & 0xFF
             left = b"l" + data[a - half : a] if a >= half else None
             right = b"r" + data[a + GRAM : a + GRAM + half] if len(data) - a - GRAM >= half else None
@@ -143,17 +205,17 @@ def _promising(groups: list[list[tuple[int, int, bytes]]], window: int) -> list[
     return out
 
 
-def sorted_repeats(groups: list[list[tuple[int, int, bytes]]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_repeats(groups: list[list[tuple[int, int, int, bytes]]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that repeat an earlier one within their group: document, tag and place.
 
-    A group is a list of contexts (doc, at, bytes) in ascending (doc, at) order. Each group is one string, contexts end with a symbol below all bytes.
+    A group is a list of contexts (doc, tag, at, bytes) in ascending (doc, at, tag) order. Each group is one string, contexts end with a symbol below all bytes.
     """
     groups = _promising(groups, window)
     flat = [c for g in groups for c in g]
     if not flat:
         return (np.zeros(0, np.int64),) * 3
-    lengths = np.array([len(c[2]) for c in flat])
-    raw = np.frombuffer(b"".join(c[2] for c in flat), np.uint8)
+    lengths = np.array([len(c[3]) for c in flat])
+    raw = np.frombuffer(b"".join(c[3] for c in flat), np.uint8)
     begin = np.cumsum(lengths + 1) - lengths - 1
     owner = np.repeat(np.arange(len(flat)), lengths)
     spread = np.arange(len(raw)) + owner
@@ -179,19 +241,19 @@ def sorted_repeats(groups: list[list[tuple[int, int, bytes]]], window: int) -> t
     head = np.flatnonzero(np.concatenate([[True], ~same])) if len(w) else np.zeros(0, int)
     earliest = np.repeat(np.minimum.reduceat(w, head), np.diff(np.append(head, len(w)))) if len(w) else w
     doc = np.array([c[0] for c in flat], np.int64)
-    first = np.array([c[1] >> 32 for c in flat], np.int64)
+    first = np.array([c[2] >> 16 for c in flat], np.int64)
     which = np.searchsorted(begin, w, side="right") - 1
     from_ = np.searchsorted(begin, earliest, side="right") - 1
     place = first[which] + w - begin[which]
     other = first[from_] + earliest - begin[from_]
-    tag = np.array([c[1] >> 16 & 0xFFFF for c in flat], np.int64)
+    tag = np.array([c[1] for c in flat], np.int64)
     again = (doc[which] != doc[from_]) | (place != other) | (tag[which] != tag[from_])
     return doc[which][again], tag[which][again], place[again]
 
 
 def sort_contexts(rows: DataFrame, window: int) -> DataFrame:
-    """``doc, tag, first, count``: runs of windows that repeat an earlier one, from contexts of kind 1."""
-    kinds = _LONGS("doc", "tag", "first", "count")
+    """``doc, tag, first, count``: runs of windows that repeat an earlier one, from groups of contexts (``key, doc, tag, at, bytes``)."""
+    kinds = _LONGS(*_KEY, "first", "count")
 
     def flush(groups) -> pa.RecordBatch:
         doc, tag, place = sorted_repeats(groups, window)
@@ -205,19 +267,19 @@ def sort_contexts(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, current, size = [], None, 0
         for batch in batches:
-            for gram, doc, at, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if gram != current:
+            for key, doc, tag, at, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if key != current:
                     if size >= SORTED_BYTES:
                         yield flush(groups)
                         groups, size = [], 0
                     groups.append([])
-                    current = gram
-                groups[-1].append((doc, at, data))
+                    current = key
+                groups[-1].append((doc, tag, at, data))
                 size += len(data)
         if groups:
             yield flush(groups)
 
-    dealt = rows.select("gram", "doc", "at", "bytes").repartition("gram").sortWithinPartitions("gram", "doc", "at")
+    dealt = rows.select("key", *_KEY, "at", "bytes").repartition("key").sortWithinPartitions("key", "doc", "at", "tag")
     return dealt.mapInArrow(run, "doc long, tag long, first long, count long")
 
 
@@ -230,35 +292,45 @@ def _pieces(first: int, count: int, but: list[int] | None) -> Iterator[tuple[int
         first = stop + 1
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, most: int = SORTED_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, most: int = SORTED_CONTEXTS, hot: int = HOT_CONTEXTS) -> DataFrame:
     """``doc_id, n_bytes, removed (array of start, end), kept (binary)``, one row per input row (``doc_id, text`` and any other columns).
 
     Removed is each UTF-8 byte that lies in a string of ``window`` bytes that also starts earlier: in a document of smaller doc_id, or earlier in the
     same one; all strings are judged on the input. Null texts are empty; null doc_ids come first. Rows that
     repeat a doc_id and its text are one document, whose strings are not earlier than themselves; of rows that repeat a doc_id with other text, the order is
-    by start, then by a hash of the text. An empty table gives an empty result.
+    by start, then by a hash of the text. Very long texts are read in stretches. An empty table gives an empty result.
+
+    Windows in suffix arrays are compared byte by byte; equal contexts, and windows that are groups of their own, by 128 bits of a hash.
     """
-    docs = docs.select("doc_id", "text")
-    found = stored(judged(occurrences(docs, window), most), "runs")
-    tag = F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF))
-    fields = [tag.alias("tag"), F.shiftright("at", 32).alias("first"), F.shiftright("at", 8).bitwiseAND(F.lit(0xFF)).alias("count")]
+    keyed = _keyed(docs.select("doc_id", "text"))
+    found = stored(judged(occurrences(keyed, window, hot_anchors(keyed, window, least=hot)), most), "runs")
+    fields = [*_KEY, F.shiftright("at", 16).alias("first"), F.shiftright("at", 8).bitwiseAND(F.lit(0xFF)).alias("count")]
     none = F.lit(None).cast("array<long>").alias("but")
-    equal = found.where("kind = 0").select("doc", *fields, none)
-    rows = stored(contexts(docs, found.where("kind > 0"), window), "contexts")
-    by_sort = sort_contexts(rows.where("key IS NULL"), window).withColumn("but", none)
-    earliest = rows.where("key IS NOT NULL").groupBy("gram", "key").agg(F.min(F.struct("doc", "window", "at")).alias("e")).select("gram", "e.*")
-    stay = stored(earliest.groupBy("gram", "doc", "at").agg(F.collect_list("window").alias("but")), "earliest")
-    by_hash = found.where("kind = 2").select("gram", "doc", "at").distinct().join(stay, ["gram", "doc", "at"], "left").select("doc", *fields, "but")
-    runs = stored(equal.unionByName(by_sort).unionByName(by_hash), "repeated-runs")
-    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("tag", "first", "count", "but")).alias("runs"))
+    rows = stored(contexts(keyed, found.where("kind > 0"), window), "contexts")
+    parts = rows.where("part")
+    earliest = parts.groupBy("key", "same", "same2").agg(F.min(F.struct("doc", "at", "tag")).alias("e"), F.first("bytes").alias("bytes"))
+    firsts = stored(earliest.select("key", "e.*", "bytes"), "first-parts")
+    sizes = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    several = stored(firsts.join(sizes, "key"), "several-parts")
+    large = several.where(F.col("n") > most)
+    windows = single_windows(large, window).groupBy("same", "same2").agg(F.min(F.struct("doc", "window", "tag", "at")).alias("e")).select("e.*")
+    stay = stored(windows.groupBy(*_KEY, "at").agg(F.collect_list("window").alias("but")), "earliest")
+    runs = [
+        found.where("kind = 0").select(*fields, none),
+        parts.join(firsts.select("key", *_KEY, "at"), ["key", *_KEY, "at"], "left_anti").select(*fields, none),
+        large.join(stay, [*_KEY, "at"], "left").select(*fields, "but"),
+        sort_contexts(rows.where("NOT part").unionByName(several.where(F.col("n") <= most), allowMissingColumns=True), window).withColumn("but", none),
+    ]
+    repeated = stored(runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(runs[3]), "repeated-runs")
+    lists = repeated.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "count", "but")).alias("runs"))
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in in_slices(batches):
             out = []
-            for doc, tag, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data, spans = _utf8(text), []
-                mine = [p for r in runs or () if r["tag"] == tag for p in _pieces(r["first"], r["count"], r["but"])]
+                mine = [p for r in runs or () for p in _pieces(r["first"], r["count"], r["but"])]
                 for a, b in sorted((p, p + n - 1 + window) for p, n in mine):
                     if spans and a <= spans[-1]["end"]:
                         spans[-1]["end"] = max(spans[-1]["end"], b)
@@ -267,9 +339,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most: int = SORTED_CON
                 cuts = [0, *(x for s in spans for x in (s["start"], s["end"])), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
                 out.append((None if doc == NULL_ID else doc, len(data), spans, kept))
-            yield _batch(kinds, *(zip(*out, strict=True) if out else [()] * len(kinds)))
+            yield _rows_batch(kinds, out)
 
-    both = _keyed(docs).join(lists, "doc", "left").select("doc", "tag", "text", "runs")
+    both = keyed.join(lists, _KEY, "left").select("doc", "text", "runs")
     return both.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 

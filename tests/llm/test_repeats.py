@@ -46,10 +46,11 @@ def corpus():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("most", [64, 4])
-def test_equals_brute_force(spark, most):
+@pytest.mark.parametrize("most, hot", [(64, 25), (64, 10_000), (4, 3), (1, 1)])
+def test_equals_brute_force(spark, most, hot):
+    """Whatever number of contexts is sorted at once, and whichever anchors are dealt by context, the same bytes go."""
     rows = corpus()
-    got = remove_repeats(spark.createDataFrame(rows, DOCS).repartition(6), most=most).collect()
+    got = remove_repeats(spark.createDataFrame(rows, DOCS).repartition(6), most=most, hot=hot).collect()
     mine = {r.doc_id: (r.doc_id, r.n_bytes, [(s.start, s.end) for s in r.removed], bytes(r.kept)) for r in got}
     assert len(got) == len(rows)
     for row in brute_force(rows):
