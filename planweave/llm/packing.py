@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from planweave.llm.common import documents, stored
-from planweave.llm.tokens import encoder
+from planweave.llm.common import documents, free_name, in_slices, stored
+from planweave.llm.tokens import REMEMBERED, encoder
 
 MAX_TOKENS = 2048
 END_ID = 0
 #: Pieces that are packed together in one task. A group leaves at most a few sequences less than full.
 GROUP_PIECES = 16384
+#: Weights of the residual tokens, pieces and attention cost in the choice of a sequence.
+WEIGHTS = (1.0, 0.2, 0.2)
+#: Pieces that a sequence may hold at least.
+LEAST_DOCUMENTS = 64
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """Token pieces of whole texts: ``doc_id, piece, start, length, ids`` (little-endian 32-bit integers).
 
     A document's ids, with ``end_id`` appended, are one piece if there are at most ``max_tokens``; a longer document is cut into pieces of
-    ``max_tokens`` and a last one that may be shorter. A null text counts as empty and still has its end id. Repeated rows give repeated pieces.
+    ``max_tokens`` and a last one that may be shorter. A null text counts as empty and still has its end id. Repeated rows give repeated pieces, and very long
+    texts many. ``remembered`` bounds the words that a worker keeps with their ids: fewer take more time and less memory, and give the same ids.
     """
     tail, step = np.array([end_id], "<u4").tobytes(), 4 * max_tokens
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in batches:
+        encode = encoder(tokenizer, remembered).encode
+        for batch in in_slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text) + tail
@@ -105,38 +111,49 @@ def vector_best_fit(demands: np.ndarray, capacities: np.ndarray, weights: np.nda
 def pack_pieces(
     pieces: DataFrame,
     max_tokens: int = MAX_TOKENS,
-    max_documents: int = MAX_TOKENS,
+    max_documents: int | None = None,
     max_cost: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
     group_pieces: int = GROUP_PIECES,
 ) -> DataFrame:
-    """Adds ``sequence_id, offset`` to pieces (``doc_id, piece, length`` and any other columns but these two).
+    """Adds ``sequence_id, offset`` to pieces (``doc_id, piece, length`` and any other columns; those named like a result are replaced).
 
-    Capacities of a sequence: tokens, pieces of documents, and attention cost (sum of squared lengths; none by default, which is what the
-    token capacity implies). Pieces are dealt by a hash into groups of about ``group_pieces`` and each group is packed by ``vector_best_fit``, so no
-    task holds more and the sequences that groups leave open are few. Places in a sequence are gapless. Null doc_ids and
-    repeated rows are pieces like others; an empty table gives none. A piece longer than ``max_tokens`` has a sequence of its own.
+    Capacities of a sequence: tokens, pieces of documents, and attention cost (sum of squared lengths). The default number of pieces is twice what
+    a full sequence of this table has on average (LEAST_DOCUMENTS at least), so that short pieces are spread over the sequences and cost none. The default cost is that of one
+    piece that fills a sequence: a lower one would leave every longer piece alone in its sequence. All three residuals choose the sequence, by ``weights`` and ``rule``.
+
+    Pieces are kept as a table and dealt by their places in it into groups of about ``group_pieces``, whatever their ids, and each group is packed by
+    ``vector_best_fit``: no task holds more, and the sequences that groups leave open are few. Places in a sequence are gapless. Null doc_ids,
+    equal lengths and repeated rows are pieces like others (longer ones first, then by doc_id and piece); an empty table gives none. A piece longer than ``max_tokens`` has a sequence of its own.
     """
-    total = pieces.count()
-    groups = max(1, -(-total // group_pieces))
-    pieces = pieces.drop("sequence_id", "offset")
-    capacities = np.array([max_tokens, max_documents, float(max_tokens) ** 2 if max_cost is None else max_cost])
-    weight = np.array(weights, float)
-    names = pieces.columns
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        n = pdf["length"].to_numpy(np.float64)
-        bins = vector_best_fit(np.stack([n, np.ones(len(n)), n * n], axis=1), capacities, weight, rule)
-        pdf = pdf.assign(_bin=bins).sort_values("_bin", kind="stable")
-        pdf["offset"] = pdf.groupby("_bin")["length"].cumsum() - pdf["length"]
-        pdf["sequence_id"] = pdf["_group"].astype("int64") * (1 << 32) + pdf["_bin"]
-        return pdf[[*names, "sequence_id", "offset"]]
-
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(pack, schema)
+    pieces = stored(pieces.drop("sequence_id", "offset"), "pieces")
+    total = pieces.agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).first()
+    groups = max(1, -(-total["n"] // group_pieces))
+    mean = max_tokens * total["n"] / max(total["tokens"] or 0, 1)
+    documents_ = max_documents or min(max_tokens, max(LEAST_DOCUMENTS, math.ceil(2 * mean)))
+    capacities = np.array([max_tokens, documents_, float(max_tokens) ** 2 if max_cost is None else max_cost])
+    weight, names = np.array(weights, float), pieces.columns
+    group = free_name(pieces, "group")
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        n = table["length"].to_numpy().astype(np.float64)
+        doc, piece = (table[c].fill_null(-1).to_numpy() for c in ("doc_id", "piece"))
+        order = np.lexsort((piece, doc, -n))
+        bins = vector_best_fit(np.stack([n, np.ones(len(n)), n * n], axis=1)[order], capacities, weight, rule)
+        by_bin = np.argsort(bins, kind="stable")
+        order, bins = order[by_bin], bins[by_bin]
+        length = n[order].astype(np.int64)
+        ahead = np.cumsum(length) - length
+        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+        offset = ahead - np.repeat(ahead[first], np.diff(np.append(first, len(bins))))
+        sequence = (np.int64(table[group][0].as_py()) << np.int64(32)) + bins
+        return table.select(names).take(pa.array(order)).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    schema = StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long")
+    dealt = pieces.withColumn(group, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    return dealt.groupBy(group).applyInArrow(pack, schema)
 
 
 def assemble(packed: DataFrame) -> DataFrame:
@@ -147,10 +164,9 @@ def assemble(packed: DataFrame) -> DataFrame:
 
 
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of at most 2048 tokens; the other two capacities do not bind there."""
+    """Pack all documents into sequences of at most 2048 tokens."""
     pieces = cut_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack_pieces(stored(digests, "pieces"))
+    return pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 QUERIES = {"op9_pack_documents": op9_pack_documents}

@@ -129,6 +129,6 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> TextEncoder:
-    """One encoder per worker and file."""
-    return TextEncoder(path)
+def encoder(path: str, most: int = REMEMBERED) -> TextEncoder:
+    """One encoder per worker, of the file and size that were asked for last."""
+    return TextEncoder(path, most)
