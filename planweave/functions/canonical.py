@@ -12,11 +12,21 @@ VALIDATION = "VALIDATION_"
 def canonical_json(text: Column) -> Column:
     """JSON text with object keys sorted at every level, arrays in order, ``-0`` as ``0`` and nulls kept; null for null or text that is no JSON.
 
-    Whole numbers are written without fraction however they were given.
+    A number has one form however it was given: whole ones (below 10^15) without fraction or exponent, others as the shortest text of the
+    double. An object that repeats a key is no JSON here.
     """
     plain = F.to_json(F.try_parse_json(text))
-    # a number such as 1e2 is written with an empty fraction; strings are left alone, as the pattern skips over them
-    return F.regexp_replace(plain, r'("(?:[^"\\]|\\.)*")|(?<=[:\[,])(-?[0-9]+)\.0+(?=[,\]}])', "$1$2")
+    odd = plain.rlike(r"[0-9][.eE][0-9+-]")
+    parts = F.regexp_extract_all(plain, F.lit(r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'), F.lit(0))
+    return F.when(odd, F.array_join(F.transform(parts, _number_form), "")).otherwise(plain)
+
+
+def _number_form(part: Column) -> Column:
+    """One form for a number in a JSON text; other parts stay."""
+    number = part.try_cast("double")
+    whole = (F.abs(number) < 1e15) & (number == F.floor(number))
+    short = F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))
+    return F.when(part.rlike("^-?[0-9]") & part.rlike("[.eE]"), short).otherwise(part)
 
 
 def semantic_hash(text: Column) -> Column:
@@ -107,6 +117,11 @@ def validator_of(code: Column) -> Column:
     return F.when(code.startswith(VALIDATION), F.lower(F.substring(code, len(VALIDATION) + 1, 200)))
 
 
+def set_digest(hashes: Column) -> Column:
+    """Aggregate: one number for a set of hex hashes whatever their order, the sum of their first 60 bits modulo 2^61 - 1."""
+    return (F.sum(F.conv(F.substring(hashes, 1, 15), 16, 10).cast("decimal(38,0)")) % F.lit((1 << 61) - 1)).cast("long")
+
+
 def order_free_digest(hashes: Column) -> list[Column]:
     """Aggregates that tell two sets of row hashes apart whatever their order: count, xor and sum of 64-bit hashes."""
     h = F.xxhash64(hashes)

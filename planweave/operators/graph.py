@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ MAX_ROUNDS = 10_000
 
 def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``id, distance``: all nodes that ``seeds`` (``id``) reach over ``edges``, with the least number of steps (0 for seeds). Only the frontier is joined."""
-    edges = edges.select("src", "dst").distinct()
+    edges = kept(edges.select("src", "dst").distinct(), "edges")
     frontier = kept(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "closure")
     seen = frontier
     for step in range(1, max_rounds):
@@ -113,16 +115,17 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX
     Level 0 depends on nothing, level n on something of level n-1. Ends of edges that are not in ``nodes`` are nodes too. Whatever depends on a cycle
     is left, so an empty second table means that there is an order.
     """
-    edges = edges.where("src <> dst").select("src", "dst").distinct()
+    edges = kept(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     ids = nodes.select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    rest, out, levels = kept(ids, "rest"), kept(edges, "open-edges"), None
-    for level in range(max_rounds):
-        ready = kept(rest.join(out.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)), "ready")
+    needs = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("open"))
+    rest, out = kept(ids.join(needs, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open")), "rest"), []
+    for level in range(max_rounds):  # a node is ready when none of what it depends on is open
+        ready = rest.where("open = 0").select("id", F.lit(level).alias("level"))
         if ready.isEmpty():
-            return levels if levels is not None else ready, rest
-        levels = ready if levels is None else levels.unionByName(ready)
-        rest = kept(rest.join(ready, "id", "left_anti"), "rest")
-        out = kept(out.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "open-edges")
+            return reduce(DataFrame.unionByName, out or [ready]), rest.select("id")
+        out.append(ready)
+        met = edges.join(ready.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("met"))
+        rest = kept(rest.where("open > 0").join(met, "id", "left").select("id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "rest")
     raise RuntimeError(f"levels did not end within {max_rounds} rounds")
 
 
@@ -142,6 +145,7 @@ def connected_by(edges: DataFrame, start: DataFrame, blocked: DataFrame) -> Data
     frontier = kept(blocked.select(F.col("id"), F.col("id").alias("blocker"), F.lit(0).alias("distance")), "blocked")
     seen = frontier
     deps = edges.select("src", "dst").distinct().join(start.select(F.col("id").alias("src")), "src", "left_semi")
+    deps = kept(deps, "dependencies")
     for step in range(1, MAX_ROUNDS):
         hit = frontier.join(deps, frontier.id == deps.dst).groupBy(F.col("src").alias("id")).agg(F.min(frontier.id).alias("blocker"))
         frontier = kept(hit.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(step)), "skipped")

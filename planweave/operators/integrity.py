@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from planweave.operators.order import ranked
+
 
 def out_of_scope_collisions(source: DataFrame, scoped_destination: DataFrame, visible: DataFrame) -> DataFrame:
     """Ids that only the source has within the scope, but that are visible in the destination outside of it. All tables: ``record_id``."""
@@ -93,7 +95,7 @@ def default_suppressions(values: DataFrame, defaults: DataFrame) -> DataFrame:
 def compact_positions(records: DataFrame, removed: DataFrame) -> DataFrame:
     """Siblings renumbered from 1 after ``removed`` ids are gone: ``record_id, position``."""
     left = records.join(removed.select("record_id"), "record_id", "left_anti")
-    return left.select("record_id", F.row_number().over(W.partitionBy("item_type_id", "parent_id").orderBy("position", "record_id")).alias("position"))
+    return ranked(left, "place").select("record_id", F.col("place").alias("position"))
 
 
 def execution_steps(plan: DataFrame, levels: DataFrame) -> DataFrame:

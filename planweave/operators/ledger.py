@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planweave.functions.canonical import deterministic_id, is_legacy_id, is_portable_id
+from planweave.operators.prefix import running_sum
+from planweave.operators.store import kept
 
 #: Bytes of a ledger document.
 CHUNK_BYTES = 131_072
@@ -37,10 +39,10 @@ def reserve_ids(wanted: DataFrame, occupied: DataFrame, site: str, attempts: int
         first = F.row_number().over(W.partitionBy("namespace", "target_id").orderBy("source_id")) == 1
         good = tried.join(taken, ["namespace", "target_id"], "left_anti").withColumn("first", first).where("first").select("namespace", "source_id", "target_id")
         out = good if out is None else out.unionByName(good)
-        rest = rest.join(good.select("namespace", "source_id"), ["namespace", "source_id"], "left_anti")
+        out, taken = kept(out, "reserved"), kept(taken.unionByName(good.select("namespace", "target_id")), "taken")
+        rest = kept(rest.join(out.select("namespace", "source_id"), ["namespace", "source_id"], "left_anti"), "clashes")
         if rest.isEmpty():
             return out
-        taken = taken.unionByName(good.select("namespace", "target_id"))
     raise RuntimeError(f"no free id within {attempts} attempts")
 
 
@@ -59,11 +61,10 @@ def apply_mapping(rows: DataFrame, mapping: DataFrame, column: str) -> DataFrame
 
 def chunk_ledger(entries: DataFrame, limit: int = CHUNK_BYTES, envelope: int = 512) -> DataFrame:
     """Adds ``chunk``: sorted entries cut so that no chunk's entries exceed ``limit``; by running sums per namespace, with room for the longest entry."""
-    text = F.concat_ws(":", "namespace", "source_id", "target_id")
-    size = F.octet_length(text) + 3
-    longest = F.max(size).over(W.partitionBy("namespace"))
-    ahead = F.sum(size).over(W.partitionBy("namespace").orderBy("source_id", "target_id")) - size
-    return entries.withColumn("chunk", F.floor(ahead / (F.lit(limit - envelope) - longest)).cast("long"))
+    size = F.octet_length(F.concat_ws(":", "namespace", "source_id", "target_id")) + 3
+    longest = entries.groupBy("namespace").agg(F.max(size).alias("_longest"))
+    summed = running_sum(entries, ["namespace"], [F.col("source_id"), F.col("target_id")], size, "_upto").join(longest, "namespace")
+    return summed.withColumn("chunk", F.floor((F.col("_upto") - size) / (F.lit(limit - envelope) - F.col("_longest"))).cast("long")).drop("_upto", "_longest")
 
 
 def ledger_violations(entries: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from planweave.functions.canonical import set_digest
+from planweave.operators.prefix import running_sum
+from planweave.operators.store import kept
+
 GROUP = ["item_type_id", "parent_id"]
 
 
 def ranked(records: DataFrame, name: str = "rank") -> DataFrame:
     """Place of every record among its siblings (same model and parent) by position, then id, from 1."""
-    return records.withColumn(name, F.row_number().over(W.partitionBy(*GROUP).orderBy(F.col("position").asc_nulls_last(), "record_id")))
+    order = [F.col("position").asc_nulls_last(), F.col("record_id").asc()]
+    return running_sum(records, GROUP, order, F.lit(1), name).withColumn(name, F.col(name).cast("int"))
 
 
 def sibling_order_violations(desired: DataFrame, live: DataFrame) -> DataFrame:
@@ -43,8 +47,16 @@ def affected_groups(diff: DataFrame) -> DataFrame:
 def target_positions(records: DataFrame, groups: DataFrame) -> DataFrame:
     """Final places within affected groups, with the neighbours on both sides: ``record_id, place, before_id, after_id``."""
     mine = records.alias("r").join(groups.select(F.col("item_type_id").alias("_t"), F.col("parent_id").alias("_p")), (F.col("item_type_id") == F.col("_t")) & F.col("parent_id").eqNullSafe(F.col("_p")), "left_semi")
-    w = W.partitionBy(*GROUP).orderBy(F.col("position").asc_nulls_last(), "record_id")
-    return mine.select("record_id", F.row_number().over(w).alias("place"), F.lag("record_id").over(w).alias("before_id"), F.lead("record_id").over(w).alias("after_id"))
+    placed = kept(ranked(mine, "place").select("record_id", *GROUP, "place"), "places")
+
+    def neighbour(step: int, name: str) -> DataFrame:
+        return placed.select(F.col("item_type_id").alias("_t"), F.col("parent_id").alias("_p"), (F.col("place") - step).alias("_place"), F.col("record_id").alias(name))
+
+    out = placed
+    for step, name in ((-1, "before_id"), (1, "after_id")):
+        on = (F.col("item_type_id") == F.col("_t")) & F.col("parent_id").eqNullSafe(F.col("_p")) & (F.col("place") == F.col("_place"))
+        out = out.join(neighbour(step, name), on, "left").drop("_t", "_p", "_place")
+    return out.select("record_id", "place", "before_id", "after_id")
 
 
 def next_positions(records: DataFrame) -> DataFrame:
@@ -63,12 +75,20 @@ def execution_sequence(rows: DataFrame, order: DataFrame) -> DataFrame:
     return rows.select("record_id").join(order, "record_id", "left")
 
 
+def topology_signature(records: DataFrame) -> DataFrame:
+    """``item_type_id, n, digest``: an order-free digest of (id, parent, position) of each model's records; a missing parent or position counts as empty."""
+    told = F.sha2(F.concat_ws("|", "record_id", F.coalesce("parent_id", F.lit("")), F.coalesce(F.col("position").cast("string"), F.lit(""))), 256)
+    return records.select("item_type_id", told.alias("told")).groupBy("item_type_id").agg(F.count("*").alias("n"), set_digest(F.col("told")).alias("digest"))
+
+
 def apply_ids(baseline: DataFrame, plan: DataFrame) -> DataFrame:
     """Ids after a plan: the baseline's without deleted ones, and created ones."""
     created, deleted = (plan.where(F.col("action") == a).select("record_id") for a in ("create", "delete"))
     return baseline.select("record_id").join(deleted, "record_id", "left_anti").unionByName(created)
 
 
-def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` that ``b`` lacks, as often as they occur beyond it."""
-    return a.exceptAll(b)
+def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``same``: one row that tells whether two id tables hold the same ids as often, whatever their order."""
+    side = lambda df, n: df.select(F.col(df.columns[0]).alias("id"), F.lit(n).alias("n"))
+    uneven = side(a, 1).unionByName(side(b, -1)).groupBy("id").agg(F.sum("n").alias("n")).where("n <> 0")
+    return uneven.agg((F.count("*") == 0).alias("same"))

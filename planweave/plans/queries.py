@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None, records: bool = True) -> Callable[[
 
 # Record plans and change flags.
 
-PLAN_SQL = """p AS (
+PLAN_SQL = """p AS MATERIALIZED (
   SELECT record_id, coalesce(s.item_type_id, d.item_type_id) AS item_type_id,
          CASE WHEN d.record_id IS NULL THEN 'create' WHEN s.record_id IS NULL THEN 'delete'
               WHEN s.hash = d.hash AND s.position = d.position THEN 'noop' ELSE 'update' END AS action,
@@ -98,7 +98,7 @@ def _half_applied(spark, sf):
 
 
 _LIVE_SQL = f"""{PLAN_SQL},
-live AS (
+live AS MATERIALIZED (
   SELECT record_id, CASE WHEN position % 13 = 0 THEN 'other' ELSE hash END AS live_hash FROM (
     SELECT s.record_id, s.position, s.hash FROM src s JOIN p USING (record_id) WHERE action IN ('create', 'update') AND s.position % 2 = 0
     UNION ALL
@@ -273,14 +273,18 @@ _EDGES_SQL = """e AS (
 
 
 def _edges(spark, source):
-    links = spark.createDataFrame([("customer", True)], "field string, required boolean")
-    orders = X.slices(source.where("item_type_id = 'order'")).select("record_id", F.col("fields").alias("value"))
-    return X.references(X.explode_document(orders), links).unionByName(X.parent_edges(source))
+    """Orders have one link, at the top of both slices, so it is read without unfolding; parents are edges too."""
+    orders = X.slices(source.where("item_type_id = 'order'"))
+    linked = orders.select(F.col("record_id").alias("from_id"), F.get_json_object("fields", "$.customer").alias("to_id"), F.lit(".customer").alias("path"), F.lit(True).alias("required"))
+    return linked.where("to_id IS NOT NULL").distinct().unionByName(X.parent_edges(source))
 
 
 @query("c2_record_references", f"WITH {_EDGES_SQL} SELECT * FROM e")
 def c2_record_references(spark, sf):
-    return _edges(spark, both(spark, sf)[0])
+    source = both(spark, sf)[0]
+    links = spark.createDataFrame([("customer", True)], "field string, required boolean")
+    orders = X.slices(source.where("item_type_id = 'order'")).select("record_id", F.col("fields").alias("value"))
+    return X.references(X.explode_document(orders), links).unionByName(X.parent_edges(source))
 
 
 @query("c2_nested_references", """WITH b AS (SELECT l_orderkey, l_partkey, l_suppkey, '.modules[' || CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS VARCHAR) || '].attributes' AS place

@@ -106,4 +106,4 @@ def _sql(env: str) -> str:
 
 
 #: SQL tables ``src`` and ``dst``, the same rows as ``both``; for the start of a WITH list.
-RECORDS_SQL = f"src AS ({_sql('source')}), dst AS ({_sql('destination')})"
+RECORDS_SQL = f"src AS MATERIALIZED ({_sql('source')}), dst AS MATERIALIZED ({_sql('destination')})"
