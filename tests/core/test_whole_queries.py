@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-import planweave.plans.integrity_queries  # noqa: F401  (registers more queries)
+import planweave.plans.registered  # noqa: F401  (registers all queries)
 from planweave.plans.queries import QUERIES
 from planweave.sources.records import both
 
