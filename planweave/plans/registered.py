@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from planweave.plans import integrity_queries, schema_queries, snapshot_queries  # noqa: F401
+from planweave.plans import dependency_queries, integrity_queries, schema_queries, snapshot_queries  # noqa: F401
 from planweave.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
