@@ -1,6 +1,6 @@
 """Registered queries of dependency orders, unique values and skips, with DuckDB SQL for the same rows.
 
-The graph is over all customers: within every 60 keys, k refers to k * k + 7, every fourth also to 5k + 1 (optional), and every fifth has k / 2 as parent.
+The graph is over all customers: within every 60 keys, k refers to k * k + 7 (optional for every seventh), every fourth also to 5k + 1 (optional), and every fifth has k / 2 as parent.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from planweave.sources.records import both, read_table
 
 _DEPENDENCIES = """n AS (SELECT c_custkey AS id FROM customer),
 e AS MATERIALIZED (SELECT DISTINCT * FROM (
-  SELECT c_custkey AS from_id, c_custkey // 60 * 60 + (c_custkey % 60 * (c_custkey % 60) + 7) % 60 AS to_id, 'a' AS path, c_custkey % 4 <> 0 AS required FROM customer
+  SELECT c_custkey AS from_id, c_custkey // 60 * 60 + (c_custkey % 60 * (c_custkey % 60) + 7) % 60 AS to_id, 'a' AS path, c_custkey % 7 <> 0 AS required FROM customer
   UNION ALL SELECT c_custkey, c_custkey // 60 * 60 + (c_custkey % 60 * 5 + 1) % 60, 'b', false FROM customer WHERE c_custkey % 4 = 0
   UNION ALL SELECT c_custkey, c_custkey // 60 * 60 + c_custkey % 60 // 2, 'parent', true FROM customer WHERE c_custkey % 5 = 0) WHERE to_id IN (FROM n)),
 r AS (SELECT from_id AS a, to_id AS b FROM e UNION SELECT r.a, e.to_id FROM r JOIN e ON r.b = e.from_id),
@@ -45,7 +45,7 @@ def _edges(spark, sf):
     c = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
     k, base = F.col("k") % 60, F.floor(F.col("k") / 60) * 60
     edge = lambda df, to, path, required: df.select(F.col("k").alias("from_id"), (base + to).cast("long").alias("to_id"), F.lit(path).alias("path"), required.alias("required"))
-    out = edge(c, (k * k + 7) % 60, "a", F.col("k") % 4 != 0).unionByName(edge(c.where("k % 4 = 0"), (k * 5 + 1) % 60, "b", F.lit(False)))
+    out = edge(c, (k * k + 7) % 60, "a", F.col("k") % 7 != 0).unionByName(edge(c.where("k % 4 = 0"), (k * 5 + 1) % 60, "b", F.lit(False)))
     out = out.unionByName(edge(c.where("k % 5 = 0"), F.floor(k / 2), "parent", F.lit(True)))
     ids = c.select(F.col("k").alias("id"))
     return ids, out.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id", "path", "required").distinct()

@@ -30,7 +30,8 @@ def query(name: str, sql: str | None = None, records: bool = True) -> Callable[[
         if sql:
             text = sql.strip()
             if records:
-                text = f"WITH {RECORDS_SQL}" + (", " + text[5:] if text.startswith("WITH ") else " " + text)
+                start = "WITH RECURSIVE " if text.startswith("WITH RECURSIVE ") else "WITH "
+                text = f"{start}{RECORDS_SQL}" + (", " + text.removeprefix(start) if text.startswith(start) else " " + text)
             SQL[name] = text
         return f
 
@@ -308,13 +309,15 @@ def _nested_orders(spark, sf):
     def block(line):
         own = F.concat_ws("-", line["l_orderkey"], line["l_linenumber"])
         part = id_("p", line["l_partkey"])
-        hero = text(id=F.concat(own, F.lit("s")), type=F.lit("item"), item_type=item("supply"), supplier=id_("s", line["l_suppkey"]))
+        image = text(upload_id=id_("u", line["l_suppkey"]), alt=F.lit("supplier"))
+        hero = text(id=F.concat(own, F.lit("-s")), type=F.lit("item"), item_type=item("supply"), supplier=id_("s", line["l_suppkey"]), image=image)
         link = text(type=F.lit("itemLink"), item=part, children=F.array(text(type=F.lit("span"), value=F.lit("part"))))
         body = text(schema=F.lit("dast"), document=text(type=F.lit("root"), children=F.array(text(type=F.lit("paragraph"), children=F.array(link)))))
-        return text(id=own, type=F.lit("item"), relationships=text(item_type=text(data=item("line"))), attributes=text(part=part, hero=hero, body=body))
+        return text(id=own, type=F.lit("item"), relationships=text(item_type=text(data=item("line"))), attributes=text(part=part, note=line["note"], hero=hero, body=body))
 
-    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey")))
-    blocks = read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines")).withColumnRenamed("l_orderkey", "o_orderkey")
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey", "note")))
+    notes = read_table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") % 2 == 0, "<b>even</b>").otherwise("odd").alias("note"))
+    blocks = read_table(spark, sf, "lineitem").join(notes, "l_partkey", "left").groupBy("l_orderkey").agg(lines.alias("lines")).withColumnRenamed("l_orderkey", "o_orderkey")
     orders = read_table(spark, sf, "orders").join(blocks, "o_orderkey", "left")
     value = F.to_json(text(customer=id_("c", F.col("o_custkey")), modules=F.transform("lines", block)))
     return orders.select(id_("o", F.col("o_orderkey")).alias("record_id"), F.lit("order").alias("item_type_id"), value.alias("value"))
