@@ -25,10 +25,12 @@ def n_words(text):
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches in smaller parts, as Python values take many times their Arrow size."""
+    """Batches in smaller parts, as Python values take many times their Arrow size. At the end the worker gives back memory that it no longer uses."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

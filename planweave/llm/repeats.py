@@ -10,6 +10,7 @@ which are sorted in turn; what is still too large is split until a group is one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from planweave.llm.suffix_groups import suffix_arrays
 WINDOW = 100
 #: Contexts that are sorted together; larger groups are split by content first.
 SORTED_CONTEXTS = 64
-#: Offsets of the anchor in a window that make one group when an anchor is split.
-STRETCH = 20
+#: Offsets of the anchor in a window that make one group when an anchor is split, in turn, until a group is one window.
+STRETCHES = (20, 5, 1)
 #: Bytes of contexts that a task sorts at a time.
 SORTED_BYTES = 3 << 20
 #: Anchors with so many contexts in a sample of so many documents are dealt by context from the start. This decides where rows go, not what is found.
@@ -76,7 +77,7 @@ def occurrences(keyed: DataFrame, window: int = WINDOW, hot: np.ndarray | None =
     hot = np.zeros(0, np.int64) if hot is None else np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 4096):
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [_utf8(t) for t in batch.column(2).to_pylist()]
             number, gram, first, count, behind = anchors(texts, window)
@@ -123,16 +124,20 @@ def judged(occ: DataFrame, most: int) -> DataFrame:
     return seen.select(kind.alias("kind"), "gram", *_KEY, "at").where("kind IS NOT NULL")
 
 
-def _stretches(data: bytes, at: int, window: int) -> Iterator[tuple[bytes, int, bytes]]:
-    """A context by stretches of offsets of its anchor: bytes that all windows of the stretch share, the shorter context's ``at``, its bytes."""
+def _stretches(data: bytes, at: int, window: int, stretch: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """A context by stretches of offsets of its anchor: ``key, same, same2, at, bytes`` of each shorter context.
+
+    ``key`` is a hash of the bytes that all windows of the stretch share, ``same`` and ``same2`` are 128 bits of the hash of all its bytes.
+    """
     first, count, behind = at >> 16, at >> 8 & 0xFF, at & 0xFF
-    for low in range((behind - count + 1) // STRETCH * STRETCH, behind + 1, STRETCH):
-        top, bottom = min(low + STRETCH - 1, behind), max(low, behind - count + 1)
-        right = max(0, window - GRAM - (low + STRETCH - 1))
-        shared = b"%d:" % low + data[behind - low : behind + GRAM + right]
-        begin = behind - top
-        n = top - bottom + 1
-        yield shared, (first + begin) << 16 | n << 8 | top, data[begin : begin + n + window - 1]
+    for low in range((behind - count + 1) // stretch * stretch, behind + 1, stretch):
+        top, bottom = min(low + stretch - 1, behind), max(low, behind - count + 1)
+        right = max(0, window - GRAM - (low + stretch - 1))
+        key = xxhash.xxh3_128_digest(b"%d:" % low + data[behind - low : behind + GRAM + right])
+        begin, n = behind - top, top - bottom + 1
+        part = data[begin : begin + n + window - 1]
+        same = xxhash.xxh3_128_digest(part, top)
+        yield _signed(key), _signed(same), _signed(same[8:]), (first + begin) << 16 | n << 8 | top, part
 
 
 def contexts(keyed: DataFrame, need: DataFrame, window: int) -> DataFrame:
@@ -156,9 +161,8 @@ def contexts(keyed: DataFrame, need: DataFrame, window: int) -> DataFrame:
                     if r["kind"] == 1:
                         rows.append((False, r["gram"], 0, 0, doc, tag, at, piece))
                         continue
-                    for shared, at2, part in _stretches(piece, at, window):
-                        same = xxhash.xxh3_128_digest(part, at2 & 0xFF)
-                        rows.append((True, _signed(xxhash.xxh3_128_digest(shared)), _signed(same), _signed(same[8:]), doc, tag, at2, part))
+                    for key, same, same2, at2, part in _stretches(piece, at, window, STRETCHES[0]):
+                        rows.append((True, key, same, same2, doc, tag, at2, part))
                 if len(rows) >= 20_000:
                     yield _rows_batch(kinds, rows)
                     rows = []
@@ -169,20 +173,18 @@ def contexts(keyed: DataFrame, need: DataFrame, window: int) -> DataFrame:
     return met.mapInArrow(run, "part boolean, key long, same long, same2 long, doc long, tag long, at long, bytes binary")
 
 
-def single_windows(parts: DataFrame, window: int) -> DataFrame:
-    """``same, same2, doc, tag, at, window``: every window of the contexts, with 128 bits of its hash."""
-    kinds = _LONGS("same", "same2", *_KEY, "at", "window")
+def split_parts(parts: DataFrame, window: int, stretch: int) -> DataFrame:
+    """``key, same, same2, doc, tag, at, bytes``: contexts by shorter stretches."""
+    kinds = _LONGS("key", "same", "same2", *_KEY, "at") | {"bytes": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 2048):
             rows = []
             for doc, tag, at, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for i in range(at >> 8 & 0xFF):
-                    same = xxhash.xxh3_128_digest(data[i : i + window], (at & 0xFF) - i)
-                    rows.append((_signed(same), _signed(same[8:]), doc, tag, at, (at >> 16) + i))
+                rows += [(key, same, same2, doc, tag, at2, part) for key, same, same2, at2, part in _stretches(data, at, window, stretch)]
             yield _rows_batch(kinds, rows)
 
-    return parts.select(*_KEY, "at", "bytes").mapInArrow(run, ", ".join(f"{k} long" for k in kinds))
+    return parts.select(*_KEY, "at", "bytes").mapInArrow(run, "key long, same long, same2 long, doc long, tag long, at long, bytes binary")
 
 
 def _promising(groups: list[list[tuple[int, int, int, bytes]]], window: int) -> list[list[tuple[int, int, int, bytes]]]:
@@ -283,15 +285,6 @@ def sort_contexts(rows: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, tag long, first long, count long")
 
 
-def _pieces(first: int, count: int, but: list[int] | None) -> Iterator[tuple[int, int]]:
-    """A run of windows without some of them, as shorter runs."""
-    for stop in [*sorted(but or ()), first + count]:
-        if stop > first:
-            yield first, stop - first
-        count -= stop + 1 - first
-        first = stop + 1
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, most: int = SORTED_CONTEXTS, hot: int = HOT_CONTEXTS) -> DataFrame:
     """``doc_id, n_bytes, removed (array of start, end), kept (binary)``, one row per input row (``doc_id, text`` and any other columns).
 
@@ -300,29 +293,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most: int = SORTED_CON
     repeat a doc_id and its text are one document, whose strings are not earlier than themselves; of rows that repeat a doc_id with other text, the order is
     by start, then by a hash of the text. Very long texts are read in stretches. An empty table gives an empty result.
 
-    Windows in suffix arrays are compared byte by byte; equal contexts, and windows that are groups of their own, by 128 bits of a hash.
+    Windows in suffix arrays are compared byte by byte; equal contexts by 128 bits of a hash.
     """
     keyed = _keyed(docs.select("doc_id", "text"))
     found = stored(judged(occurrences(keyed, window, hot_anchors(keyed, window, least=hot)), most), "runs")
     fields = [*_KEY, F.shiftright("at", 16).alias("first"), F.shiftright("at", 8).bitwiseAND(F.lit(0xFF)).alias("count")]
-    none = F.lit(None).cast("array<long>").alias("but")
+    group = ["key", *_KEY, "at", "bytes"]
     rows = stored(contexts(keyed, found.where("kind > 0"), window), "contexts")
-    parts = rows.where("part")
-    earliest = parts.groupBy("key", "same", "same2").agg(F.min(F.struct("doc", "at", "tag")).alias("e"), F.first("bytes").alias("bytes"))
-    firsts = stored(earliest.select("key", "e.*", "bytes"), "first-parts")
-    sizes = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    several = stored(firsts.join(sizes, "key"), "several-parts")
-    large = several.where(F.col("n") > most)
-    windows = single_windows(large, window).groupBy("same", "same2").agg(F.min(F.struct("doc", "window", "tag", "at")).alias("e")).select("e.*")
-    stay = stored(windows.groupBy(*_KEY, "at").agg(F.collect_list("window").alias("but")), "earliest")
-    runs = [
-        found.where("kind = 0").select(*fields, none),
-        parts.join(firsts.select("key", *_KEY, "at"), ["key", *_KEY, "at"], "left_anti").select(*fields, none),
-        large.join(stay, [*_KEY, "at"], "left").select(*fields, "but"),
-        sort_contexts(rows.where("NOT part").unionByName(several.where(F.col("n") <= most), allowMissingColumns=True), window).withColumn("but", none),
-    ]
-    repeated = stored(runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(runs[3]), "repeated-runs")
-    lists = repeated.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "count", "but")).alias("runs"))
+    runs, sortable, parts = [found.where("kind = 0").select(*fields)], [rows.where("NOT part").select(*group)], rows.where("part")
+    for shorter in (*STRETCHES[1:], 0):
+        earliest = parts.groupBy("key", "same", "same2").agg(F.min(F.struct("doc", "at", "tag")).alias("e"), F.first("bytes").alias("bytes"))
+        firsts = stored(earliest.select("key", "e.*", "bytes"), "first-parts")
+        runs.append(parts.join(firsts.select("key", *_KEY, "at"), ["key", *_KEY, "at"], "left_anti").select(*fields))
+        sizes = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        several = stored(firsts.join(sizes, "key"), "several-parts")
+        sortable.append(several.where(F.col("n") <= most).select(*group))
+        large = several.where(F.col("n") > most)
+        if not shorter or large.isEmpty():  # a stretch of one is one window: equal keys are equal windows
+            break
+        parts = stored(split_parts(large, window, shorter), "parts")
+    runs.append(sort_contexts(reduce(DataFrame.unionByName, sortable), window))
+    repeated = stored(reduce(DataFrame.unionByName, runs), "repeated-runs")
+    lists = repeated.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,8 +322,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most: int = SORTED_CON
             out = []
             for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data, spans = _utf8(text), []
-                mine = [p for r in runs or () for p in _pieces(r["first"], r["count"], r["but"])]
-                for a, b in sorted((p, p + n - 1 + window) for p, n in mine):
+                for a, b in sorted((r["first"], r["first"] + r["count"] - 1 + window) for r in runs or ()):
                     if spans and a <= spans[-1]["end"]:
                         spans[-1]["end"] = max(spans[-1]["end"], b)
                     else:
