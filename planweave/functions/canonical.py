@@ -29,6 +29,14 @@ def _number_form(part: Column) -> Column:
     return F.when(part.rlike("^-?[0-9]") & part.rlike("[.eE]"), short).otherwise(part)
 
 
+def pretty_json(text: Column) -> Column:
+    """Canonical JSON of an object of plain values with one member a line, indented by two spaces; its size in bytes is ``octet_length``."""
+    plain = canonical_json(text)
+    pattern = F.lit(r'"(?:[^"\\]|\\.)*":(?:"(?:[^"\\]|\\.)*"|[^",{}\[\]]+)')
+    lines = F.transform(F.regexp_extract_all(plain, pattern, F.lit(0)), lambda m: F.concat(F.lit("  "), F.regexp_replace(m, r'^("(?:[^"\\]|\\.)*"):', "$1: ")))
+    return F.when(plain.isNull() | (F.size(lines) == 0), plain).otherwise(F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}")))
+
+
 def semantic_hash(text: Column) -> Column:
     """SHA-256 of the canonical JSON text; equal for documents that differ in key order or number notation only."""
     return F.sha2(canonical_json(text), 256)

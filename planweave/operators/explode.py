@@ -30,8 +30,9 @@ def explode_document(docs: DataFrame, value: str = "value") -> DataFrame:
     out = [level]
     while not (up := out[-1].where("value LIKE '{%' AND value <> '{}' OR value LIKE '[%' AND value <> '[]'")).isEmpty():
         depth = F.lit(len(out)).alias("depth")
-        raw = _placed(up.where("value LIKE '{%'")).select(*keys, "path", *_PLACE, F.col("value").alias("o"), F.expr("posexplode(json_object_keys(value))").alias("i", "k"))
-        step = raw.select(*keys, F.concat("path", F.lit("."), "k").alias("path"), depth, _member("o", F.col("k")).alias("value"), *_PLACE)
+        members = F.explode(F.expr("cast(parse_json(value) AS map<string,variant>)")).alias("k", "v")
+        raw = _placed(up.where("value LIKE '{%'")).select(*keys, "path", *_PLACE, members)
+        step = raw.select(*keys, F.concat("path", F.lit("."), "k").alias("path"), depth, F.coalesce(F.to_json("v"), F.lit("null")).alias("value"), *_PLACE)
         arrays = up.where("value LIKE '[%'").select(*keys, "path", *_PLACE[:-1], F.posexplode(F.expr("cast(parse_json(value) AS array<variant>)")).alias("i", "v"))
         item = F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path")
         listed = arrays.select(*keys, item, depth, F.coalesce(F.to_json("v"), F.lit("null")).alias("value"), *_PLACE[:-1], none.alias("parent_type"))
@@ -51,11 +52,6 @@ def _placed(objects: DataFrame) -> DataFrame:
     return found.withColumns({c: F.when(block, v).otherwise(F.col(c)) for c, v in new.items()}).drop("_model")
 
 
-def _member(obj: str, key: Column) -> Column:
-    """A member of an object column as canonical JSON text."""
-    return F.coalesce(F.to_json(F.try_element_at(F.expr(f"cast(parse_json({obj}) AS map<string,variant>)"), key)), F.lit("null"))
-
-
 def kind_of(value: Column) -> Column:
     first = F.substring(value, 1, 1)
     return (

@@ -47,6 +47,16 @@ def unsafe_tree_children(plan: DataFrame, destination: DataFrame, source: DataFr
     return below.join(after, "record_id", "left").where("new_parent IS NULL OR new_parent = parent_id").select("record_id", "parent_id")
 
 
+def unsafe_published_referrers(published: DataFrame, leaving: DataFrame, desired: DataFrame, gone: DataFrame) -> DataFrame:
+    """Live published references (``from_id, to_id``) that stand in the way of rows that are to be unpublished or deleted (``leaving``: ``id``).
+
+    A row that is itself deleted (``gone``: ``record_id``) is safe, and so is one whose desired published references (``desired``) drop the row.
+    """
+    hit = published.join(leaving.select(F.col("id").alias("to_id")), "to_id", "left_semi").where("from_id <> to_id")
+    stays = hit.join(gone.select(F.col("record_id").alias("from_id")), "from_id", "left_anti")
+    return stays.join(desired.select("from_id", "to_id").distinct(), ["from_id", "to_id"], "left_semi").select("from_id", "to_id").distinct()
+
+
 def unsafe_deletes(deleted: DataFrame, references: DataFrame) -> DataFrame:
     """Things to delete (``id``) that something desired (``from_id, to_id``) still refers to."""
     return deleted.join(references.select(F.col("to_id").alias("id")).distinct(), "id", "left_semi")

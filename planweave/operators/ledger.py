@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planweave.functions.canonical import deterministic_id, is_legacy_id, is_portable_id
+from planweave.functions.canonical import canonical_json, deterministic_id, is_legacy_id, is_portable_id
 from planweave.operators.prefix import running_sum
 from planweave.operators.store import kept
 
@@ -67,6 +67,17 @@ def chunk_ledger(entries: DataFrame, limit: int = CHUNK_BYTES, envelope: int = 5
     return summed.withColumn("chunk", F.floor((F.col("_upto") - size) / (F.lit(limit - envelope) - F.col("_longest"))).cast("long")).drop("_upto", "_longest")
 
 
+def read_ledger(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries (``id, batch, source_id, target_id, hash``) of ledger documents (``id, text``), with the hash of their document, and violations (``id, problem``):
+    documents that are no JSON or not in canonical form; these have no entries."""
+    entry = "struct<batch:string,entries:array<struct<source:string,target:string>>>"
+    read = documents.withColumn("plain", canonical_json(F.col("text")))
+    problem = F.when(F.col("plain").isNull(), "unreadable").when(F.col("plain") != F.col("text"), "not canonical")
+    fine = read.where(problem.isNull()).select("id", F.from_json("text", entry).alias("d"), F.sha2("text", 256).alias("hash"))
+    rows = fine.select("id", "d.batch", "hash", F.explode("d.entries").alias("e"))
+    return rows.select("id", "batch", F.col("e.source").alias("source_id"), F.col("e.target").alias("target_id"), "hash"), read.select("id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def ledger_violations(entries: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     """``rule, subject``: ids claimed twice, as source or as target, gaps in chunk numbers, and chunks that are too long."""
     rule = lambda df, name, subject: df.select(F.lit(name).alias("rule"), subject.cast("string").alias("subject"))

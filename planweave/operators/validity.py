@@ -11,10 +11,11 @@ from planweave.functions.canonical import is_blank, validator_of
 def validate_versions(values: DataFrame, rules: DataFrame) -> DataFrame:
     """``record_id, field, code``: values (``record_id, item_type_id, field, value``) that break a rule.
 
-    ``rules`` is long: ``item_type_id, field, rule, text, lo, hi``, with rule one of required, enum (values joined by ``|``), format (a pattern), length and
-    number_range (``lo``/``hi`` may be null). Blank values break ``required`` only.
+    ``rules`` is long: ``item_type_id, field, rule, text, lo, hi``, with rule one of required, enum (values joined by ``|``), format (a pattern), length,
+    number_range (``lo``/``hi`` may be null), size (of a list whose items are joined by ``|``), date_range (two times joined by ``|``, either may be empty) and unique.
+    Blank values break ``required`` only.
     """
-    met = values.join(rules, ["item_type_id", "field"])
+    met = values.join(rules.where("rule <> 'unique'"), ["item_type_id", "field"])
     v, blank = F.col("value"), is_blank(F.col("value"))
     outside = lambda x: F.coalesce(x < F.col("lo"), F.lit(False)) | F.coalesce(x > F.col("hi"), F.lit(False))
     bad = (
@@ -24,8 +25,20 @@ def validate_versions(values: DataFrame, rules: DataFrame) -> DataFrame:
         .when(F.col("rule") == "format", ~F.expr("value RLIKE text"))
         .when(F.col("rule") == "length", outside(F.length(v)))
         .when(F.col("rule") == "number_range", outside(v.try_cast("double")))
+        .when(F.col("rule") == "size", outside(F.size(F.split(v, r"\|"))))
+        .when(F.col("rule") == "date_range", _outside_dates(v, F.col("text")))
     )
-    return met.where(bad).select("record_id", "field", F.concat(F.lit("VALIDATION_"), F.upper("rule")).alias("code"))
+    broken = met.where(bad).select("record_id", "field", F.concat(F.lit("VALIDATION_"), F.upper("rule")).alias("code"))
+    key = ["item_type_id", "field", "value"]
+    claims = values.join(rules.where("rule = 'unique'").select("item_type_id", "field").distinct(), ["item_type_id", "field"], "left_semi").where(~blank)
+    shared = claims.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    return broken.unionByName(claims.join(shared, key, "left_semi").select("record_id", "field", F.lit("VALIDATION_UNIQUE").alias("code")))
+
+
+def _outside_dates(value: Column, bounds: Column) -> Column:
+    at, ends = F.try_to_timestamp(value), F.split(bounds, r"\|")
+    before = at < F.try_to_timestamp(F.get(ends, F.lit(0)))
+    return at.isNull() | F.coalesce(before, F.lit(False)) | F.coalesce(at > F.try_to_timestamp(F.get(ends, F.lit(1))), F.lit(False))
 
 
 def match_diagnostics(diagnostics: DataFrame, versions: DataFrame) -> DataFrame:

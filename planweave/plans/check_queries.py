@@ -8,8 +8,11 @@ from planweave.functions.canonical import semantic_hash
 from planweave.operators import checks as H
 from planweave.operators import diff as D
 from planweave.operators import explode as X
-from planweave.plans.dependency_queries import _SLICES, _WRITES, _sliced, _transfer_sql, _transfers, _waiting, _writes
 from planweave.operators.dependencies import unique_transitions
+from planweave.operators.integrity import unsafe_published_referrers
+from planweave.operators.ledger import chunk_ledger, ledger_violations
+from planweave.operators.validity import validate_versions
+from planweave.plans.dependency_queries import _SLICES, _WRITES, _sliced, _transfer_sql, _transfers, _waiting, _writes
 from planweave.plans.queries import _EDGES_SQL, PLAN_SQL, _edges, query
 from planweave.sources.records import both, read_table
 
@@ -241,3 +244,41 @@ def b6_canonical_records(spark, sf):
     parts = {"published": F.coalesce("published", F.lit("null")), "id": inner("record_id"), "parent": inner("parent_id"), "model": inner("item_type_id"), "current": F.col("current")}
     whole = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items())), F.lit("}"))
     return s.select("record_id", semantic_hash(whole).alias("hash"))
+
+
+@query("d24_unsafe_published_referrers", """WITH o AS (SELECT record_id AS f, json_extract_string(published, '$.customer') AS t FROM dst WHERE item_type_id = 'order' AND published IS NOT NULL), w AS (SELECT record_id AS f, json_extract_string(published, '$.customer') AS t FROM src WHERE item_type_id = 'order' AND published IS NOT NULL)
+SELECT f AS from_id, t AS to_id FROM o WHERE t NOT IN (SELECT record_id FROM src WHERE published IS NOT NULL) AND f IN (SELECT record_id FROM src) AND (f, t) IN (SELECT (f, t) FROM w)""")
+def d24_unsafe_published_referrers(spark, sf):
+    """Published orders whose customer is to be deleted or unpublished."""
+    s, d = both(spark, sf)
+    published = lambda df: _sliced(df).where("slice = 'published'").select("from_id", "to_id")
+    lost = d.select("record_id").join(s.where("published IS NOT NULL").select("record_id"), "record_id", "left_anti")
+    refs = published(d)
+    leaving = refs.select(F.col("to_id").alias("id")).distinct().join(s.where("published IS NOT NULL").select(F.col("record_id").alias("id")), "id", "left_anti")
+    gone = lost.join(s.select("record_id"), "record_id", "left_anti")
+    return unsafe_published_referrers(refs, leaving, published(s), gone)
+
+
+@query("g12_more_rules", """SELECT p_partkey AS record_id, 'name' AS field, 'VALIDATION_UNIQUE' AS code FROM part WHERE p_name || p_brand IN (SELECT p_name || p_brand FROM part GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT p_partkey, 'tags', 'VALIDATION_SIZE' FROM part WHERE p_size % 5 > 2 UNION ALL SELECT o_orderkey, 'date', 'VALIDATION_DATE_RANGE' FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' OR o_orderdate > TIMESTAMP '2000-06-30'""", records=False)
+def g12_more_rules(spark, sf):
+    """Unique names, lists of at most three items, and dates within a range."""
+    p, o = read_table(spark, sf, "part"), read_table(spark, sf, "orders")
+    tags = F.array_join(F.array_repeat(F.lit("t"), (F.col("p_size") % 5 + 1).cast("int")), "|")
+    row = lambda df, key, model, field, value: df.select(F.col(key).alias("record_id"), F.lit(model).alias("item_type_id"), F.lit(field).alias("field"), value.alias("value"))
+    values = row(p, "p_partkey", "part", "name", F.concat("p_name", "p_brand")).unionByName(row(p, "p_partkey", "part", "tags", tags)).unionByName(row(o, "o_orderkey", "order", "date", F.col("o_orderdate").cast("string")))
+    rules = [("part", "name", "unique", None, None, None), ("part", "tags", "size", None, 1.0, 3.0), ("order", "date", "date_range", "1996-01-01|2000-06-30", None, None)]
+    return validate_versions(values, spark.createDataFrame(rules, "item_type_id string, field string, rule string, text string, lo double, hi double"))
+
+
+_CHUNKS = """e AS (SELECT DISTINCT o_orderpriority AS n, CAST(o_orderkey AS VARCHAR) AS s, 't' || o_orderkey AS t FROM orders), z AS (SELECT *, strlen(n || ':' || s || ':' || t) + 3 AS size FROM e),
+k AS (SELECT *, CAST(floor((sum(size) OVER (PARTITION BY n ORDER BY s, t) - size) / (4096 - 512 - max(size) OVER (PARTITION BY n))) AS BIGINT) AS chunk FROM z), g AS MATERIALIZED (SELECT * FROM k WHERE NOT (n = '1-URGENT' AND chunk = 1)),
+c AS (SELECT n, chunk, sum(size) AS bytes FROM g GROUP BY 1, 2)"""
+
+
+@query("h5_chunk_violations", f"""WITH {_CHUNKS} SELECT 'chunk too long' AS rule, CAST(chunk AS VARCHAR) AS subject FROM c WHERE bytes > 3500 UNION ALL SELECT 'chunks not contiguous', n FROM c GROUP BY n HAVING max(chunk) <> count(*) - 1""", records=False)
+def h5_chunk_violations(spark, sf):
+    """Orders as a ledger in chunks, one of which is lost; a limit below the one that they were cut for finds chunks that are too long."""
+    o = read_table(spark, sf, "orders")
+    e = o.select(F.col("o_orderpriority").alias("namespace"), F.col("o_orderkey").cast("string").alias("source_id"), F.concat(F.lit("t"), "o_orderkey").alias("target_id")).distinct()
+    return ledger_violations(chunk_ledger(e, limit=4096).where("NOT (namespace = '1-URGENT' AND chunk = 1)"), limit=3500)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from planweave.functions import canonical as C
 from planweave.operators import diff as D
+from planweave.operators import ledger as L
 from planweave.operators import order as O
 from planweave.operators import snapshot as N
 from planweave.operators import uploads as U
@@ -200,3 +202,53 @@ def j4_same_set(spark, sf):
     s, d = both(spark, sf)
     a = O.same_set(s.select("record_id"), s.orderBy(F.desc("record_id")).select("record_id")).withColumn("pair", F.lit("copy"))
     return a.unionByName(O.same_set(s.select("record_id"), d.select("record_id")).withColumn("pair", F.lit("environments")))
+
+
+@query("a15_read_ledger", """WITH d AS (SELECT c_custkey // 50 AS id, '{"batch":"b' || c_custkey // 50 || '","entries":[' || string_agg('{"source":"c' || c_custkey || '","target":"t' || c_custkey || '"}', ',' ORDER BY c_custkey) || ']}' AS text FROM customer GROUP BY 1, c_custkey // 50)
+SELECT 'c' || c_custkey AS source_id, 't' || c_custkey AS target_id, sha256(text) AS hash, NULL AS problem FROM customer JOIN d ON id = c_custkey // 50 WHERE id % 5 > 1 UNION ALL SELECT CAST(id AS VARCHAR), NULL, NULL, CASE id % 5 WHEN 0 THEN 'not canonical' ELSE 'unreadable' END FROM d WHERE id % 5 < 2""", records=False)
+def a15_read_ledger(spark, sf):
+    """Ledger documents of 50 customers each; some are not in canonical form, some are no JSON."""
+    c = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 50).alias("id"))
+    entry = lambda x: F.concat(F.lit('{"source":"c'), x, F.lit('","target":"t'), x, F.lit('"}'))
+    docs = c.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), entry), ",").alias("e"))
+    text = F.concat(F.when(F.col("id") % 5 == 0, " ").otherwise(""), F.lit('{"batch":"b'), F.col("id"), F.lit('","entries":['), F.col("e"), F.when(F.col("id") % 5 == 1, "}").otherwise("]}"))
+    entries, problems = L.read_ledger(docs.select("id", text.alias("text")))
+    none = F.lit(None).cast("string")
+    return entries.select("source_id", "target_id", "hash", none.alias("problem")).unionByName(problems.select(F.col("id").cast("string").alias("source_id"), none.alias("target_id"), none.alias("hash"), "problem"))
+
+
+@query("b4_sort_localized", "SELECT c_custkey, 'en,it,' || lower(c_mktsegment) AS locales FROM customer", records=False)
+def b4_sort_localized(spark, sf):
+    c = read_table(spark, sf, "customer")
+    texts = F.map_from_arrays(F.array(F.lower("c_mktsegment"), F.lit("it"), F.lit("en")), F.array("c_name", "c_mktsegment", "c_name"))
+    return c.select("c_custkey", F.array_join(F.map_keys(C.sort_localized(texts, ["en", "it", "de"])), ",").alias("locales"))
+
+
+@query("b19_filename_fixed_point", """SELECT page_id, regexp_full_match(regexp_extract(url, '([^/?#]*)([?#].*)?$', 1), '[a-z0-9]+([-_][a-z0-9]+)*') AS plain FROM pages""", records=False)
+def b19_filename_fixed_point(spark, sf):
+    return read_table(spark, sf, "pages").select("page_id", C.is_plain_filename(F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1)).alias("plain"))
+
+
+@query("b21_unique_claims", """SELECT p_partkey, 'value:' || sha256(p_name) AS name_key, lower(p_type) || ':' || sha256(p_brand) AS brand_key FROM part""", records=False)
+def b21_unique_claims(spark, sf):
+    p = read_table(spark, sf, "part")
+    return p.select("p_partkey", C.claim_key(None, F.col("p_name")).alias("name_key"), C.claim_key(F.lower("p_type"), F.col("p_brand")).alias("brand_key"))
+
+
+@query("b22_issue_scope", "SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN lang END AS locale FROM documents", records=False)
+def b22_issue_scope(spark, sf):
+    """Failing paths of documents, with a locale behind the field for some."""
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", C.issue_scope(F.concat(F.lit("current.text"), F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("."), "lang")).otherwise(""))).alias("locale"))
+
+
+@query("b24_pretty_json", """WITH t AS (SELECT record_id, '{' || chr(10) || '  "brand": "' || json_extract_string(current, '$.brand') || '",' || chr(10) || '  "name": "' || json_extract_string(current, '$.name') || '",' || chr(10) || '  "size": "' || json_extract_string(current, '$.size') || '"' || chr(10) || '}' AS pretty FROM src WHERE item_type_id = 'part')
+SELECT record_id, pretty, CAST(strlen(pretty) AS INT) AS bytes FROM t""")
+def b24_pretty_json(spark, sf):
+    s = both(spark, sf)[0].where("item_type_id = 'part'").select("record_id", C.pretty_json(F.col("current")).alias("pretty"))
+    return s.withColumn("bytes", F.octet_length("pretty"))
+
+
+@query("b25_normal_text", "SELECT page_id, trim(regexp_replace(html, '\\s+', ' ', 'g')) = html AND NOT regexp_matches(html, '[\\x00-\\x1F\\x7F]') AS normal FROM pages", records=False)
+def b25_normal_text(spark, sf):
+    return read_table(spark, sf, "pages").select("page_id", C.is_normal_text(F.col("html")).alias("normal"))
