@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,9 @@ PREFIXES = (3, 4, 5, 6)
 CALM_WORDS = 8
 
 _WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"\S+")
-_BANGS = re.compile(r"!{2,}")
 _SYMBOLS = re.compile(r"[#*$%&]{3,}")
-_REMEMBERED = 200_000
+#: Tokens that a worker remembers with their terms: the latest and those before them, each at most so many (about 80 MB).
+_REMEMBERED = 1 << 18
 
 
 def words_of(text: str | None) -> set[str]:
@@ -48,48 +47,60 @@ def terms_of(word: str) -> list[str]:
     return [f"w:{word[:32]}", *(f"{k}:{word[:k]}" for k in PREFIXES if len(word) > k)]
 
 
-@dataclass
-class Lexicon:
-    """Mined terms in order, the strongest first: term -> number, and how each one was found."""
-
-    terms: dict[str, int]
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
-
-    def hits(self, words: set[str]) -> set[int]:
-        """Numbers of the terms that the words hold."""
-        found: set[int] = set()
-        for w in words:
-            got = self.seen.get(w)
-            if got is None:
-                if len(self.seen) >= _REMEMBERED:
-                    self.seen.clear()
-                got = self.seen[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
-            if got:
-                found.update(got)
+class Lexicon(dict):
+    """Token (a run without white space) -> numbers of the terms of its words, for mined terms in order, the strongest first; INSULT and COURTEOUS stand for the public lexicons.
+
+    What was looked up is remembered in two halves, of which the older is dropped.
+    """
+
+    INSULT, COURTEOUS = -1, -2
+
+    def __init__(self, terms: list[str]):
+        super().__init__()
+        self.terms = {t: i for i, t in enumerate(terms)}
+        self.starts = {k: {t.split(":", 1)[1] for t in terms if t.startswith(f"{k}:")} for k in PREFIXES}
+        self.whole = {t[2:] for t in terms if t.startswith("w:")}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _terms(self, word: str) -> list[int]:
+        known = word[:32] in self.whole or any(word[:k] in starts for k, starts in self.starts.items())
+        found = [self.terms[t] for t in terms_of(word) if t in self.terms] if known else []
+        return found + [self.INSULT] * (word in INSULTS) + [self.COURTEOUS] * (word in COURTESY)
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        found = self.older.get(token)
+        if found is None:
+            found = tuple(i for word in _WORD.findall(token.lower()) for i in self._terms(word))
+        if len(self) >= _REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[token] = found
         return found
 
+    def hits(self, tokens: set[str]) -> set[int]:
+        """Numbers of the terms that the tokens hold."""
+        return {i for found in map(self.__getitem__, tokens) if found for i in found}
+
 
 #: All but the last two say toxic or nothing; those say clean or nothing.
 VOTERS = ("insults", "word", "prefix3", "prefix4", "prefix5", "prefix6", "dense", "shouting", "bangs", "symbols", "calm", "courteous")
 
 
-def votes(text: str | None, words: set[str], hits: set[int], kinds: list[str]) -> int:
+def votes(text: str, tokens: list[str], distinct: int, hits: set[int], kinds: list[str]) -> int:
     """Bit mask of the voters that say something. ``kinds`` are those of the voters' terms; hits of other terms do not count."""
-    text = text or ""
-    mine = [i for i in hits if i < len(kinds)]
+    mine = [i for i in hits if 0 <= i < len(kinds)]
     found = {kinds[i] for i in mine}
-    tokens = _TOKEN.findall(text)
-    insulting = not INSULTS.isdisjoint(words)
+    insulting = Lexicon.INSULT in hits
     said = [
         insulting,
         "w" in found,
         *(str(k) in found for k in PREFIXES),
-        len(mine) >= 0.02 * len(words) and bool(mine),
+        len(mine) >= 0.02 * distinct and bool(mine),
         2 * sum(map(str.isupper, tokens)) > len(tokens),
-        bool(_BANGS.search(text)),
-        bool(_SYMBOLS.search(text)),
-        not mine and not insulting and len(words) >= CALM_WORDS,
-        not COURTESY.isdisjoint(words),
+        "!!" in text,
+        any(c in text for c in "#*$%&") and bool(_SYMBOLS.search(text)),
+        not mine and not insulting and distinct >= CALM_WORDS,
+        Lexicon.COURTEOUS in hits,
     ]
     return sum(1 << i for i, v in enumerate(said) if v)
 
@@ -177,16 +188,18 @@ class ToxicityModel:
     label_model: LabelModel | None = None
 
     def lexicon(self) -> Lexicon:
-        return Lexicon({t: i for i, t in enumerate(self.terms)})
+        return Lexicon(self.terms)
 
     def kinds(self) -> list[str]:
         return [t.split(":", 1)[0] for t in self.terms[: self.voter_terms]]
 
     def features(self, text: str | None, lexicon: Lexicon, kinds: list[str]) -> tuple[list[int], int]:
-        words = words_of(text)
-        hits = lexicon.hits(words)
-        said = votes(text, words, hits, kinds)
-        return sorted(hits) + [len(self.terms) + j for j in range(len(VOTERS)) if said >> j & 1], said
+        text = text or ""
+        tokens = text.split()
+        distinct = set(tokens)
+        hits = lexicon.hits(distinct)
+        said = votes(text, tokens, len(distinct), hits, kinds)
+        return sorted(i for i in hits if i >= 0) + [len(self.terms) + j for j in range(len(VOTERS)) if said >> j & 1], said
 
     def posterior(self, pattern: int) -> float:
         """Probability of toxic given what the voters say."""
