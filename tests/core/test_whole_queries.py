@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_text_runs_hold_every_turn(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     want = {r.conv_id: "".join(t.text or "" for t in sorted(r.turns)) for r in turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "text")).alias("turns")).collect()}
-    runs = QUERIES["c10_whole_text_runs"](spark, SF).collect()
+    runs = QUERIES["c10_text_runs"](spark, SF).collect()
     got = {}
     for r in sorted(runs, key=lambda r: (r.doc_id, r.run)):
         got[r.doc_id] = got.get(r.doc_id, "") + r.text
@@ -21,10 +21,10 @@ def test_text_runs_hold_every_turn(spark):
 
 def test_seeds_are_whole(spark):
     s, d = both(spark, SF)
-    closed = {r.id for r in QUERIES["a11_whole_collection_closure"](spark, SF).where("distance = 0").collect()}
+    closed = {r.id for r in QUERIES["a11_collection_closure"](spark, SF).where("distance = 0").collect()}
     assert closed == {r.record_id for r in s.where("item_type_id = 'customer'").collect()}
     same = s.select("record_id", "current").intersect(d.select("record_id", "current"))
-    assert QUERIES["g3_whole_match_diagnostics"](spark, SF).count() == same.count()
+    assert QUERIES["g3_match_diagnostics"](spark, SF).count() == same.count()
     p = spark.read.parquet(f"{SF}/part.parquet")
     n = {r.b: r.n for r in p.where("p_partkey % 10 <> 0").groupBy(F.col("p_brand").alias("b")).agg(F.count("*").alias("n")).collect()}
-    assert all(r.s_n == n.get(r.item_type_id, 0) for r in QUERIES["d16_whole_singleton_mismatches"](spark, SF).collect())
+    assert all(r.s_n == n.get(r.item_type_id, 0) for r in QUERIES["d16_singleton_mismatches"](spark, SF).collect())
