@@ -71,18 +71,20 @@ class TextEncoder:
 
     A text is cut at single spaces only where the tokenizer cuts too. That is known for two kinds of files, told by their normalizer and
     pre-tokenizer: a byte-level one begins a piece at a space before a word, a word-level one drops white space. Texts with other white
-    space, runs of it, or markup of added tokens are encoded as a whole, and so is every text with a file of another kind.
+    space, runs of it, or markup of added tokens are encoded as a whole, and so is every text with a file of another kind. With
+    ``plain``, the strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = REMEMBERED):
+    def __init__(self, path: str, most: int = REMEMBERED, plain: bool = False):
         self.tok = tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = plain
         self.model, self.normal, self.pre = tok.model, tok.normalizer, tok.pre_tokenizer
         parts = json.loads(tok.to_str())
         kind = parts["normalizer"], parts["pre_tokenizer"]
-        plain = parts["model"]["type"] == "BPE" and not (parts["model"]["dropout"] or parts["truncation"] or parts["padding"])
+        pure = parts["model"]["type"] == "BPE" and not (parts["model"]["dropout"] or parts["truncation"] or parts["padding"])
         self.keeps_space = kind == (None, _BYTE_LEVEL)
-        self.cuts = plain and (self.keeps_space or kind == (_WORD_NORMAL, _WORD_LEVEL))
-        self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
+        self.cuts = pure and (self.keeps_space or kind == (_WORD_NORMAL, _WORD_LEVEL))
+        self.added = [t.content for t in tok.get_added_tokens_decoder().values() if not (plain and t.special)]
         letters = _byte_letters()
         self.letter = [letters[b] for b in range(256)]
         self.inner, self.first = _Pieces(self._inner, most), _Pieces(self._piece, most)
@@ -112,22 +114,76 @@ class TextEncoder:
             return self._piece(" " + piece if self.keeps_space else piece)
         return self.inner[m[1]] + self.first[m[2]] if m[2] else self._letters(piece)
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian 32-bit integers; a null text has none."""
+    def encode(self, text: str | None, spaced: bool = False) -> bytes:
+        """Ids of a text, with ``spaced`` of a space and the text, as little-endian 32-bit integers; a null or empty text has none."""
         if not text:
             return b""
         odd = not self.cuts or any(a in text for a in self.added) or _OTHER_SPACE.search(text)
         if odd or self.keeps_space and (text[0].isspace() or text[-1].isspace() or any(r in text for r in _RUNS)):
-            return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
+            return self._pack(self.tok.encode(" " + text if spaced else text, add_special_tokens=False).ids)
         inner, first, out = self.inner, self.first, []
-        for line in text.split("\n"):
+        for i, line in enumerate(text.split("\n")):
             head, *rest = line.split(" ")
-            out += [first[head], *map(inner.__getitem__, rest)]
+            out += [(inner if spaced and i == 0 else first)[head], *map(inner.__getitem__, rest)]
             if self.keeps_space:
                 out.append(first["\n"])
         return b"".join(out[:-1] if self.keeps_space else out)
 
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes that each id of a byte-level vocabulary stands for."""
+        back = {c: b for b, c in enumerate(self.letter)}
+        known = {i: word for word, i in self.tok.get_vocab().items()}
+        return [bytes(back.get(c, 0) for c in known.get(i, "")) for i in range(max(known) + 1)]
+
+
+class PieceEncoder:
+    """Encodes a space and a text with a sentencepiece model, which adds the space; nothing else of a text is special.
+
+    Where no piece of the vocabulary holds a space behind another character, or a line feed, a text may be cut before its spaces and around line feeds: then
+    each unit is encoded once per worker. Texts with runs of spaces, spaces at an end or U+2581 go through the library as a whole.
+    """
+
+    SPACE = "\u2581"
+
+    def __init__(self, path: str, most: int = REMEMBERED):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = model = SentencePieceProcessor(model_file=path)
+        self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.alone = model.piece_to_id(self.SPACE)
+        self.cuts = not any(self.SPACE in p.lstrip(self.SPACE) or "\n" in p for p in self.pieces) and self._begins_alone()
+        self.inner, self.lines = _Pieces(self._unit, most), _Pieces(self._line, most)
+
+    def _begins_alone(self) -> bool:
+        return self.model.encode("\nx")[:1] == [self.alone] and self.model.encode("x")[:1] != [self.alone]
+
+    def _unit(self, unit: str) -> bytes:
+        ids = self.model.encode(unit)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _line(self, head: str) -> bytes:
+        """A line feed and what follows up to a space: the library's ids but for the space that it adds."""
+        return self._unit("\n" + head)[4:]
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian 32-bit integers; a null or empty text has none."""
+        if not text:
+            return b""
+        if not self.cuts or self.SPACE in text or "  " in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] == " ":
+            return self._unit(text)
+        inner, out = self.inner, []
+        for i, line in enumerate(text.split("\n")):
+            head, *rest = line.split(" ")
+            out += [(self.lines if i else inner)[head], *map(inner.__getitem__, rest)]
+        return b"".join(out)
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes that each id stands for: a byte piece is its byte, others are their text with spaces for U+2581."""
+        byte = lambda i, p: bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace(self.SPACE, " ").encode()
+        return [byte(i, p) for i, p in enumerate(self.pieces)]
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str, most: int = REMEMBERED) -> TextEncoder:
     """One encoder per worker, of the file and size that were asked for last."""
