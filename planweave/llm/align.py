@@ -20,8 +20,6 @@ from planweave.llm.tokens import PieceEncoder, TextEncoder
 BLOCK_BYTES = 1 << 22
 #: Tokens whose links are held at once.
 LINK_TOKENS = 1 << 18
-#: Words that a worker remembers per tokenizer.
-REMEMBERED = 1 << 17
 #: A pair of ids is one key, ``a * 2^32 + b``.
 SHIFT = 32
 
@@ -48,16 +46,18 @@ class Pair:
     """Both tokenizers and their tables."""
 
     def __init__(self, first: str, second: str):
-        self.a, self.b = TextEncoder(first, REMEMBERED, plain=True), PieceEncoder(second, REMEMBERED)
+        self.a, self.b = TextEncoder(first, plain=True), PieceEncoder(second)
         self.table_a, self.table_b = TokenTable(self.a.token_bytes()), TokenTable(self.b.token_bytes())
+        widest = max(len(self.table_a.lengths), len(self.table_b.lengths))
+        self.width = "<u2" if widest <= 1 << 16 else "<u4"
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of a space and the text by both; none where a tokenizer's bytes are not those of the text."""
+        """Ids of a space and the text by both, as integers of ``width``; none where a tokenizer's bytes are not those of the text."""
         a, b = self.a.encode(text, spaced=True), self.b.encode(text)
         data = np.frombuffer((" " + (text or "")).encode(), np.uint8)
         ids = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
         same = text and all(np.array_equal(t.joined(i), data) for t, i in zip((self.table_a, self.table_b), ids, strict=True))
-        return (a, b) if same else (b"", b"")
+        return tuple(i.astype(self.width).tobytes() for i in ids) if same else (b"", b"")
 
 
 @lru_cache(maxsize=1)
@@ -77,11 +77,11 @@ def terminals(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndar
     own = np.arange(n, n + len(b_end))
     later = a_end[over] > b_end if n else np.zeros(0, bool)
     to = np.concatenate([n + np.searchsorted(b_end, a_end - 1, "right"), np.where(later, over, own)])
-    while True:
-        twice = to[to]
-        if np.array_equal(twice, to):
-            return to[:n] - n, to[n:] - n
-        to = twice
+    open_ = np.flatnonzero(to[to] != to)  # tokens that do not yet point to a terminal one
+    while len(open_):
+        to[open_] = to[to[open_]]
+        open_ = open_[to[to[open_]] != to[open_]]
+    return to[:n] - n, to[n:] - n
 
 
 def links(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, lengths: np.ndarray, at_once: int = LINK_TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -92,7 +92,7 @@ def links(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, le
         n = np.searchsorted(b_end, end - 1, "right") - low + 1
         which = np.repeat(np.arange(len(part)), n)
         at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        yield (part[which].astype(np.int64) << SHIFT) | b[at], which + i
+        yield (part[which] << SHIFT) | b[at], which + i
 
 
 def group_texts(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, both: Pair) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +112,8 @@ class Block:
     """The tokens of some documents one behind another."""
 
     def __init__(self, texts: list[tuple[bytes, bytes]], both: Pair):
-        self.a, self.b = (np.frombuffer(b"".join(t[side] for t in texts), "<u4") for side in (0, 1))
-        self.n_a, self.n_b = (np.array([len(t[side]) // 4 for t in texts], np.int64) for side in (0, 1))
+        self.a, self.b = (np.frombuffer(b"".join(t[side] for t in texts), both.width).astype(np.int64) for side in (0, 1))
+        self.n_a, self.n_b = (np.array([len(t[side]) for t in texts], np.int64) // np.dtype(both.width).itemsize for side in (0, 1))
         self.a_end, self.b_end = np.cumsum(both.table_a.lengths[self.a]), np.cumsum(both.table_b.lengths[self.b])
         self.both = both
 

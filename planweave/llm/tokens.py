@@ -138,50 +138,24 @@ class TextEncoder:
 
 
 class PieceEncoder:
-    """Encodes a space and a text with a sentencepiece model, which adds the space; nothing else of a text is special.
-
-    Where no piece of the vocabulary holds a space behind another character, or a line feed, a text may be cut before its spaces and around line feeds: then
-    each unit is encoded once per worker. Texts with runs of spaces, spaces at an end or U+2581 go through the library as a whole.
-    """
+    """Encodes a text with a sentencepiece model, which adds a space; nothing in a text is special."""
 
     SPACE = "\u2581"
 
-    def __init__(self, path: str, most: int = REMEMBERED):
+    def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        self.model = model = SentencePieceProcessor(model_file=path)
-        self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.alone = model.piece_to_id(self.SPACE)
-        self.cuts = not any(self.SPACE in p.lstrip(self.SPACE) or "\n" in p for p in self.pieces) and self._begins_alone()
-        self.inner, self.lines = _Pieces(self._unit, most), _Pieces(self._line, most)
-
-    def _begins_alone(self) -> bool:
-        return self.model.encode("\nx")[:1] == [self.alone] and self.model.encode("x")[:1] != [self.alone]
-
-    def _unit(self, unit: str) -> bytes:
-        ids = self.model.encode(unit)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _line(self, head: str) -> bytes:
-        """A line feed and what follows up to a space: the library's ids but for the space that it adds."""
-        return self._unit("\n" + head)[4:]
+        self.model = SentencePieceProcessor(model_file=path)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers; a null or empty text has none."""
-        if not text:
-            return b""
-        if not self.cuts or self.SPACE in text or "  " in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] == " ":
-            return self._unit(text)
-        inner, out = self.inner, []
-        for i, line in enumerate(text.split("\n")):
-            head, *rest = line.split(" ")
-            out += [(self.lines if i else inner)[head], *map(inner.__getitem__, rest)]
-        return b"".join(out)
+        ids = self.model.encode(text) if text else []
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id stands for: a byte piece is its byte, others are their text with spaces for U+2581."""
-        byte = lambda i, p: bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace(self.SPACE, " ").encode()
-        return [byte(i, p) for i, p in enumerate(self.pieces)]
+        pieces = enumerate(map(self.model.id_to_piece, range(self.model.get_piece_size())))
+        return [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace(self.SPACE, " ").encode() for i, p in pieces]
 
 
 @lru_cache(maxsize=1)
