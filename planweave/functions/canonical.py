@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The codes that validators may be relaxed for are the upper-cased keys behind this prefix.
 VALIDATION = "VALIDATION_"
 
 
+def parsed(text: Column) -> Column:
+    """JSON text as a variant, or null; of a key that repeats in an object the last value counts."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json(text)
+
+
+_TOKENS = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+
+
 def canonical_json(text: Column) -> Column:
     """JSON text with object keys sorted at every level, arrays in order, ``-0`` as ``0`` and nulls kept; null for null or text that is no JSON.
 
     A number has one form however it was given: whole ones (below 10^15) without fraction or exponent, others as the shortest text of the
-    double. An object that repeats a key is no JSON here.
+    double. A number beyond doubles is no JSON here. Of a key that repeats in an object the last value counts.
     """
-    plain = F.to_json(F.try_parse_json(text))
+    plain = F.to_json(parsed(text))
     odd = plain.rlike(r"[0-9][.eE][0-9+-]")
-    parts = F.regexp_extract_all(plain, F.lit(r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'), F.lit(0))
-    return F.when(odd, F.array_join(F.transform(parts, _number_form), "")).otherwise(plain)
+    parts = F.regexp_extract_all(plain, F.lit(_TOKENS), F.lit(0))
+    huge = F.exists(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), lambda p: p.rlike("^-?[0-9]") & (F.abs(p.try_cast("double")) == float("inf")))
+    beyond = F.when(text.rlike(r"[0-9][eE]\+?[0-9]{3}|[0-9]{300}"), huge).otherwise(False)
+    return F.when(beyond, None).when(odd, F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^-?[0-9]"), number_text(p)).otherwise(p)), "")).otherwise(plain)
 
 
-def _number_form(part: Column) -> Column:
-    """One form for a number in a JSON text; other parts stay."""
-    number = part.try_cast("double")
-    whole = (F.abs(number) < 1e15) & (number == F.floor(number))
-    short = F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))
-    return F.when(part.rlike("^-?[0-9]") & part.rlike("[.eE]"), short).otherwise(part)
+def number_text(number: Column) -> Column:
+    """One form for the text of a number."""
+    value = number.try_cast("double")
+    whole = (F.abs(value) < 1e15) & (value == F.floor(value))
+    short = F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
+    return F.when(number.rlike("[.eE]") | (F.length(number) > 38), short).when(number == "-0", "0").otherwise(number)
 
 
 def pretty_json(text: Column) -> Column:
@@ -90,9 +103,13 @@ def is_plain_filename(stem: Column) -> Column:
     return F.coalesce(stem.rlike("^[a-z0-9]+([-_][a-z0-9]+)*$"), F.lit(False))
 
 
+#: The last two code points of the planes above the first, which are no characters.
+PLANE_ENDS = "".join(rf"\x{{{plane:X}FFFE}}-\x{{{plane:X}FFFF}}" for plane in range(1, 17))
+
+
 def is_stable_text(text: Column) -> Column:
-    """Whether a sanitizer leaves the text alone: no angle brackets, ampersand, carriage return, control or non-breaking space, non-character."""
-    return ~text.rlike("[<>&\\r\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\u00A0\\uFDD0-\\uFDEF\\uFFFE\\uFFFF]")
+    """Whether a sanitizer leaves the text alone: no angle brackets, ampersand, carriage return, control or non-breaking space, non-character of any plane."""
+    return ~text.rlike("[<>&\\r\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\u00A0\\uFDD0-\\uFDEF\\uFFFE\\uFFFF" + PLANE_ENDS + "]")
 
 
 def is_normal_text(text: Column) -> Column:
@@ -106,7 +123,8 @@ def is_http_url(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.trim(text) == "")
+    """Null, empty, or nothing but white space of any kind (that of ECMAScript, which has U+FEFF too)."""
+    return text.isNull() | text.rlike(r"^[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]*\z")
 
 
 def claim_key(locale: Column | None, value: Column) -> Column:

@@ -1,63 +1,167 @@
-"""Nested documents as rows: every value of a record with its path and owning block; references and ownership from these rows."""
+"""Nested documents as rows: every value of a record with its place and owning block; references and ownership from these rows."""
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planweave.operators.store import kept
+from planweave.functions.canonical import number_text
 
 #: Members of a block that are no fields, where its fields stand beside them.
 RESERVED = ("id", "type", "item_type", "__itemTypeId", "meta", "creator")
-_PLACE = ("block_path", "block_model", "fields_path", "parent_type")
+_FIELDS = (
+    "path string, depth int, kind string, value string, block_path string, block_model string, fields_path string, parent_type string, "
+    "place array<string>, shape string, name string, chain array<int>, types array<string>"
+)
+_TEXTS, _INTS = pa.list_(pa.string()), pa.list_(pa.int32())
+_ARROW = [pa.string(), pa.int32(), *[pa.string()] * 6, _TEXTS, pa.string(), pa.string(), _INTS, _TEXTS]
+
+
+class _Number(str):
+    """A number as it stands in the text."""
+
+
+def _number(text: str) -> _Number:
+    if abs(float(text)) == float("inf"):
+        raise ValueError(text)
+    return _Number(text)
+
+
+def _constant(text: str):
+    raise ValueError(text)
+
+
+def _quoted(text: str) -> str:
+    out = json.dumps(text, ensure_ascii=False)
+    if "\\u" in out:
+        out = re.sub(r"\\\\|\\u00[0-9a-f]{2}", lambda m: m[0][:2] + m[0][2:].upper(), out)
+    return out.encode("utf-8", "replace").decode()
+
+
+def _leaf(value) -> tuple[str, str | None]:
+    if isinstance(value, dict):
+        return "object", None if value else "{}"
+    if isinstance(value, list):
+        return "array", None if value else "[]"
+    if isinstance(value, _Number):
+        return "number", str(value)
+    if isinstance(value, str):
+        return "string", _quoted(value)
+    return ("null", "null") if value is None else ("boolean", "true" if value else "false")
+
+
+def _member(value, *names: str):
+    for name in names:
+        value = value.get(name) if isinstance(value, dict) else None
+    return value if isinstance(value, str) and value else None
+
+
+def _nodes(text: str | None) -> Iterator[tuple]:
+    """All nodes of a JSON text, as rows of _FIELDS."""
+    try:
+        root = json.loads(text, parse_int=_number, parse_float=_number, parse_constant=_constant) if text is not None else None
+    except (ValueError, RecursionError):
+        return
+    if text is None:
+        return
+    open_ = [(root, (), "", "", None, (None, None, ""), None, (), (), False)]
+    while open_:
+        value, place, path, shape, name, block, parent_type, chain, types, is_text = open_.pop()
+        kind, leaf = _leaf(value)
+        if kind != "object":
+            yield path, len(place), kind, leaf, *block, parent_type, place, shape, name, chain, None
+            if kind == "array":
+                for i, v in enumerate(value):
+                    open_.append((v, (*place, f"{i:08d}"), f"{path}[{i}]", shape + "[", None, block, None, chain, types, is_text))
+            continue
+        own_type = value.get("type") if isinstance(value.get("type"), str) else None
+        if is_text:
+            chain, types = (*chain, len(place)), (*types, own_type)
+        yield path, len(place), kind, leaf, *block, parent_type, place, shape, name, chain, types if is_text else None
+        model = _member(value, "item_type", "id") or _member(value, "relationships", "item_type", "data", "id") or _member(value, "__itemTypeId")
+        if place and own_type == "item" and value.get("id") is not None and model:
+            block = (path, model, path + ".attributes" if isinstance(value.get("attributes"), dict) else path)
+        starts = value.get("schema") == "dast"
+        for k, v in value.items():
+            begins = starts and k == "document" and isinstance(v, dict)
+            inside = begins or is_text and k == "children" and isinstance(v, list) and own_type != "inlineItem"
+            quoted = _quoted(k)
+            open_.append((v, (*place, quoted[1:-1]), f"{path}.{k}", shape + "{", quoted, block, own_type, chain, () if begins else types, inside))
 
 
 def explode_document(docs: DataFrame, value: str = "value") -> DataFrame:
-    """``keys..., path, depth, kind, value, block_path, block_model, fields_path, parent_type`` of every node of the JSON text in column ``value``; the other columns repeat.
+    """Every node of the JSON text in column ``value`` as a row; the other columns repeat.
 
-    Objects add ``.key`` to the path and arrays ``[i]``; ``kind`` is object, array, string, number, boolean or null; ``value`` is the node's canonical
-    JSON text. ``block_path`` and ``block_model`` are of the innermost block around the node (null outside of blocks), ``fields_path`` is where its fields
-    stand (empty for the document itself), ``parent_type`` is the member ``type`` of the object that the node is a member of. One level is unfolded at a
-    time with built-in functions and kept as a table, until no object or array is left. Null and text that is no JSON give no rows.
+    ``path`` adds ``.key`` for objects and ``[i]`` for arrays; ``kind`` is object, array, string, number, boolean or null; ``value`` is the canonical JSON text of a leaf
+    or an empty container, and null for other containers, so that rows grow with the text and not with its depth. ``block_path`` and ``block_model`` are of the innermost
+    block around the node (null outside of blocks), ``fields_path`` is where its fields stand (empty for the document itself), ``parent_type`` is the member
+    ``type`` of the object that the node is a member of. ``place`` (keys, and indexes of eight digits) orders the nodes of a document, ``shape`` has the opening bracket of
+    each container around the node, ``name`` is the quoted key: ``fold_documents`` builds texts from these. ``chain`` has the depths of the nodes of structured text around
+    and at the node, ``types`` is set for such nodes: their types from the root of their text on.
+
+    A text is parsed once and unfolded in one pass without a shuffle; a task holds one text at a time. Of a key that repeats in an object the last value counts. Null, text
+    that is no JSON, and text with a number beyond doubles give no rows (``unreadable_documents`` lists them).
     """
     keys = [c for c in docs.columns if c != value]
-    none = F.lit(None).cast("string")
-    place = (none.alias("block_path"), none.alias("block_model"), F.lit("").alias("fields_path"), none.alias("parent_type"))
-    level = docs.select(*keys, F.lit("").alias("path"), F.lit(0).alias("depth"), F.to_json(F.try_parse_json(value)).alias("value"), *place).where("value IS NOT NULL")
-    out = [level]
-    while not (up := out[-1].where("value LIKE '{%' AND value <> '{}' OR value LIKE '[%' AND value <> '[]'")).isEmpty():
-        depth = F.lit(len(out)).alias("depth")
-        members = F.explode(F.expr("cast(parse_json(value) AS map<string,variant>)")).alias("k", "v")
-        raw = _placed(up.where("value LIKE '{%'")).select(*keys, "path", *_PLACE, members)
-        step = raw.select(*keys, F.concat("path", F.lit("."), "k").alias("path"), depth, F.coalesce(F.to_json("v"), F.lit("null")).alias("value"), *_PLACE)
-        arrays = up.where("value LIKE '[%'").select(*keys, "path", *_PLACE[:-1], F.posexplode(F.expr("cast(parse_json(value) AS array<variant>)")).alias("i", "v"))
-        item = F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path")
-        listed = arrays.select(*keys, item, depth, F.coalesce(F.to_json("v"), F.lit("null")).alias("value"), *_PLACE[:-1], none.alias("parent_type"))
-        out.append(kept(step.unionByName(listed), "level"))
-    rows = reduce(DataFrame.unionByName, out)
-    return rows.select(*keys, "path", "depth", kind_of(F.col("value")).alias("kind"), "value", *_PLACE)
-
-
-def _placed(objects: DataFrame) -> DataFrame:
-    """Objects with the place of their members: in the object itself if it is a block, else where it is."""
-    part = lambda at: F.get_json_object("value", f"$.{at}")
-    model = F.coalesce(part("item_type.id"), part("relationships.item_type.data.id"), part("__itemTypeId"))
-    found = objects.withColumn("parent_type", part("type")).withColumn("_model", F.when((F.col("depth") > 0) & (F.col("parent_type") == "item") & part("id").isNotNull(), model))
-    block = F.col("_model") != ""
-    fields = F.when(part("attributes").startswith("{"), F.concat("path", F.lit(".attributes"))).otherwise(F.col("path"))
-    new = {"block_path": F.col("path"), "block_model": F.col("_model"), "fields_path": fields}
-    return found.withColumns({c: F.when(block, v).otherwise(F.col(c)) for c, v in new.items()}).drop("_model")
-
-
-def kind_of(value: Column) -> Column:
-    first = F.substring(value, 1, 1)
-    return (
-        F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string")
-        .when(value.isin("true", "false"), "boolean").when(value == "null", "null").otherwise("number")
-    )
+    schema = docs.select(*keys).schema
+    for f in docs.sparkSession.createDataFrame([], _FIELDS).schema.fields:
+        schema = schema.add(f)
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners: list[int] = []
+            made: list[tuple] = []
+            ids = [batch.column(i) for i in range(len(keys))]
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(owners, pa.int32())
+                columns = [c.take(at) for c in ids] + [pa.array(c, t) for c, t in zip(zip(*made, strict=True), _ARROW, strict=True)]  # noqa: B023
+                owners.clear()
+                made.clear()
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                for row in _nodes(text):
+                    owners.append(i)
+                    made.append(row)
+                    if len(made) == 8192:
+                        yield flush()
+            if made:
+                yield flush()
+
+    rows = docs.select(*keys, value).mapInArrow(run, schema)
+    return rows.withColumn("value", F.when(F.col("kind") == "number", number_text(F.col("value"))).otherwise(F.col("value")))
+
+
+def unreadable_documents(docs: DataFrame, value: str = "value") -> DataFrame:
+    """Rows whose text is there but cannot be unfolded: no JSON, or a number beyond doubles."""
+    from planweave.functions.canonical import canonical_json
+
+    return docs.where(F.col(value).isNotNull() & canonical_json(F.col(value)).isNull())
+
+
+def typed_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the link field that they belong to: ``_name`` (null if it is none), ``required``, and ``_text`` for links in structured text."""
+    inside = F.col("path").startswith(F.concat("fields_path", F.lit(".")))
+    field = F.when(inside, F.regexp_extract(F.expr("substring(path, length(fields_path) + 1)"), r"^\.([^.\[]+)", 1))
+    beside = F.col("block_path").isNotNull() & (F.col("fields_path") == F.col("block_path")) & field.isin(*RESERVED)
+    text = F.coalesce(F.col("parent_type").isin("itemLink", "inlineItem") & F.col("path").endswith(".item"), F.lit(False))
+    model = F.coalesce("block_model", "item_type_id") if "item_type_id" in rows.columns else F.col("block_model")
+    found = rows.withColumn("_field", F.when(~beside, field)).withColumn("_text", text).withColumn("_model", model)
+    is_text = F.coalesce(F.col("kind") == "text", F.lit(False)) if "kind" in links.columns else F.lit(False)
+    by_model = "item_type_id" in links.columns
+    known = links.select(F.col("field").alias("_name"), "required", is_text.alias("_in_text"), *([F.col("item_type_id").alias("_link_model")] if by_model else []))
+    same = (F.col("_field") == F.col("_name")) & (F.col("_text") == F.col("_in_text"))
+    if by_model:
+        same &= F.col("_model").eqNullSafe(F.col("_link_model"))
+    return found.join(F.broadcast(known), same, "left")  # a schema's fields are few
 
 
 def references(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -68,18 +172,7 @@ def references(rows: DataFrame, links: DataFrame) -> DataFrame:
     are edges in every field; ``required`` is that of the field's row of ``kind`` text, else false. Rows of another ``kind``, or all without
     that column, are fields of links: each string in them is an edge.
     """
-    inside = F.col("path").startswith(F.concat("fields_path", F.lit(".")))
-    field = F.when(inside, F.regexp_extract(F.expr("substring(path, length(fields_path) + 1)"), r"^\.([^.\[]+)", 1))
-    beside = F.col("block_path").isNotNull() & (F.col("fields_path") == F.col("block_path")) & field.isin(*RESERVED)
-    text = F.coalesce(F.col("parent_type").isin("itemLink", "inlineItem") & F.col("path").endswith(".item"), F.lit(False))
-    model = F.coalesce("block_model", "item_type_id") if "item_type_id" in rows.columns else F.col("block_model")
-    found = rows.where("kind = 'string'").select("record_id", "path", "value", F.when(~beside, field).alias("_field"), text.alias("_text"), model.alias("_model"))
-    is_text = F.coalesce(F.col("kind") == "text", F.lit(False)) if "kind" in links.columns else F.lit(False)
-    known = links.select(F.col("field").alias("_name"), "required", is_text.alias("_in_text"), *(["item_type_id"] if "item_type_id" in links.columns else []))
-    same = (F.col("_field") == F.col("_name")) & (F.col("_text") == F.col("_in_text"))
-    if "item_type_id" in links.columns:
-        same &= F.col("_model").eqNullSafe(F.col("item_type_id"))
-    hit = found.join(F.broadcast(known), same, "left").where("_text OR _name IS NOT NULL")
+    hit = typed_rows(rows.where("kind = 'string'"), links).where("_text OR _name IS NOT NULL")
     to = F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v").alias("to_id")
     return hit.select(F.col("record_id").alias("from_id"), to, "path", F.coalesce("required", F.lit(False)).alias("required")).distinct()
 

@@ -253,7 +253,7 @@ def b18_filenames(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", C.filename_extension(f).alias("extension"), C.basename(f).alias("stem"))
 
 
-@query("b20_unstable_text", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[<>&\\r\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}-\\x{9F}\\x{A0}\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}]')", records=False)
+@query("b20_unstable_text", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[<>&\\r\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}-\\x{9F}\\x{A0}\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}PLANES]')".replace("PLANES", C.PLANE_ENDS), records=False)
 def b20_unstable_text(spark, sf):
     return read_table(spark, sf, "documents").where(~C.is_stable_text(F.col("text"))).select("doc_id")
 
@@ -272,7 +272,9 @@ SELECT record_id, slice, '' AS path, 0 AS depth, 'object' AS kind, f AS value FR
 UNION ALL SELECT record_id, slice, '.' || key, 1, 'string', '"' || json_extract_string(f, '$.' || key) || '"' FROM k""")
 def c1_explode_fields(spark, sf):
     long = X.slices(both(spark, sf)[0]).select("record_id", "slice", F.col("fields").alias("value"))
-    return X.explode_document(long).select("record_id", "slice", "path", "depth", "kind", "value")
+    rows = X.explode_document(long).select("record_id", "slice", "path", "depth", "kind", "value")
+    roots = long.select("record_id", "slice", F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("object").alias("kind"), C.canonical_json(F.col("value")).alias("value"))
+    return rows.where("depth > 0").unionByName(roots)
 
 
 _EDGES_SQL = """e AS (
@@ -282,18 +284,15 @@ _EDGES_SQL = """e AS (
 
 
 def _edges(spark, source):
-    """Orders have one link, at the top of both slices, so it is read without unfolding; parents are edges too."""
-    orders = X.slices(source.where("item_type_id = 'order'"))
-    linked = orders.select(F.col("record_id").alias("from_id"), F.get_json_object("fields", "$.customer").alias("to_id"), F.lit(".customer").alias("path"), F.lit(True).alias("required"))
-    return linked.where("to_id IS NOT NULL").distinct().unionByName(X.parent_edges(source))
+    """References of records in both slices, and edges to their parents."""
+    links = spark.createDataFrame([("customer", True)], "field string, required boolean")
+    orders = X.slices(source.where("item_type_id = 'order'")).select("record_id", F.col("fields").alias("value"))
+    return X.references(X.explode_document(orders), links).unionByName(X.parent_edges(source))
 
 
 @query("c2_record_references", f"WITH {_EDGES_SQL} SELECT * FROM e")
 def c2_record_references(spark, sf):
-    source = both(spark, sf)[0]
-    links = spark.createDataFrame([("customer", True)], "field string, required boolean")
-    orders = X.slices(source.where("item_type_id = 'order'")).select("record_id", F.col("fields").alias("value"))
-    return X.references(X.explode_document(orders), links).unionByName(X.parent_edges(source))
+    return _edges(spark, both(spark, sf)[0])
 
 
 @query("c2_nested_references", """WITH b AS (SELECT l_orderkey, l_partkey, l_suppkey, '.modules[' || CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS VARCHAR) || '].attributes' AS place
