@@ -55,6 +55,11 @@ def semantic_hash(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 
 
+def row_hash(*columns: str) -> Column:
+    """SHA-256 of columns as one JSON object: nulls and separators in values count, so different rows have different texts."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
 def canonical_timestamp(text: Column) -> Column:
     """ISO-8601 in UTC with milliseconds, or null where the text is no timestamp. The session's time zone must be UTC."""
     return F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -150,23 +150,44 @@ def rekey_blocks(blocks: DataFrame, reserved: DataFrame, site: str) -> DataFrame
     return made.select(F.col("source_id").alias("block_id"), F.col("target_id").alias("new_id"))
 
 
-def publish_order(rows: DataFrame, edges: DataFrame, published_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def publish_order(rows: DataFrame, edges: DataFrame, published_edges: DataFrame, children: DataFrame | None = None, unique: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Publication levels (``id, level``) and violations (``rule, from_id, to_id``).
 
     ``rows``: ``id, publishes, unpublishes, deletes, seed, was_published`` of all managed rows. A row publishes after what it refers to, if that also publishes and
     is neither a seed nor published in the destination already. A row unpublishes after every row whose published version refers to it.
     A reference to a deleted row, or to a managed one that will not be published, is a violation.
+
+    ``edges`` are of desired published versions, ``published_edges`` of those in the destination. ``children`` (``id, parent_id, desired_parent_id``): published rows of trees in the destination; a
+    row unpublishes after its children, unless they move away first. ``unique`` (``from_id, to_id``): who publishes after whom because of a unique value. A referrer or child that is not managed,
+    that goes only later, or that stays published as it is stands in the way of an unpublishing: a violation. Rows that a cycle leaves without a level are violations too (``to_id`` null).
     """
     side = lambda name: rows.select(F.col("id").alias(name), *(F.col(c).alias(f"{name[0]}_{c}") for c in rows.columns if c != "id"))
     met = kept(edges.select("from_id", "to_id").distinct().join(side("from_id"), "from_id").join(side("to_id"), "to_id"), "publish-edges")
     waits = met.where("f_publishes AND t_publishes AND NOT t_seed AND NOT t_was_published").select("from_id", "to_id")
-    up = published_edges.select("from_id", "to_id").distinct().join(side("to_id").where("t_unpublishes").select("to_id"), "to_id", "left_semi")
-    up = up.join(rows.where("publishes OR unpublishes").select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    leaving = rows.where("unpublishes").select(F.col("id").alias("to_id"))
+    desired = edges.select("from_id", "to_id", F.lit(True).alias("still")).distinct()
+    referrers = published_edges.where("from_id <> to_id").select("from_id", "to_id").distinct().join(leaving, "to_id", "left_semi").join(desired, ["from_id", "to_id"], "left")
+    up = referrers.select("from_id", "to_id", F.coalesce("still", F.lit(False)).alias("still"), F.lit("referrer").alias("what"))
+    if children is not None:
+        below = children.where("id <> parent_id AND desired_parent_id <=> parent_id").select(F.col("id").alias("from_id"), F.col("parent_id").alias("to_id")).distinct()
+        up = up.unionByName(below.join(leaving, "to_id", "left_semi").select("from_id", "to_id", F.lit(True).alias("still"), F.lit("child").alias("what")))
+    up = kept(up.join(side("from_id"), "from_id", "left"), "unpublish-edges")
+    reason = (
+        F.when(F.col("f_publishes").isNull(), F.concat("what", F.lit(" is not managed")))
+        .when(F.col("f_deletes"), F.concat("what", F.lit(" is deleted later")))
+        .when(F.col("still") & (F.col("f_publishes") | (F.col("f_was_published") & ~F.col("f_unpublishes"))), F.concat("what", F.lit(" stays published")))
+    )
+    up = up.withColumn("rule", reason)
     moving = rows.where("publishes OR unpublishes").select("id")
-    levels = topological_levels(moving, _as_graph(waits.unionByName(up)))[0]
+    after = up.where("rule IS NULL").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    for other in [after] + ([] if unique is None else [unique.select("from_id", "to_id")]):
+        waits = waits.unionByName(_within(other, moving))
+    levels, stuck = topological_levels(moving, _as_graph(waits))
     bad = lambda rule, when: met.where(when).select(F.lit(rule).alias("rule"), "from_id", "to_id")
-    gone = bad("dependency is deleted", "f_publishes AND t_deletes")
-    return levels, gone.unionByName(bad("dependency is not published", "f_publishes AND NOT t_deletes AND NOT t_publishes AND (t_unpublishes OR NOT t_was_published)"))
+    found = bad("dependency is deleted", "f_publishes AND t_deletes")
+    found = found.unionByName(bad("dependency is not published", "f_publishes AND NOT t_deletes AND NOT t_publishes AND (t_unpublishes OR NOT t_was_published)"))
+    found = found.unionByName(up.where("rule IS NOT NULL").select("rule", "from_id", "to_id"))
+    return levels, found.unionByName(stuck.select(F.lit("cycle").alias("rule"), F.col("id").alias("from_id"), F.lit(None).cast(rows.schema["id"].dataType).alias("to_id")))
 
 
 def claim_transfers(desired: DataFrame, live: DataFrame) -> DataFrame:
@@ -237,21 +258,28 @@ def skip_closure(blocked: DataFrame, edges: DataFrame, writes: DataFrame, destin
     return connected_by(waiting, writes.where("writes_current OR writes_published OR moves").select(F.col("record_id").alias("id")), blocked)
 
 
-def ordering_anchors(skipped: DataFrame, destination: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ordering_anchors(skipped: DataFrame, destination: DataFrame, source: DataFrame, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows that a skipped sibling holds (``record_id, anchor``) and destination-only siblings that it protects (``record_id, anchor``).
 
-    A skipped row (``record_id``) that the destination has keeps its place, so siblings cannot be inserted or moved in its group (model, parent); the anchor is the
-    smallest such row of the group. All tables: ``record_id, item_type_id, parent_id, position``.
+    A skipped row (``record_id``) that the destination has keeps its place, so siblings can neither enter, leave nor move within its group (model, parent); the anchor is the
+    smallest such row of the groups that a row is in before or after. All tables: ``record_id, item_type_id, parent_id, position``. ``models``: ``item_type_id, tree, sortable``;
+    rows of a sortable model that is no tree are one group, those of other models have no order. Without it every model is a tree.
     """
     group = ["item_type_id", "parent_id"]
+    if models is not None:
+        ordered = F.broadcast(models.where("tree OR sortable").select("item_type_id", "tree"))  # a schema's models are few
+        of = lambda df: df.join(ordered, "item_type_id").withColumn("parent_id", F.when(F.col("tree"), F.col("parent_id"))).drop("tree")
+        destination, source = of(destination), of(source)
     held = destination.join(skipped.select("record_id"), "record_id", "left_semi")
     anchors = held.groupBy(*group).agg(F.min("record_id").alias("anchor")).withColumnsRenamed({c: f"_{c}" for c in group})
     near = lambda df: df.join(anchors, (F.col("item_type_id") == F.col("_item_type_id")) & F.col("parent_id").eqNullSafe(F.col("_parent_id")))
     d = destination.select("record_id", F.struct(*group, "position").alias("_was"))
     moved = source.join(d, "record_id", "left").where(~F.struct(*group, "position").eqNullSafe(F.col("_was"))).drop("_was")
     moved = moved.join(skipped.select("record_id"), "record_id", "left_anti")
+    left = moved.select("record_id").join(destination, "record_id")  # the group that a row is in now
+    touched = near(moved).select("record_id", "anchor").unionByName(near(left).select("record_id", "anchor"))
     only = destination.join(source.select("record_id"), "record_id", "left_anti")
-    return near(moved).select("record_id", "anchor"), near(only).select("record_id", "anchor")
+    return touched.groupBy("record_id").agg(F.min("anchor").alias("anchor")), near(only).select("record_id", "anchor")
 
 
 def protected_targets(skipped: DataFrame, destination_edges: DataFrame, destination_only: DataFrame) -> DataFrame:

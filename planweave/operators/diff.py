@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planweave.functions.canonical import canonical_json, is_blank
+
 
 def sided(df: DataFrame, side: str, key: list[str]) -> DataFrame:
     """The table with every column but the key renamed to ``side_column``."""
@@ -85,7 +87,7 @@ def claims(versions: DataFrame, unique: dict[str, str]) -> DataFrame:
     field = F.create_map(*(x for m, f in unique.items() for x in (F.lit(m), F.lit(f))))[F.col("item_type_id")]
     told = versions.where(F.col("item_type_id").isin(*unique)).withColumn("field", field)
     value = F.expr("get_json_object(fields, concat('$.', field))")
-    return told.select("item_type_id", "field", value.alias("value"), "record_id").where("value IS NOT NULL AND trim(value) <> ''")
+    return told.select("item_type_id", "field", value.alias("value"), "record_id").where(~is_blank(F.col("value")))
 
 
 def claimants(of: DataFrame) -> DataFrame:
@@ -103,15 +105,19 @@ def claimant_changes(source: DataFrame, destination: DataFrame) -> DataFrame:
 
 
 def field_patch(desired: DataFrame, live: DataFrame) -> DataFrame:
-    """Top-level fields whose values differ: ``record_id, field, desired, live``, for records that both sides have. In: ``record_id, fields`` (JSON)."""
-    kind = "map<string,string>"
-    two = sided(desired.select("record_id", F.from_json("fields", kind).alias("m")), "s", ["record_id"]).join(
-        sided(live.select("record_id", F.from_json("fields", kind).alias("m")), "d", ["record_id"]), "record_id"
+    """Top-level fields whose values differ: ``record_id, field, desired, live``, for records that both sides have. In: ``record_id, fields`` (JSON).
+
+    Values are compared in canonical form, so neither the order of keys nor the notation of a number is a difference; a null and a missing field are none either. Texts are given without quotes.
+    """
+    forms = lambda df: df.select("record_id", canonical_json(F.col("fields")).alias("text")).select(
+        "record_id", F.from_json("text", "map<string,string>").alias("m"), F.expr("transform_values(cast(parse_json(text) AS map<string,variant>), (k, v) -> to_json(v))").alias("v")
     )
+    two = sided(forms(desired), "s", ["record_id"]).join(sided(forms(live), "d", ["record_id"]), "record_id")
     names = F.array_union(F.map_keys("s_m"), F.map_keys("d_m"))
-    rows = two.select("record_id", F.explode(names).alias("field"), "s_m", "d_m")
+    rows = two.select("record_id", F.explode(names).alias("field"), "s_m", "d_m", "s_v", "d_v")
     at = lambda m: F.try_element_at(F.col(m), F.col("field"))
-    return rows.select("record_id", "field", at("s_m").alias("desired"), at("d_m").alias("live")).where(~F.col("desired").eqNullSafe(F.col("live")))
+    form = lambda m: F.coalesce(at(m), F.lit("null"))
+    return rows.where(form("s_v") != form("d_v")).select("record_id", "field", at("s_m").alias("desired"), at("d_m").alias("live"))
 
 
 def classify_live(plan: DataFrame, live: DataFrame, allowed: DataFrame | None = None) -> DataFrame:

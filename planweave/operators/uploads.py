@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planweave.functions.canonical import basename, filename_extension
+from planweave.functions.canonical import basename, filename_extension, row_hash
 from planweave.operators.diff import violations
 
 # The fields of an asset's default metadata, and the states of a scan that count as healthy.
@@ -29,14 +29,14 @@ def canonical_uploads(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``upload_id, tags, metadata, hash`` of healthy assets (tags distinct and sorted), and the ids of those that a scan did not find healthy."""
     fine = F.coalesce(F.col("scan").isin(*HEALTHY), F.lit(False))
     tags, meta = F.sort_array(F.array_distinct("tags")), canonical_metadata(F.col("metadata"))
-    parts = ["upload_id", "md5", "basename", "filename", F.array_join("tags", ","), F.coalesce("metadata", F.lit("")), F.coalesce("collection_id", F.lit(""))]
-    rows = uploads.where(fine).withColumns({"tags": tags, "metadata": meta}).withColumn("hash", F.sha2(F.concat_ws("|", *parts), 256))
+    parts = ("upload_id", "md5", "basename", "filename", "tags", "metadata", "collection_id")
+    rows = uploads.where(fine).withColumns({"tags": tags, "metadata": meta}).withColumn("hash", row_hash(*parts))
     return rows.select("upload_id", "tags", "metadata", "hash"), uploads.where(~fine).select("upload_id")
 
 
 def canonical_collections(collections: DataFrame) -> DataFrame:
     """``id, hash`` of folders (``id, label, parent_id``); the position is no part of it."""
-    return collections.select("id", F.sha2(F.concat_ws("|", "id", "label", F.coalesce("parent_id", F.lit(""))), 256).alias("hash"))
+    return collections.select("id", row_hash("id", "label", "parent_id").alias("hash"))
 
 
 def upload_changes(source: DataFrame, destination: DataFrame) -> DataFrame:

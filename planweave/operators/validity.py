@@ -67,11 +67,17 @@ def relaxation_plan(relaxable: DataFrame) -> DataFrame:
 
 
 def write_requirements(changes: DataFrame) -> DataFrame:
-    """Which slices are written: ``record_id, writes_current, writes_published`` from ``action, current, published, topology, desired_published``."""
-    create = F.col("action") == "create"
-    published = F.col("desired_published") & (create | F.col("published"))
-    current = F.when(create, ~F.col("desired_published") | F.col("current")).otherwise(F.col("current") | F.col("topology"))
-    return changes.select("record_id", (current & (F.col("action") != "noop")).alias("writes_current"), (published & (F.col("action") != "noop")).alias("writes_published"))
+    """Which slices are written: ``record_id, writes_current, writes_published``.
+
+    In: ``record_id, action``, flags of what differs from the baseline (``current, published, topology, lifecycle``), ``desired_published`` (whether the desired record has a published
+    slice) and ``slices_differ`` (whether its slices differ); ``draft_mode`` if a model may be without drafts. A create with a published slice writes its current one only if that is another;
+    an update writes the current slice also when it only moves, publishes or unpublishes. Nothing is published without draft mode.
+    """
+    create, real = F.col("action") == "create", F.col("action") != "noop"
+    drafts = F.col("draft_mode") if "draft_mode" in changes.columns else F.lit(True)
+    published = drafts & F.col("desired_published") & (create | F.col("published"))
+    current = F.when(create, ~F.col("desired_published") | F.col("slices_differ")).otherwise(F.col("current") | F.col("topology") | F.col("lifecycle"))
+    return changes.select("record_id", (current & real).alias("writes_current"), (published & real).alias("writes_published"))
 
 
 def selective_schedule_safe(failures: DataFrame, schedules: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from planweave.functions.canonical import deterministic_id
 from planweave.operators import dependencies as E
 from planweave.operators import diff as D
 from planweave.operators import explode as X
-from planweave.plans.queries import query
+from planweave.operators.validity import write_requirements
+from planweave.plans.queries import query, write_changes
 from planweave.sources.records import both, read_table
 
 _DEPENDENCIES = """n AS (SELECT c_custkey AS id FROM customer),
@@ -140,20 +141,31 @@ def f11_rekey_blocks(spark, sf):
     return E.rekey_blocks(p.select("block_id"), reserved, "site")
 
 
-_PUBLISH = """w AS MATERIALIZED (SELECT c_custkey AS id, c_custkey % 3 = 0 AS publishes, c_custkey % 6 = 4 AS unpublishes, c_custkey % 6 = 5 AS deletes, c_custkey % 11 = 0 AS seed, c_custkey % 2 = 0 AS was_published FROM customer),
-pe AS (SELECT c_custkey AS from_id, c_custkey - 7 AS to_id FROM customer WHERE c_custkey % 60 >= 7 UNION SELECT c_custkey, c_custkey - c_custkey % 60 + c_custkey % 60 // 2 FROM customer WHERE c_custkey % 60 > 0),
+_PUBLISH = """w AS MATERIALIZED (SELECT c_custkey AS id, c_custkey % 3 = 0 AS publishes, c_custkey % 6 = 4 AS unpublishes, c_custkey % 6 = 5 AS deletes, c_custkey % 11 = 0 AS seed, c_custkey % 2 = 0 AS was_published FROM customer WHERE c_custkey % 13 <> 0),
+pe AS MATERIALIZED (SELECT c_custkey AS from_id, c_custkey - 7 AS to_id FROM customer WHERE c_custkey % 60 >= 7 UNION SELECT c_custkey, c_custkey - c_custkey % 60 + c_custkey % 60 // 2 FROM customer WHERE c_custkey % 60 > 0),
 q AS MATERIALIZED (SELECT from_id, to_id, f.publishes AS f_publishes, t.publishes AS t_publishes, t.seed AS t_seed, t.was_published AS t_was, t.unpublishes AS t_un, t.deletes AS t_del FROM pe JOIN w f ON f.id = from_id JOIN w t ON t.id = to_id),
-up AS (SELECT k - 5 AS from_id, k AS to_id FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 60 >= 5) JOIN w f ON f.id = k JOIN w t ON t.id = k - 5 WHERE t.unpublishes AND (f.publishes OR f.unpublishes)),
-d AS MATERIALIZED (SELECT from_id, to_id FROM q WHERE f_publishes AND t_publishes AND NOT t_seed AND NOT t_was UNION SELECT from_id, to_id FROM up),
-l AS (SELECT id, 0 AS level FROM w WHERE publishes OR unpublishes UNION SELECT d.from_id, l.level + 1 FROM l JOIN d ON d.to_id = l.id)"""
+rc AS (SELECT c_custkey AS from_id, c_custkey - 5 AS to_id, (c_custkey, c_custkey - 5) IN (SELECT (from_id, to_id) FROM pe) AS still, 'referrer' AS what FROM customer WHERE c_custkey % 60 >= 5
+  UNION ALL SELECT c_custkey, c_custkey - 2, true, 'child' FROM customer WHERE c_custkey % 60 >= 2 AND c_custkey % 2 = 0 AND c_custkey % 4 <> 0),
+up AS MATERIALIZED (SELECT rc.from_id, rc.to_id, CASE WHEN f.id IS NULL THEN what || ' is not managed' WHEN f.deletes THEN what || ' is deleted later' WHEN still AND (f.publishes OR f.was_published AND NOT f.unpublishes) THEN what || ' stays published' END AS rule
+  FROM rc JOIN w t ON t.id = rc.to_id AND t.unpublishes LEFT JOIN w f ON f.id = rc.from_id),
+mv AS MATERIALIZED (SELECT id FROM w WHERE publishes OR unpublishes),
+un AS (SELECT c_custkey AS from_id, c_custkey + CASE WHEN c_custkey % 60 = 12 THEN 3 ELSE -3 END AS to_id FROM customer WHERE c_custkey % 60 IN (12, 15)),
+d AS MATERIALIZED (SELECT from_id, to_id FROM q WHERE f_publishes AND t_publishes AND NOT t_seed AND NOT t_was AND from_id <> to_id
+  UNION SELECT to_id, from_id FROM up WHERE rule IS NULL AND from_id IN (FROM mv) UNION SELECT from_id, to_id FROM un WHERE from_id IN (FROM mv) AND to_id IN (FROM mv)),
+dr AS (SELECT from_id AS a, to_id AS b FROM d UNION SELECT dr.a, d.to_id FROM dr JOIN d ON dr.b = d.from_id),
+cy AS MATERIALIZED (SELECT a AS id FROM dr WHERE a = b), stuck AS MATERIALIZED (FROM cy UNION SELECT a FROM dr WHERE b IN (FROM cy)),
+l AS (SELECT id, 0 AS level FROM mv WHERE id NOT IN (FROM stuck) UNION SELECT d.from_id, l.level + 1 FROM l JOIN d ON d.to_id = l.id WHERE d.from_id NOT IN (FROM stuck))"""
 
 
 def _publishing(spark, sf):
+    """Every 13th customer is not managed; published referrers are 5 keys on, children 2 keys on, and two rows of each block wait for each other's unique value."""
     c = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     k = F.col("id")
-    rows = c.select("id", (k % 3 == 0).alias("publishes"), (k % 6 == 4).alias("unpublishes"), (k % 6 == 5).alias("deletes"), (k % 11 == 0).alias("seed"), (k % 2 == 0).alias("was_published"))
+    rows = c.where("id % 13 <> 0").select("id", (k % 3 == 0).alias("publishes"), (k % 6 == 4).alias("unpublishes"), (k % 6 == 5).alias("deletes"), (k % 11 == 0).alias("seed"), (k % 2 == 0).alias("was_published"))
     down = c.where("id % 60 >= 7").select(k.alias("from_id"), (k - 7).alias("to_id")).unionByName(c.where("id % 60 > 0").select(k.alias("from_id"), (k - k % 60 + F.floor(k % 60 / 2)).alias("to_id")))
-    return E.publish_order(rows, down, c.where("id % 60 >= 5").select(k.alias("from_id"), (k - 5).alias("to_id")))
+    children = c.where("id % 60 >= 2 AND id % 2 = 0").select("id", (k - 2).alias("parent_id"), F.when(k % 4 == 0, k - 3).otherwise(k - 2).alias("desired_parent_id"))
+    unique = c.where("id % 60 IN (12, 15)").select(k.alias("from_id"), F.when(k % 60 == 12, k + 3).otherwise(k - 3).alias("to_id"))
+    return E.publish_order(rows, down, c.where("id % 60 >= 5").select(k.alias("from_id"), (k - 5).alias("to_id")), children, unique)
 
 
 @query("f12_publish_order", f"WITH RECURSIVE {_PUBLISH} SELECT id, max(level) AS level FROM l GROUP BY 1", records=False)
@@ -162,7 +174,8 @@ def f12_publish_order(spark, sf):
 
 
 @query("f12_publish_violations", f"""WITH RECURSIVE {_PUBLISH} SELECT 'dependency is deleted' AS rule, from_id, to_id FROM q WHERE f_publishes AND t_del
-UNION ALL SELECT 'dependency is not published', from_id, to_id FROM q WHERE f_publishes AND NOT t_del AND NOT t_publishes AND (t_un OR NOT t_was)""", records=False)
+UNION ALL SELECT 'dependency is not published', from_id, to_id FROM q WHERE f_publishes AND NOT t_del AND NOT t_publishes AND (t_un OR NOT t_was)
+UNION ALL SELECT rule, from_id, to_id FROM up WHERE rule IS NOT NULL UNION ALL SELECT 'cycle', id, NULL FROM stuck""", records=False)
 def f12_publish_violations(spark, sf):
     return _publishing(spark, sf)[1]
 
@@ -205,7 +218,7 @@ def f16_unique_value_cycles(spark, sf):
     return E.unique_value_cycles(_transfers(spark, sf, 7, 3))
 
 
-_WRITES = """wr AS MATERIALIZED (SELECT s.record_id, s.item_type_id, d.record_id IS NULL OR s.current IS DISTINCT FROM d.current AS writes_current,
+_WRITES = """wr AS MATERIALIZED (SELECT s.record_id, s.item_type_id, CASE WHEN d.record_id IS NULL THEN s.published IS NULL OR s.published <> s.current ELSE s.hash IS DISTINCT FROM d.hash AND (s.current IS DISTINCT FROM d.current OR s.parent_id IS DISTINCT FROM d.parent_id OR (s.published IS NULL) <> (d.published IS NULL)) OR s.position <> d.position END AS writes_current,
   s.published IS NOT NULL AND (d.record_id IS NULL OR s.published IS DISTINCT FROM d.published) AS writes_published, d.record_id IS NULL OR s.parent_id IS DISTINCT FROM d.parent_id AS moves FROM src s LEFT JOIN dst d USING (record_id)),
 ed AS (SELECT from_id, to_id, slice FROM sl UNION ALL SELECT record_id, parent_id, 'parent' FROM src WHERE parent_id IS NOT NULL),
 be AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM ed JOIN wr f ON f.record_id = from_id LEFT JOIN wr t ON t.record_id = to_id LEFT JOIN dst x ON x.record_id = to_id
@@ -215,9 +228,9 @@ bl AS (SELECT record_id AS id FROM wr WHERE writes_current AND item_type_id = 'c
 
 
 def _writes(s, d):
-    two = D.sided(s, "s", ["record_id"]).join(D.sided(d.withColumn("there", F.lit(True)), "d", ["record_id"]), "record_id", "left")
-    new, differs = F.col("d_there").isNull(), lambda c: ~F.col(f"s_{c}").eqNullSafe(F.col(f"d_{c}"))
-    return two.select("record_id", F.col("s_item_type_id").alias("item_type_id"), (new | differs("current")).alias("writes_current"), (F.col("s_published").isNotNull() & (new | differs("published"))).alias("writes_published"), (new | differs("parent_id")).alias("moves"))
+    parents = s.select("record_id", "item_type_id", F.col("parent_id").alias("_p")).join(d.select("record_id", F.struct("parent_id").alias("_d")), "record_id", "left")
+    moves = F.col("_d").isNull() | ~F.col("_p").eqNullSafe(F.col("_d.parent_id"))
+    return write_requirements(write_changes(s, d)).join(parents.select("record_id", "item_type_id", moves.alias("moves")), "record_id")
 
 
 def _waiting(s):
@@ -245,8 +258,8 @@ _ANCHOR = """sk AS (SELECT record_id FROM src WHERE item_type_id = 'customer' AN
 an AS MATERIALIZED (SELECT item_type_id, parent_id, min(record_id) AS anchor FROM dst WHERE record_id IN (FROM sk) GROUP BY 1, 2)"""
 
 
-@query("f18_ordering_anchors", f"""WITH {_ANCHOR} SELECT s.record_id, anchor, 'held' AS state FROM src s LEFT JOIN dst d USING (record_id) JOIN an ON an.item_type_id = s.item_type_id AND an.parent_id IS NOT DISTINCT FROM s.parent_id
-WHERE s.record_id NOT IN (FROM sk) AND (d.record_id IS NULL OR (s.item_type_id, s.parent_id, s.position) IS DISTINCT FROM (d.item_type_id, d.parent_id, d.position))
+@query("f18_ordering_anchors", f"""WITH {_ANCHOR} SELECT s.record_id, min(anchor) AS anchor, 'held' AS state FROM src s LEFT JOIN dst d USING (record_id) JOIN an ON an.item_type_id = s.item_type_id AND (an.parent_id IS NOT DISTINCT FROM s.parent_id OR d.record_id IS NOT NULL AND an.parent_id IS NOT DISTINCT FROM d.parent_id)
+WHERE s.record_id NOT IN (FROM sk) AND (d.record_id IS NULL OR (s.item_type_id, s.parent_id, s.position) IS DISTINCT FROM (d.item_type_id, d.parent_id, d.position)) GROUP BY 1
 UNION ALL SELECT d.record_id, anchor, 'protected' FROM dst d JOIN an ON an.item_type_id = d.item_type_id AND an.parent_id IS NOT DISTINCT FROM d.parent_id WHERE d.record_id NOT IN (SELECT record_id FROM src)""")
 def f18_ordering_anchors(spark, sf):
     """Customers of one segment are skipped."""

@@ -638,15 +638,21 @@ def e6_relaxation_plan(spark, sf):
 
 
 @query("g2_write_requirements", f"""WITH {PLAN_SQL}, x AS (SELECT record_id, p.action, s.current IS DISTINCT FROM d.current AS c, s.published IS DISTINCT FROM d.published AS pu, s.parent_id IS DISTINCT FROM d.parent_id OR s.position IS DISTINCT FROM d.position AS t,
- s.published IS NOT NULL AS dp FROM p JOIN src s USING (record_id) LEFT JOIN dst d USING (record_id))
-SELECT record_id, action <> 'noop' AND CASE WHEN action = 'create' THEN NOT dp OR c ELSE c OR t END AS writes_current, action <> 'noop' AND dp AND (action = 'create' OR pu) AS writes_published FROM x""")
+ s.published IS NOT NULL AS dp, s.published IS NOT NULL AND s.published <> s.current AS sd, (s.published IS NULL) <> (d.published IS NULL) AS lc FROM p JOIN src s USING (record_id) LEFT JOIN dst d USING (record_id))
+SELECT record_id, action <> 'noop' AND CASE WHEN action = 'create' THEN NOT dp OR sd ELSE c OR t OR lc END AS writes_current, action <> 'noop' AND dp AND (action = 'create' OR pu) AS writes_published FROM x""")
 def g2_write_requirements(spark, sf):
-    diff = D.diff_entities(*both(spark, sf), "record_id", position="position").where("action <> 'delete'")
+    return V.write_requirements(write_changes(*both(spark, sf)))
+
+
+def write_changes(source, destination):
+    """What ``write_requirements`` asks about records that the source has."""
+    diff = D.diff_entities(source, destination, "record_id", position="position").where("action <> 'delete'")
     differs = lambda c: ~F.col(f"s_{c}").eqNullSafe(F.col(f"d_{c}"))
-    return V.write_requirements(diff.select(
-        "record_id", "action", differs("current").alias("current"), differs("published").alias("published"),
-        (differs("parent_id") | differs("position")).alias("topology"), F.col("s_published").isNotNull().alias("desired_published"),
-    ))
+    there = F.col("s_published").isNotNull()
+    return diff.select(
+        "record_id", "action", differs("current").alias("current"), differs("published").alias("published"), (differs("parent_id") | differs("position")).alias("topology"),
+        there.alias("desired_published"), (there & (F.col("s_published") != F.col("s_current"))).alias("slices_differ"), (there != F.col("d_published").isNotNull()).alias("lifecycle"),
+    )
 
 
 @query("g13_apply_defaults", """WITH f AS (SELECT unnest(['balance', 'name', 'segment', 'tier']) AS field)

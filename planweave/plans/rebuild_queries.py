@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from planweave.functions import canonical as C
 from planweave.operators import dependencies as E
+from planweave.operators import diff as D
 from planweave.operators import explode as X
 from planweave.operators import rebuild as R
 from planweave.operators.store import kept
@@ -180,3 +182,58 @@ def f6_seed_versions(spark, sf):
     ids, edges = _edges(spark, sf)
     late = kept(E.seed_references(E.dependency_plan(ids, edges), edges).where("path <> 'parent'").select("from_id", "to_id"), "late")
     return _projected(spark, ids, edges, late).join(late.select(F.col("from_id").alias("record_id")).distinct(), "record_id", "left_semi")
+
+
+# Values whose notation, order or white space could mislead.
+
+_NOTES = """v AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN '{"n":1e400}' WHEN 1 THEN '{"b":1,"a":2,"b":3}' WHEN 2 THEN '{"n":-0,"m":1.50,"o":100e-2}' WHEN 3 THEN '{"n":[1.0,{"z":null,"y":2}]}' ELSE '{"n":' || p_size || '.0}' END AS text FROM part)"""
+
+
+@query("b1_hard_numbers", f"""WITH {_NOTES} SELECT k, CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '{{"a":2,"b":3}}' WHEN 2 THEN '{{"m":1.5,"n":0,"o":1}}' WHEN 3 THEN '{{"n":[1,{{"y":2,"z":null}}]}}' ELSE '{{"n":' || p_size || '}}' END AS canonical, k % 5 = 0 AS unreadable FROM v JOIN part ON p_partkey = k""", records=False)
+def b1_hard_numbers(spark, sf):
+    """A number beyond doubles makes a document unreadable, of a repeated key the last value counts, and a number has one form."""
+    p, k = read_table(spark, sf, "part"), F.col("p_partkey") % 5
+    text = F.when(k == 0, '{"n":1e400}').when(k == 1, '{"b":1,"a":2,"b":3}').when(k == 2, '{"n":-0,"m":1.50,"o":100e-2}').when(k == 3, '{"n":[1.0,{"z":null,"y":2}]}').otherwise(F.concat(F.lit('{"n":'), "p_size", F.lit(".0}")))
+    docs = p.select(F.col("p_partkey").alias("k"), text.alias("value"))
+    bad = X.unreadable_documents(docs).select("k", F.lit(True).alias("unreadable"))
+    folded = R.fold_documents(X.explode_document(docs), "k").select("k", F.col("value").alias("canonical"))
+    return docs.select("k").join(folded, "k", "left").join(bad, "k", "left").select("k", "canonical", F.coalesce("unreadable", F.lit(False)).alias("unreadable"))
+
+
+@query("d7_equal_forms", """SELECT CAST(p_partkey AS VARCHAR) AS record_id, 'n' AS field, CAST(p_size AS VARCHAR) AS desired, CAST(p_size + 1 AS VARCHAR) AS live FROM part WHERE p_partkey % 4 = 0 UNION ALL
+SELECT CAST(p_partkey AS VARCHAR), 't', '1', '1' FROM part WHERE p_partkey % 4 = 1""", records=False)
+def d7_equal_forms(spark, sf):
+    """Sides write keys in another order and whole numbers with a fraction; every fourth part has another size, and in every fourth a text stands for a number."""
+    p, k = read_table(spark, sf, "part"), F.col("p_partkey") % 4
+    id_ = F.col("p_partkey").cast("string").alias("record_id")
+    desired = F.concat(F.lit('{"o":{"b":1,"a":2},"n":'), "p_size", F.lit('.0,"t":1}'))
+    live = F.concat(F.when(k == 1, '{"t":"1",').otherwise('{"t":1.0,'), F.lit('"n":'), F.col("p_size") + F.when(k == 0, 1).otherwise(0), F.lit(',"o":{"a":2.0,"b":1}}'))
+    return D.field_patch(p.select(id_, desired.alias("fields")), p.select(id_, live.alias("fields")))
+
+
+@query("e2_blank_claims", """SELECT 'part' AS item_type_id, p_name AS value, count(*) AS owners FROM part WHERE p_partkey % 5 = 4 GROUP BY 2""", records=False)
+def e2_blank_claims(spark, sf):
+    """Four of five names are blanks of some kind: they claim nothing."""
+    p, k = read_table(spark, sf, "part"), F.col("p_partkey") % 5
+    name = F.when(k == 0, "\t").when(k == 1, " \u00a0\n").when(k == 2, "").when(k == 3, "\u3000").otherwise(F.col("p_name"))
+    versions = p.select(F.lit("part").alias("item_type_id"), F.to_json(F.struct(name.alias("name"))).alias("fields"), F.col("p_partkey").cast("string").alias("record_id"))
+    return D.claimants(D.claims(versions, {"part": "name"})).select("item_type_id", "value", F.size("owners").cast("long").alias("owners"))
+
+
+@query("b8_row_hashes", """SELECT p_partkey AS k, sha256(json_object('a', CASE WHEN p_partkey % 2 = 0 THEN 'x|y' ELSE 'x' END, 'b', CASE WHEN p_partkey % 2 = 0 THEN 'z' ELSE 'y|z' END, 'c', CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '' END)::VARCHAR) AS hash FROM part""", records=False)
+def b8_row_hashes(spark, sf):
+    """Values with separators in them, and a null beside an empty text, have different hashes."""
+    p, k = read_table(spark, sf, "part"), F.col("p_partkey")
+    rows = p.select(k.alias("k"), F.when(k % 2 == 0, "x|y").otherwise("x").alias("a"), F.when(k % 2 == 0, "z").otherwise("y|z").alias("b"), F.when(k % 3 == 0, None).otherwise("").alias("c"))
+    return rows.select("k", C.row_hash("a", "b", "c").alias("hash"))
+
+
+_MARKS = [0x1FFFE, 0x2FFFF, 0x10FFFF, 0xFFFE, 0x1F600, 0x20000]
+
+
+@query("b20_planes", "SELECT p_partkey AS k, p_partkey % 6 >= 4 AS stable FROM part", records=False)
+def b20_planes(spark, sf):
+    """The last two code points of every plane are no characters; others of higher planes are."""
+    p, k = read_table(spark, sf, "part"), F.col("p_partkey")
+    marks = F.array(*(F.lit("a" + chr(m)) for m in _MARKS))
+    return p.select(k.alias("k"), C.is_stable_text(marks[(k % 6).cast("int")]).alias("stable"))

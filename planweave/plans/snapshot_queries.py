@@ -110,7 +110,7 @@ def b7_validity_flags(spark, sf):
 
 
 @query("b8_canonical_uploads", f"""WITH {_UPLOADS}, m AS (SELECT su.*, lang, {_META.replace('k % 3', 'su.k % 3')} AS meta FROM su JOIN documents ON doc_id = su.k)
-SELECT upload_id, array_to_string(list_sort([lang, collection_id]), ',') AS tags, sha256(concat_ws('|', upload_id, md5, basename, filename, array_to_string(list_sort([lang, collection_id]), ','), coalesce(meta, ''), collection_id)) AS hash FROM m WHERE scan IN ('clean', 'skipped')""", records=False)
+SELECT upload_id, array_to_string(list_sort([lang, collection_id]), ',') AS tags, sha256(json_object('upload_id', upload_id, 'md5', md5, 'basename', basename, 'filename', filename, 'tags', list_sort([lang, collection_id]), 'metadata', meta, 'collection_id', collection_id)::VARCHAR) AS hash FROM m WHERE scan IN ('clean', 'skipped')""", records=False)
 def b8_canonical_uploads(spark, sf):
     return U.canonical_uploads(_uploads(spark, sf, True))[0].select("upload_id", F.array_join("tags", ",").alias("tags"), "hash")
 
@@ -126,7 +126,7 @@ def b9_upload_metadata(spark, sf):
     return _uploads(spark, sf, True).select("upload_id", U.canonical_metadata(F.col("metadata")).alias("metadata"))
 
 
-@query("b10_canonical_collections", "SELECT record_id AS id, sha256(record_id || '|' || json_extract_string(current, '$.name') || '|' || coalesce(parent_id, '')) AS hash FROM src WHERE item_type_id IN ('region', 'nation', 'customer')")
+@query("b10_canonical_collections", "SELECT record_id AS id, sha256(json_object('id', record_id, 'label', json_extract_string(current, '$.name'), 'parent_id', parent_id)::VARCHAR) AS hash FROM src WHERE item_type_id IN ('region', 'nation', 'customer')")
 def b10_canonical_collections(spark, sf):
     s = both(spark, sf)[0].where("item_type_id IN ('region', 'nation', 'customer')")
     return U.canonical_collections(s.select(F.col("record_id").alias("id"), F.get_json_object("current", "$.name").alias("label"), "parent_id"))
