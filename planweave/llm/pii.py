@@ -24,7 +24,7 @@ THRESHOLD = 0.5
 CONTEXT = 48
 
 # The base patterns of the data contract, then the patterns that this method adds.
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")  # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+), which can only begin where digits begin: each run is read once
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")

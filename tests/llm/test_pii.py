@@ -1,5 +1,10 @@
+import random
 import re
+import time
 
+import pytest
+
+from planweave.llm import pii
 from planweave.llm.pii import find_pii, find_spans, luhn, mod97
 
 # The base patterns as the data contract states them.
@@ -61,3 +66,18 @@ def test_rows(spark):
     assert sorted(len(r.pii_spans) for r in got) == [0, 0, 1, 1, 1, 3000]
     assert {r.pii_redacted for r in got if r.doc_id in (1, 2, 3)} == {None, "", "<email>"}
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("text", ["7" * 10**6, "1." * 500_000, "12.34.56 " * 110_000, "+1" + "(" * 10**6, "a@" * 500_000, "AB12" * 250_000, "4 " * 500_000, "1-" * 500_000, "x" * 10**6 + "@", "token=" * 160_000])
+def test_time_is_linear(text):
+    began = time.perf_counter()
+    find_spans(text)
+    assert time.perf_counter() - began < 8
+
+
+def test_ip_begins_where_digits_begin():
+    rng = random.Random(4)
+    contract = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(20_000):
+        t = "".join(rng.choices("12..a ", k=rng.randint(0, 24)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in contract.finditer(t)], t
