@@ -258,6 +258,24 @@ def skip_closure(blocked: DataFrame, edges: DataFrame, writes: DataFrame, destin
     return connected_by(waiting, writes.where("writes_current OR writes_published OR moves").select(F.col("record_id").alias("id")), blocked)
 
 
+def skip_chains(skips: DataFrame) -> DataFrame:
+    """``id, chain``: for each skipped row (``id, blocker, distance``, as of ``skip_closure``; a blocked row is its own blocker) the ids from it to the row that everything began with.
+
+    Pointers to blockers are doubled, so a chain of n rows takes a logarithmic number of joins.
+    """
+    begin = F.when(F.col("distance") == 0, F.array("id")).otherwise(F.array("id", "blocker"))
+    done = F.col("distance") == 0
+    open_ = kept(skips.select("id", begin.alias("chain"), F.when(~done, F.col("blocker")).alias("next")), "chains")
+    root = skips.where(done).select(F.col("id").alias("_root"))
+    open_ = kept(open_.join(root, F.col("next") == F.col("_root"), "left").withColumn("next", F.when(F.col("_root").isNull(), F.col("next"))).drop("_root"), "chains")
+    while not open_.where("next IS NOT NULL").isEmpty():
+        on = open_.select(F.col("id").alias("_id"), F.col("chain").alias("_more"), F.col("next").alias("_next"))
+        met = open_.join(on, F.col("next") == F.col("_id"), "left")
+        longer = F.concat("chain", F.expr("slice(_more, 2, size(_more))"))
+        open_ = kept(met.select("id", F.when(F.col("_id").isNull(), F.col("chain")).otherwise(longer).alias("chain"), F.col("_next").alias("next")), "chains")
+    return open_.select("id", "chain")
+
+
 def ordering_anchors(skipped: DataFrame, destination: DataFrame, source: DataFrame, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows that a skipped sibling holds (``record_id, anchor``) and destination-only siblings that it protects (``record_id, anchor``).
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planweave.functions.canonical import canonical_json, deterministic_id, is_legacy_id, is_portable_id
+from planweave.functions.canonical import canonical_json, deterministic_id, is_legacy_id, is_portable_id, row_hash, set_digest
 from planweave.operators.prefix import running_sum
 from planweave.operators.store import kept
 
@@ -67,6 +67,50 @@ def chunk_ledger(entries: DataFrame, limit: int = CHUNK_BYTES, envelope: int = 5
     return summed.withColumn("chunk", F.floor((F.col("_upto") - size) / (F.lit(limit - envelope) - F.col("_longest"))).cast("long")).drop("_upto", "_longest")
 
 
+def greedy_chunks(entries: DataFrame, limit: int = CHUNK_BYTES, envelope: int = 512) -> DataFrame:
+    """Adds ``chunk``: sorted entries of each namespace packed one after another, a new chunk where the next entry would exceed ``limit`` less ``envelope``; exactly what one pass from the first entry gives.
+
+    Running sums place each entry on a scale of bytes. Where a chunk that began with an entry would end follows from a look into two stretches of the scale, each as long as a chunk, so of bounded size; which entries begin chunks
+    follows from the first one by doubling these pointers. No task holds a namespace. An entry that fits no chunk is an error; equal entries count once each, in any order.
+    """
+    room = limit - envelope
+    size = F.octet_length(F.concat_ws(":", "namespace", "source_id", "target_id")) + 3
+    if not entries.where(size > room).isEmpty():
+        raise ValueError("an entry does not fit in a chunk")
+    order = [F.col("source_id"), F.col("target_id"), F.col("_id")]
+    told = kept(entries.withColumn("_id", F.monotonically_increasing_id()).withColumn("_size", size.cast("long")), "entries")
+    placed = kept(running_sum(told, ["namespace"], order, F.col("_size"), "_upto"), "placed-entries")
+    stretch = lambda at: F.floor(at / room).cast("long")
+    spots = placed.select("namespace", "_id", F.col("_upto").alias("_at"), F.lit(False).alias("_asks"), stretch(F.col("_upto")).alias("_s"))
+    full = F.col("_upto") - F.col("_size") + room  # a chunk that begins here ends with the last entry up to this
+    asks = placed.select("namespace", "_id", full.alias("_at"), F.lit(True).alias("_asks"), stretch(full).alias("_s"))
+    within = W.partitionBy("namespace", "_s").orderBy(F.desc("_at"), F.desc("_asks")).rowsBetween(W.unboundedPreceding, -1)
+    later = F.struct(F.col("_at").alias("at"), F.col("_id").alias("id"))
+    near = spots.unionByName(asks).withColumn("_next", F.last(F.when(~F.col("_asks"), later), ignorenulls=True).over(within)).where("_asks")
+    firsts = spots.groupBy("namespace", (F.col("_s") - 1).alias("_s")).agg(F.min(later).alias("_first"))
+    near = near.withColumn("_next", F.when(F.col("_next.at") > F.col("_at"), F.col("_next")))
+    jump = near.join(firsts, ["namespace", "_s"], "left").select(F.col("_id").alias("src"), F.coalesce("_next", "_first")["id"].alias("dst")).where("dst IS NOT NULL")
+    jump = kept(jump, "breaks")
+    begins = kept(placed.where("_upto = _size").select("_id"), "begins")
+    while not jump.isEmpty():
+        more = begins.join(jump, begins["_id"] == jump["src"]).select(F.col("dst").alias("_id"))
+        begins = kept(begins.unionByName(more).distinct(), "begins")
+        to = jump.select(F.col("src").alias("_mid"), F.col("dst").alias("_to"))
+        jump = kept(jump.join(to, F.col("dst") == F.col("_mid")).select("src", F.col("_to").alias("dst")), "breaks")
+    flagged = kept(placed.join(begins.withColumn("_new", F.lit(1)), "_id", "left").withColumn("_new", F.coalesce("_new", F.lit(0)).cast("long")), "flagged-entries")
+    counted = running_sum(flagged, ["namespace"], order, F.col("_new"), "chunk")
+    return counted.select(*entries.columns, (F.col("chunk") - 1).alias("chunk"))
+
+
+def ledger_batches(chunks: DataFrame) -> DataFrame:
+    """``namespace, batch_id, chunk, chunk_id, n, bytes``: ids of a namespace's batch, from all of its entries in any order, and of each of its chunks (``greedy_chunks``)."""
+    size = F.octet_length(F.concat_ws(":", "namespace", "source_id", "target_id")) + 3
+    whole = chunks.groupBy("namespace").agg(set_digest(row_hash("source_id", "target_id")).alias("_sum"), F.count("*").alias("_n"))
+    batch = deterministic_id(F.concat_ws(":", F.lit("ledger-batch"), "namespace", "_n", "_sum"))
+    each = chunks.groupBy("namespace", "chunk").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).join(whole.select("namespace", batch.alias("batch_id")), "namespace")
+    return each.select("namespace", "batch_id", "chunk", deterministic_id(F.concat_ws(":", F.lit("ledger-record"), "batch_id", "chunk")).alias("chunk_id"), "n", "bytes")
+
+
 def read_ledger(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries (``id, batch, source_id, target_id, hash``) of ledger documents (``id, text``), with the hash of their document, and violations (``id, problem``):
     documents that are no JSON or not in canonical form; these have no entries."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.functions.canonical import canonical_timestamp, set_digest
+from planweave.functions.canonical import canonical_timestamp, order_free_digest, row_hash, set_digest
 
 #: Order of locales that have a rank; others follow by name.
 LOCALES = ("en", "it", "de", "fr", "es")
@@ -81,6 +82,43 @@ def write_plan(plan: DataFrame, path: str, order: list[str]) -> DataFrame:
     return spark.read.schema(manifest.schema).json(f"{path}/manifest")
 
 
+def _part_digests(rows: DataFrame) -> DataFrame:
+    """``part, n, digest_xor, digest_sum`` of each file of a table."""
+    columns = rows.columns
+    named = rows.withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return named.groupBy("part").agg(*order_free_digest(row_hash(*columns)))
+
+
+def commit_plan(plan: DataFrame, path: str, order: list[str], violations: DataFrame | None = None) -> None:
+    """Write a plan so that it counts only as a whole: its parts first, then a manifest with the digest of every part; until the manifest is there, nothing can read it as a plan.
+
+    Refused before anything is written: a record with several rows, rows in ``violations`` (such as of ``plan_violations``), and a path that holds a plan. A write that dies leaves parts without a manifest.
+    """
+    if not plan.groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a record has several rows in the plan")
+    if violations is not None and not violations.isEmpty():
+        raise ValueError("the plan contradicts itself")
+    plan.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(f"{path}/plan")
+    written = plan.sparkSession.read.schema(plan.schema).parquet(f"{path}/plan")
+    _part_digests(written).coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")  # a row a file
+
+
+def open_plan(spark: SparkSession, path: str) -> DataFrame:
+    """A plan that ``commit_plan`` wrote. An error if its manifest is missing, or if a part is missing, added or changed since."""
+    try:
+        manifest = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        raise ValueError("the plan was not committed") from e
+    try:
+        plan = spark.read.parquet(f"{path}/plan")
+    except AnalysisException as e:
+        raise ValueError("the plan is not what was committed: no part is left") from e
+    there = _part_digests(plan)
+    if not manifest.exceptAll(there.select(manifest.columns)).unionByName(there.select(manifest.columns).exceptAll(manifest)).isEmpty():
+        raise ValueError("the plan is not what was committed")
+    return plan
+
+
 def byte_violations(contents: DataFrame, expected: DataFrame) -> DataFrame:
     """``id, problem, sha256``: assets whose bytes (``id, content``) are missing or have another MD5 than expected (``id, md5``), with the SHA-256 of what is there."""
     there = contents.select("id", F.md5("content").alias("_md5"), F.sha2("content", 256).alias("sha256"))

@@ -343,12 +343,13 @@ def d27_external_dependencies(spark, sf):
 
 
 @query("d23_unexpected_referrers", """WITH gone AS (SELECT record_id FROM dst WHERE record_id NOT IN (SELECT record_id FROM src))
-SELECT record_id, json_extract_string(current, '$.customer') AS to_id FROM dst WHERE item_type_id = 'order' AND json_extract_string(current, '$.customer') IN (FROM gone) AND record_id NOT IN (FROM gone)""")
+SELECT record_id, json_extract_string(current, '$.customer') AS to_id FROM dst WHERE item_type_id = 'order' AND json_extract_string(current, '$.customer') IN (FROM gone) AND record_id NOT IN (FROM gone)
+UNION SELECT record_id, json_extract_string(published, '$.customer') FROM dst WHERE item_type_id = 'order' AND json_extract_string(published, '$.customer') IN (FROM gone) AND record_id NOT IN (FROM gone)""")
 def d23_unexpected_referrers(spark, sf):
-    """Destination rows that stay and refer to a row that is to be deleted."""
+    """Destination rows that stay and refer, in one of their slices, to a row that is to be deleted."""
     s, d = both(spark, sf)
     gone = D.retained_records(s, d).select("record_id")
-    refs = d.where("item_type_id = 'order'").join(gone, "record_id", "left_anti").select("record_id", F.get_json_object("current", "$.customer").alias("to_id"))
+    refs = _edges(spark, d.where("item_type_id = 'order'")).select(F.col("from_id").alias("record_id"), "to_id").join(gone, "record_id", "left_anti").distinct()
     return refs.join(gone.withColumnRenamed("record_id", "to_id"), "to_id", "left_semi").select("record_id", "to_id")
 
 
@@ -398,13 +399,14 @@ def e3_claimant_changes(spark, sf):
     return D.claimant_changes(_claims(s), _claims(d)).withColumns({c: F.array_join(c, ",") for c in ("s_owners", "d_owners")})
 
 
-@query("d18_target_only_unique_conflicts", f"""WITH {_CLAIMS} SELECT DISTINCT a.item_type_id, a.value, b.record_id AS owner FROM c a JOIN c b USING (item_type_id, field, value)
+@query("d18_target_only_unique_conflicts", f"""WITH {_CLAIMS}, e AS (FROM c UNION SELECT 's', item_type_id, 'name', json_extract_string(published, '$.name'), record_id FROM src WHERE item_type_id IN ('part', 'customer')
+UNION SELECT 'd', item_type_id, 'name', json_extract_string(published, '$.name'), record_id FROM dst WHERE item_type_id IN ('part', 'customer')) SELECT DISTINCT a.item_type_id, a.value, b.record_id AS owner FROM e a JOIN e b USING (item_type_id, field, value)
 WHERE a.side = 's' AND b.side = 'd' AND b.record_id NOT IN (SELECT record_id FROM src)""")
 def d18_target_only_unique_conflicts(spark, sf):
     s, d = both(spark, sf)
     only = D.retained_records(s, d).select("record_id")
-    theirs = _claims(d).join(only, "record_id", "left_semi").select("item_type_id", "field", "value", F.col("record_id").alias("owner")).distinct()
-    return _claims(s).select("item_type_id", "field", "value").distinct().join(theirs, ["item_type_id", "field", "value"]).select("item_type_id", "value", "owner")
+    theirs = D.claims(X.slices(d), _UNIQUE).join(only, "record_id", "left_semi").select("item_type_id", "field", "value", F.col("record_id").alias("owner")).distinct()
+    return D.claims(X.slices(s), _UNIQUE).select("item_type_id", "field", "value").distinct().join(theirs, ["item_type_id", "field", "value"]).select("item_type_id", "value", "owner")
 
 
 @query("d14_nonportable_new_ids", "SELECT record_id FROM src WHERE record_id NOT IN (SELECT record_id FROM dst)")

@@ -73,13 +73,13 @@ def a7_schema_closure(spark, sf):
     return S.schema_closure(_models(spark, sf, True).where("k % 20 = 3"), _fields(spark, sf, True)).select("id")
 
 
-@query("a8_internal_models", f"""WITH {_SCHEMA}, g AS (SELECT model_id, string_agg(kind || ':' || size % 2, ',' ORDER BY kind || ':' || size % 2) AS has FROM sf WHERE k < 200 GROUP BY 1)
-SELECT sm.id FROM sm JOIN g ON model_id = sm.id WHERE has = 'field:0,fieldset:1'""", records=False)
+@query("a8_internal_models", """WITH g AS (SELECT l_orderkey, string_agg('l' || l_linenumber || ':' || l_returnflag, ',' ORDER BY 'l' || l_linenumber || ':' || l_returnflag) AS has FROM lineitem GROUP BY 1)
+SELECT 'o' || o_orderkey AS id FROM orders JOIN g ON l_orderkey = o_orderkey WHERE has = 'l1:N,l2:N'""", records=False)
 def a8_internal_models(spark, sf):
-    """Models of exactly a field of even size and a fieldset of odd size, among the first 200 parts."""
-    parity = (F.col("attributes")["size"].cast("int") % 2).cast("string")
-    fields = _fields(spark, sf, True).where("k < 200").select("model_id", F.col("kind").alias("api_key"), parity.alias("type"))
-    return S.internal_models(_models(spark, sf, True), fields, {"field": "0", "fieldset": "1"})
+    """Orders as models and their lines as fields: models of exactly two fields, both of one type."""
+    id_ = lambda c: F.concat(F.lit("o"), c)
+    fields = read_table(spark, sf, "lineitem").select(id_("l_orderkey").alias("model_id"), F.concat(F.lit("l"), "l_linenumber").alias("api_key"), F.col("l_returnflag").alias("type"))
+    return S.internal_models(read_table(spark, sf, "orders").select(id_("o_orderkey").alias("id")), fields, {"l1": "N", "l2": "N"}).select("id")
 
 
 @query("a18_inspection_models", f"WITH {_SCHEMA} SELECT DISTINCT 'm' || l_suppkey AS id FROM lineitem WHERE 'm' || l_suppkey NOT IN (SELECT id FROM sm)", records=False)
