@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import planweave.plans.registered  # noqa: F401  (registers all queries)
+from planweave.operators.stages import STAGES
 from planweave.plans.queries import QUERIES
 from planweave.sources.records import both
 
@@ -28,3 +29,7 @@ def test_seeds_are_whole(spark):
     p = spark.read.parquet(f"{SF}/part.parquet")
     n = {r.b: r.n for r in p.where("p_partkey % 10 <> 0").groupBy(F.col("p_brand").alias("b")).agg(F.count("*").alias("n")).collect()}
     assert all(r.s_n == n.get(r.item_type_id, 0) for r in QUERIES["d16_singleton_mismatches"](spark, SF).collect())
+
+
+def test_all_stages_occur(spark):
+    assert {r.stage for r in QUERIES["g15_write_stages"](spark, SF).select("stage").distinct().collect()} == set(STAGES)
