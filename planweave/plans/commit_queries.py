@@ -64,7 +64,7 @@ def a16_committed_plan(spark, sf):
 _STAGES = f"""{PLAN_SQL},
 t AS MATERIALIZED (SELECT p.record_id, action, s.current AS dc, s.published AS dp, d.current AS bc, d.published AS bp, p.item_type_id <> 'part' AS draft, coalesce(s.position, d.position) % 5 = 0 AS pseed, p.item_type_id = 'customer' AS tree,
   s.parent_id IS DISTINCT FROM d.parent_id AS rep, p.item_type_id = 'customer' AND coalesce(s.position, d.position) % 4 = 0 AS pos, CASE WHEN coalesce(s.position, d.position) % 9 = 0 AND action <> 'delete' THEN '{{"name":"<free>"}}' END AS rel,
-  CASE WHEN coalesce(s.position, d.position) % 4 = 1 AND action = 'delete' THEN '{{"name":null}}' END AS del FROM p LEFT JOIN src s USING (record_id) LEFT JOIN dst d USING (record_id)),
+  CASE WHEN coalesce(s.position, d.position) % 20 = 0 AND action = 'delete' THEN '{{"name":null}}' END AS del FROM p LEFT JOIN src s USING (record_id) LEFT JOIN dst d USING (record_id)),
 t1 AS (SELECT *, CASE WHEN action = 'create' THEN coalesce(dp, dc) ELSE bc END AS b0 FROM t), t2 AS (SELECT *, coalesce(rel, b0) AS v2 FROM t1),
 t3 AS (SELECT *, v2 IS DISTINCT FROM b0 AS released, CASE WHEN NOT draft AND v2 IS DISTINCT FROM b0 THEN v2 WHEN action = 'create' THEN CASE WHEN NOT draft OR pseed THEN b0 END ELSE bp END AS pub, action IN ('create', 'update') AS w FROM t2),
 t4 AS (SELECT *, CASE WHEN w AND dp IS NOT NULL AND pub IS DISTINCT FROM dp THEN dp ELSE v2 END AS v4 FROM t3), t5 AS MATERIALIZED (SELECT *, CASE WHEN w THEN coalesce(dc, v4) ELSE v4 END AS v5 FROM t4),
@@ -75,14 +75,14 @@ st AS MATERIALIZED (SELECT record_id, 0 AS step, 'create' AS stage, b0 AS versio
 
 
 def _stages(spark, sf):
-    """Every ninth row releases its name first, every fourth deleted one at last; customers are a tree, and parts have no drafts."""
+    """Every ninth row releases its name first, every second deleted one at last; customers are a tree, and parts have no drafts."""
     s, d = both(spark, sf)
     two = D.diff_entities(s, d, "record_id", position="position")
     k, kind = F.coalesce("s_position", "d_position"), F.coalesce("s_item_type_id", "d_item_type_id")
     gone = F.col("action") == "delete"
     return W.write_stages(two.select(
         "record_id", "action", F.col("s_current").alias("desired_current"), F.col("s_published").alias("desired_published"), F.col("d_current").alias("baseline_current"), F.col("d_published").alias("baseline_published"),
-        F.lit(None).cast("string").alias("seed"), F.when((k % 9 == 0) & ~gone, '{"name":"<free>"}').alias("release"), F.when((k % 4 == 1) & gone, '{"name":null}').alias("delete_release"), (kind != "part").alias("draft_mode"),
+        F.lit(None).cast("string").alias("seed"), F.when((k % 9 == 0) & ~gone, '{"name":"<free>"}').alias("release"), F.when((k % 20 == 0) & gone, '{"name":null}').alias("delete_release"), (kind != "part").alias("draft_mode"),
         (k % 5 == 0).alias("publication_seed"), (kind == "customer").alias("tree"), (~F.col("s_parent_id").eqNullSafe(F.col("d_parent_id"))).alias("reparents"), ((kind == "customer") & (k % 4 == 0)).alias("repositions"),
     ))
 
