@@ -23,7 +23,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: iterations then don't grow the plan, and lost executors lose nothing."""
+    """Write ``df`` to the shared folder and read it back: iterations then don't grow the plan, and lost executors lose nothing. A table that was kept already is returned as it is."""
+    if getattr(df, "_kept", False):
+        return df
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept = True
+    return out
