@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from planweave.llm.tokens import PieceEncoder, TextEncoder
 BLOCK_BYTES = 1 << 22
 #: Tokens whose links are held at once.
 LINK_TOKENS = 1 << 18
+#: Compression of a document's ids, which are written once and dealt once.
+LEVEL = 3
 #: A pair of ids is one key, ``a * 2^32 + b``.
 SHIFT = 32
 
@@ -165,11 +168,12 @@ def encoded_blocks(docs: DataFrame, first: str, second: str, block_bytes: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, number, ids, tokens, size = pair(first, second), TaskContext.get().partitionId() << 32, [], [], 0
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number
             none = [pa.nulls(len(ids), pa.int64())] * 2
-            a, b = (pa.array([t[side] for t in tokens], pa.binary()) for side in (0, 1))
+            a, b = (pa.array([pack(t[side]) for t in tokens], pa.binary()) for side in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(ids, id_arrow), a, b, *none], names)
             keys, n = Block(tokens, both).counts()
             void = [pa.nulls(len(keys), t) for t in (id_arrow, pa.binary(), pa.binary())]
@@ -219,7 +223,8 @@ def align_tokenizers(docs: DataFrame, first: str, second: str, block_bytes: int
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(keys := right["key"].to_numpy())
         known = keys[order], right["total"].to_numpy()[order], np.asarray(right["best"].to_numpy(zero_copy_only=False), bool)[order]
-        tokens = list(zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True))
+        unpack = zstandard.ZstdDecompressor().decompress
+        tokens = [(unpack(a), unpack(b)) for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)]
         made = Block(tokens, pair(first, second)).digests(*known)
         columns = [left["doc_id"].combine_chunks(), *(pa.array(m, pa.int64()) for m in made[:-1]), pa.array(made[-1], pa.string())]
         return pa.Table.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
