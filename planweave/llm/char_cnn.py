@@ -10,7 +10,7 @@ VALUE, BEFORE, AFTER = 48, 32, 16
 #: Codes: 0 is padding, 1 to 95 are printable ASCII, then white space, other characters of two bytes at most, and the rest.
 CODES = 99
 EMBEDDING, WIDTH, FILTERS, HIDDEN = 12, 5, 24, 16
-EPOCHS, BATCH, RATE = 8, 128, 3e-3
+BATCH, RATE = 128, 3e-3
 
 
 def codes_of(text: str, length: int, right: bool = False) -> np.ndarray:
@@ -76,48 +76,84 @@ class CharCNN:
             g[f"conv{t}"] = np.tensordot(columns, da, ((0, 1), (0, 1)))
             g[f"shift{t}"] = da.sum((0, 1))
             dc = (da @ self.p[f"conv{t}"].T).reshape(len(codes), -1, WIDTH, EMBEDDING)
+            seen = np.zeros((*part.shape, EMBEDDING), dc.dtype)
             for k in range(WIDTH):
-                np.add.at(g["embed"], part[:, k : k + dc.shape[1]], dc[:, :, k])
+                seen[:, k : k + dc.shape[1]] += dc[:, :, k]
+            g["embed"] += np.stack([np.bincount(part.ravel(), seen[..., d].ravel(), CODES) for d in range(EMBEDDING)], 1)
         return loss, g
 
-    def fit(self, codes: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> CharCNN:
-        """Adam over balanced classes; the order of rows goes by ``seed``."""
-        rng, step = np.random.default_rng(seed), 0
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        weights = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for i in range(0, len(y), BATCH):
-                at, step = order[i : i + BATCH], step + 1
-                _, g = self.gradients(codes[at], y[at], weights[at])
-                for k, v in g.items():
-                    first[k] += 0.1 * (v - first[k])
-                    second[k] += 0.001 * (v * v - second[k])
-                    self.p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    def learn(self, codes: np.ndarray, y: np.ndarray, weights: np.ndarray, state: np.ndarray, seed: list[int]) -> np.ndarray:
+        """One pass of Adam over some rows from ``state`` on, and the state after it. The order of rows goes by ``seed``; every batch has its share of each class.
+
+        ``weights`` are 1 on average over all rows of all parts, so the parts' steps go down one and the same loss. Steps are of single precision, states of double precision.
+        """
+        step, (self.p, first, second) = state[0], self._unpack(state.astype(np.float32))
+        rng, place = np.random.default_rng(seed), np.zeros(len(y))
+        for k in (0, 1):
+            at = rng.permutation(np.flatnonzero(y == k))
+            place[at] = (np.arange(len(at)) + rng.random()) / max(1, len(at))
+        order, y, weights = np.argsort(place, kind="stable"), y.astype(np.float32), weights.astype(np.float32)
+        for i in range(0, len(y), BATCH):
+            at, step = order[i : i + BATCH], step + 1
+            _, g = self.gradients(codes[at], y[at], weights[at])
+            for k, v in g.items():
+                v = v * weights[at].mean()
+                first[k] += np.float32(0.1) * (v - first[k])
+                second[k] += np.float32(0.001) * (v * v - second[k])
+                self.p[k] -= np.float32(RATE / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+        return np.concatenate([[step], *(x.ravel().astype(float) for part in (self.p, first, second) for x in part.values())])
+
+    def state(self) -> np.ndarray:
+        """What learning begins with: number of steps, parameters, and Adam's two means of the gradients."""
+        flat = np.concatenate([x.ravel() for x in self.p.values()])
+        return np.concatenate([[0.0], flat, np.zeros(2 * len(flat))])
+
+    def take(self, state: np.ndarray) -> CharCNN:
+        """Take the parameters of a state."""
+        self.p = self._unpack(state)[0]
         return self
 
+    def _unpack(self, state: np.ndarray) -> list[dict[str, np.ndarray]]:
+        out, at = [], 1
+        for _ in range(3):
+            out.append({})
+            for k, v in self.p.items():
+                out[-1][k] = state[at : at + v.size].reshape(v.shape).copy()
+                at += v.size
+        return out
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that turn logits into calibrated probabilities, by Newton's method on smoothed labels. The slope is positive."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
+
+def mean_state(states: list[np.ndarray], n: list[int]) -> np.ndarray:
+    """Mean of the states of several parts by their numbers of rows."""
+    return sum(s * (k / sum(n)) for s, k in zip(states, n, strict=True))
+
+
+def platt(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift that turn logits into calibrated probabilities, by Newton's method on smoothed labels. The slope is positive. ``n``: how often each logit and label occurs (once)."""
+    n = np.ones(len(z)) if n is None else n
+    n1, n0 = n[y == 1].sum(), n[y == 0].sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x, w = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target) + 1e-6 * (w - [1, 0]))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (n * (p - target)) + 1e-6 * (w - [1, 0]))
         w = w - step
         if abs(step).max() < 1e-9:
             break
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def threshold_for_recall(p: np.ndarray, y: np.ndarray, recall: float, least: float) -> float:
-    """Of the scores from which at least ``recall`` of the positives are found, the one of the best precision, and of these the lowest; no less than ``least``."""
+def threshold_for_recall(p: np.ndarray, y: np.ndarray, recall: float, least: float, n: np.ndarray | None = None) -> float:
+    """Of the scores from which at least ``recall`` of the positives are found, the one of the best precision, and of these the lowest; no less than ``least``.
+
+    ``n``: how often each score and label occurs (once).
+    """
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
+    n = np.ones(len(p), int) if n is None else n
+    hits, found = np.cumsum((n * y)[order]), np.cumsum(n[order])
     last = np.append(p[order][1:] != p[order][:-1], True) if len(p) else np.zeros(0, bool)  # equal scores are found together
     fit = last & (hits >= recall * hits[-1]) & (hits > 0) if len(p) else last
     if not fit.any():
         return least
-    precision = np.where(fit, hits / np.arange(1, len(p) + 1), -1.0)
+    precision = np.where(fit, hits / found, -1.0)
     return max(least, float(p[order][np.flatnonzero(precision == precision.max())[-1]]))

@@ -158,3 +158,66 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = S.fit_secret_model(S.known_findings(docs))
     assert model is None and S.scan_secrets(docs, model).count() == 0
+
+
+def late_findings(spark, layout):
+    """Beyond the thousand smallest hashes of each label, secrets and harmless values have forms that the first ones lack."""
+    rng = random.Random(12)
+    some = lambda letters, n: "".join(rng.choices(letters, k=n))
+    rows = []
+    for i in range(2500):
+        late = i >= 1000
+        rows.append((i, 1, "words before ", "zq" + some("aeiou", 14) if late else some("0123456789abcdef", 40), " words after"))
+        rows.append((i, 0, "words before ", some("0123456789ABCDEF", 40) if late else some("0123456789", 12), " words after"))
+    return spark.createDataFrame(rows, "hash long, label int, before string, value string, after string").repartition(layout)
+
+
+@pytest.fixture(scope="module")
+def late_model(spark):
+    return S.fit_secret_model(late_findings(spark, 3))
+
+
+def test_all_findings_are_learned_from(late_model):
+    rng = random.Random(13)
+    values = ["zq" + "".join(rng.choices("aeiou", k=14)) for _ in range(100)], ["".join(rng.choices("0123456789ABCDEF", k=40)) for _ in range(100)]
+    secret, plain = (late_model.scores([("words before ", v, " words after") for v in some]) for some in values)
+    assert (secret >= late_model.thresholds[1]).sum() > 90 and (plain >= late_model.thresholds[1]).sum() < 10
+
+
+def test_fit_does_not_go_by_layout(spark, late_model):
+    other = S.fit_secret_model(late_findings(spark, 7))
+    assert (other.slope, other.shift, other.thresholds) == (late_model.slope, late_model.shift, late_model.thresholds)
+    assert all((late_model.net.p[k] == v).all() for k, v in other.net.p.items())
+
+
+def test_every_finding_is_counted_and_packed(spark):
+    from pyspark.sql import functions as F
+
+    data = S.labelled_findings(late_findings(spark, 5)).withColumn("place", F.xxhash64("hash", "before", "value", "after"))
+    n = data.count()
+    net = CharCNN(4)
+    *_, counts = S.tally(data, net, 7).T
+    assert counts.sum() == n * (1 + S.VARIATIONS)
+    packed = S.in_parts(data, 40, 7).collect()
+    assert len({r.part for r in packed}) == len(packed) == 40 and sum(len(r.labels) for r in packed) == n * (1 + S.VARIATIONS)
+    steps, labels, _, counts = S.tally(data, net, 7).T
+    codes = np.concatenate([np.frombuffer(r.codes, np.uint8).reshape(len(r.labels), -1) for r in packed])
+    y = np.concatenate([np.frombuffer(r.labels, np.uint8) for r in packed])
+    z = np.rint(net.logits(codes) * S.STEPS)
+    for k in (0, 1):  # training and calibration see the same windows
+        assert abs(z[y == k].sum() - (steps * counts)[labels == k].sum()) <= 5
+
+
+def test_mean_of_parts(spark):
+    rng = np.random.default_rng(8)
+    states, n = rng.normal(0, 1, (30, 50)), rng.integers(1, 100, 30)
+    rows = spark.createDataFrame([(i, int(k), bytearray(s.tobytes())) for i, (k, s) in enumerate(zip(n, states, strict=True))], "part int, n long, state binary")
+    assert np.allclose(S.mean_of_parts(rows.repartition(4), 30), np.average(states, 0, n))
+    assert (S.mean_of_parts(rows.repartition(4), 30) == S.mean_of_parts(rows.coalesce(1), 30)).all()
+
+
+def test_counted_scores_are_those_of_repeated_ones():
+    rng = np.random.default_rng(9)
+    z, y, n = rng.integers(-9, 9, 80) / 4, rng.integers(0, 2, 80), rng.integers(1, 9, 80)
+    assert np.allclose(platt(z, y, n), platt(np.repeat(z, n), np.repeat(y, n)))
+    assert threshold_for_recall(z, y, 0.7, -9.0, n) == threshold_for_recall(np.repeat(z, n), np.repeat(y, n), 0.7, -9.0)
