@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planweave.functions.canonical import is_stable_text
 from planweave.operators.dependencies import ordering_anchors, protected_targets, skip_closure
 from planweave.operators.diff import classify_live, sided
-from planweave.operators.store import kept
+from planweave.operators.store import kept, small
 from planweave.sources.records import record_hash
 
 
@@ -233,6 +233,9 @@ def issues_from_errors(errors: DataFrame) -> DataFrame:
 
 
 def contains_string(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Documents (``record_id``) of exploded rows with a string that is exactly one of ``targets`` (``value``), and which."""
+    """Documents (``record_id``) of exploded rows, or rows of ``all_texts``, with a string that is exactly one of ``targets`` (``value``), and which."""
+    wanted = small(targets.select("value").distinct())
+    if "text" in rows.columns:
+        return rows.select("record_id", F.col("text").alias("value")).join(wanted, "value", "left_semi").distinct()
     text = F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")
-    return rows.where("kind = 'string'").select("record_id", text.alias("value")).distinct().join(targets.select("value").distinct(), "value", "left_semi")
+    return rows.where("kind = 'string'").select("record_id", text.alias("value")).join(wanted, "value", "left_semi").distinct()
