@@ -30,3 +30,7 @@ def same(a, b):
 def test_all_texts(spark, docs):
     targets = spark.createDataFrame([("t1",), ("t3",), ("&",), ("none",)], "value string")
     same(H.contains_string(X.all_texts(docs), targets), H.contains_string(X.explode_document(docs), targets))
+
+
+def test_texts_of_fields(docs):
+    same(B.unstable_texts(X.named_texts(docs, ("note", "value"), lists=True), ("note", "value")), B.unstable_texts(X.explode_document(docs), ("note", "value")))
