@@ -34,3 +34,23 @@ def test_all_texts(spark, docs):
 
 def test_texts_of_fields(docs):
     same(B.unstable_texts(X.named_texts(docs, ("note", "value"), lists=True), ("note", "value")), B.unstable_texts(X.explode_document(docs), ("note", "value")))
+
+
+def test_links(spark, docs):
+    fields = spark.createDataFrame(FIELDS, "item_type_id string, field string, required boolean, kind string")
+    names = tuple(f[1] for f in FIELDS if f[3] == "link")
+    same(X.references(X.link_texts(docs, names), fields), X.references(X.explode_document(docs), fields))
+    same(X.references(X.link_texts(docs, names), fields, unique=True), X.references(X.explode_document(docs), fields))
+
+
+def test_orders_that_lack_something_are_left_to_the_library(spark, tmp_path):
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"
+    spark.createDataFrame([(1, 2, 3, 1), (1, None, 3, 2), (1, 2, None, 3), (2, 9, 3, None)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 5), (2, None), (3, 6)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(2, 4)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.record_id: json.loads(r.value) for r in _nested_orders(spark, str(tmp_path)).collect()}
+    attributes = [m["attributes"] for m in got["o1"]["modules"]]
+    assert got["o3"] == {"customer": "c6"} and "customer" not in got["o2"] and [m["id"] for m in got["o1"]["modules"]] == ["1-1", "1-2", "1-3"]
+    assert attributes[0]["note"] == "<b>even</b>" and "part" not in attributes[1] and attributes[1]["hero"]["supplier"] == "s3" and attributes[2]["hero"]["image"] == {"alt": "supplier"}
+    assert got["o2"]["modules"][0]["id"] == "2" and "note" not in got["o2"]["modules"][0]["attributes"]
+    assert attributes[0]["hero"] == {"id": "1-1-s", "type": "item", "item_type": {"id": "supply"}, "supplier": "s3", "image": {"upload_id": "u3", "alt": "supplier"}}
