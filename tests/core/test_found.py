@@ -54,3 +54,7 @@ def test_orders_that_lack_something_are_left_to_the_library(spark, tmp_path):
     assert attributes[0]["note"] == "<b>even</b>" and "part" not in attributes[1] and attributes[1]["hero"]["supplier"] == "s3" and attributes[2]["hero"]["image"] == {"alt": "supplier"}
     assert got["o2"]["modules"][0]["id"] == "2" and "note" not in got["o2"]["modules"][0]["attributes"]
     assert attributes[0]["hero"] == {"id": "1-1-s", "type": "item", "item_type": {"id": "supply"}, "supplier": "s3", "image": {"upload_id": "u3", "alt": "supplier"}}
+
+
+def test_uploads(docs):
+    same(B.upload_references(X.named_texts(docs, ("upload_id",))), B.upload_references(X.explode_document(docs)))
