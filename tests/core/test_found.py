@@ -58,3 +58,7 @@ def test_orders_that_lack_something_are_left_to_the_library(spark, tmp_path):
 
 def test_uploads(docs):
     same(B.upload_references(X.named_texts(docs, ("upload_id",))), B.upload_references(X.explode_document(docs)))
+
+
+def test_block_locations(docs):
+    same(B.block_locations(X.explode_blocks(docs), ("body",)), B.block_locations(X.explode_document(docs), ("body",)))
