@@ -62,3 +62,7 @@ def test_uploads(docs):
 
 def test_block_locations(docs):
     same(B.block_locations(X.explode_blocks(docs), ("body",)), B.block_locations(X.explode_document(docs), ("body",)))
+
+
+def test_nested_ids(docs):
+    same(B.nested_ids(X.explode_blocks(docs)), B.nested_ids(X.explode_document(docs)))
