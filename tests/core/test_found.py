@@ -66,3 +66,8 @@ def test_block_locations(docs):
 
 def test_nested_ids(docs):
     same(B.nested_ids(X.explode_blocks(docs)), B.nested_ids(X.explode_document(docs)))
+
+
+def test_allow_lists(spark, docs):
+    allowed = spark.createDataFrame([(None, "blocks", "card"), ("card", "body", "hero"), ("hero", "target", "card")], "owner_model string, field string, block_model string")
+    same(B.allow_list_issues(X.explode_blocks(docs), allowed), B.allow_list_issues(X.explode_document(docs), allowed))
