@@ -71,3 +71,12 @@ def test_nested_ids(docs):
 def test_allow_lists(spark, docs):
     allowed = spark.createDataFrame([(None, "blocks", "card"), ("card", "body", "hero"), ("hero", "target", "card")], "owner_model string, field string, block_model string")
     same(B.allow_list_issues(X.explode_blocks(docs), allowed), B.allow_list_issues(X.explode_document(docs), allowed))
+
+
+def test_stripped_edges(spark, docs):
+    fields = spark.createDataFrame(FIELDS, "item_type_id string, field string, required boolean, kind string")
+    rows, names = X.explode_document(docs), tuple(f[1] for f in FIELDS if f[3] == "link")
+    targets = spark.createDataFrame([("t1",), ("t2",)], "id string")
+    got = B.strip_documents(None, X.references(X.link_texts(docs, names), fields, unique=True), targets)
+    same(got, B.strip_documents(rows, X.references(rows, fields), targets))
+    assert got.where("NOT required AND to_id IN ('t1', 't2')").isEmpty() and not got.where("required AND to_id = 't1'").isEmpty()
