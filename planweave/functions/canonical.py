@@ -28,10 +28,15 @@ def canonical_json(text: Column) -> Column:
     """
     plain = F.to_json(parsed(text))
     odd = plain.rlike(r"[0-9][.eE][0-9+-]")
-    parts = F.regexp_extract_all(plain, F.lit(_TOKENS), F.lit(0))
     huge = F.exists(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), lambda p: p.rlike("^-?[0-9]") & (F.abs(p.try_cast("double")) == float("inf")))
     beyond = F.when(text.rlike(r"[0-9][eE]\+?[0-9]{3}|[0-9]{300}"), huge).otherwise(False)
-    return F.when(beyond, None).when(odd, F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^-?[0-9]"), number_text(p)).otherwise(p)), "")).otherwise(plain)
+    return F.when(beyond, None).when(odd, normal_numbers(plain)).otherwise(plain)
+
+
+def normal_numbers(text: Column) -> Column:
+    """JSON text with every number in its one form."""
+    parts = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^-?[0-9]"), number_text(p)).otherwise(p)), "")
 
 
 def number_text(number: Column) -> Column:
