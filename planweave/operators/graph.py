@@ -129,6 +129,45 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX
     raise RuntimeError(f"levels did not end within {max_rounds} rounds")
 
 
+def chain_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """As ``topological_levels``, for graphs with long chains: rounds grow with the logarithm of a chain's length, and with the number of nodes on a path that depend on several others.
+
+    A node that depends on one other only is as far above the first node that does not as there are steps between them; these are counted by pointer doubling. The others are peeled.
+    """
+    edges = kept(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    ids = nodes.select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    needs = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("next"))
+    known = kept(ids.join(needs, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "next"), "nodes")
+    ends = known.select(F.col("id").alias("next"), (F.col("n") == 1).alias("open"))
+    walk = kept(known.where("n = 1").select("id", "next", F.lit(1).cast("long").alias("dist")).join(ends, "next").select("id", "next", "dist", "open"), "chains")
+    total, span = walk.count(), 1
+    while span <= total and not walk.where("open").isEmpty():  # a pointer over more steps than there are such nodes goes round a cycle
+        hop = walk.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("dist").alias("_dist"), F.col("open").alias("_open"))
+        moved = walk.where("open").join(hop, "next").select("id", F.col("_next").alias("next"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_open").alias("open"))
+        walk, span = kept(walk.where("NOT open").unionByName(moved), "chains"), span * 2
+    walk = walk.where("NOT open")
+
+    forks = edges.join(known.where("n > 1").select(F.col("id").alias("src")), "src", "left_semi")
+    far = forks.join(walk.select(F.col("id").alias("dst"), "next", "dist"), "dst", "left")
+    steps = kept(far.select("src", F.coalesce("next", "dst").alias("dst"), (F.coalesce("dist", F.lit(0)) + 1).alias("step")), "steps")
+    rest = kept(known.where("n <> 1").select("id", F.col("n").alias("open"), F.lit(0).cast("long").alias("level")), "rest")
+    out: list[DataFrame] = []
+    for _ in range(max_rounds):
+        ready = rest.where("open = 0").select("id", "level")
+        if ready.isEmpty():
+            break
+        out.append(ready)
+        met = steps.join(ready.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("met"), F.max(F.col("level") + F.col("step")).alias("up"))
+        left = rest.where("open > 0").join(met, "id", "left")
+        rest = kept(left.select("id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("level", F.coalesce("up", "level")).alias("level")), "rest")
+    else:
+        raise RuntimeError(f"levels did not end within {max_rounds} rounds")
+    peeled = reduce(DataFrame.unionByName, out or [ready])
+    above = walk.join(peeled.withColumnRenamed("id", "next"), "next").select("id", (F.col("level") + F.col("dist")).alias("level"))
+    levels = kept(peeled.unionByName(above).select("id", F.col("level").cast("int").alias("level")), "levels")
+    return levels, known.select("id").join(levels, "id", "left_anti")
+
+
 def depths(nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``id, depth`` in a tree given by ``id, parent_id``: 0 for roots and for nodes whose parent is not there. Nodes in a cycle of parents have depth null."""
     tree = nodes.select("id", "parent_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planweave.functions.canonical import set_digest
-from planweave.operators.graph import closure, depths, topological_levels
+from planweave.operators.graph import chain_levels, closure, depths
 from planweave.operators.store import kept
 
 #: Order of the stages of a schema plan.
@@ -85,11 +85,11 @@ def changed_fields(source: DataFrame, destination: DataFrame) -> DataFrame:
 def deleted_models(source: DataFrame, destination: DataFrame, uses: DataFrame) -> DataFrame:
     """``id, level``: destination-only models, those that use others before what they use. ``uses``: ``src`` uses ``dst``; what lies on a cycle has level null and goes last.
 
-    Level 0 goes first. Models are few, but the order comes from the same peeling as any other.
+    Level 0 goes first. Models that use each other in a long chain take few rounds.
     """
     gone = kept(new_entities(destination, source).select("id"), "deleted-models")
     inner = uses.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    levels, _ = topological_levels(gone, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    levels, _ = chain_levels(gone, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return gone.join(levels, "id", "left")
 
 
