@@ -221,6 +221,11 @@ def typed_ids(rows: DataFrame, fields: DataFrame, *keys: str) -> DataFrame:
     return records.unionByName(blocks).unionByName(uploads)
 
 
+def record_ids(links: DataFrame, fields: DataFrame) -> DataFrame:
+    """``kind, id``: the different ids of records in rows of ``link_texts``."""
+    return typed_rows(links, fields).where("_text OR _name IS NOT NULL").select(F.lit("record").alias("kind"), F.col("text").alias("id")).distinct()
+
+
 def rewrite_ids(rows: DataFrame, fields: DataFrame, mapping: DataFrame, *keys: str) -> DataFrame:
     """Rows of documents with ids replaced by ``mapping`` (``kind, old_id, new_id``; one row an old id) at the places of their kind; all else stays, as do ids without an entry."""
     keys = keys or ("record_id",)

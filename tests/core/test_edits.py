@@ -78,3 +78,13 @@ def test_defaults(spark):
     rows = [("page", "title", '"t"', ["en", "it"]), ("page", "flag", "true", None), ("card", "note", "7", None), ("card", "tag", "null", None), ("card", "list", "[]", ["en"])]
     defaults = spark.createDataFrame(rows, "item_type_id string, field string, value string, locales array<string>")
     assert texts(A.fill_texts(df, defaults)) == texts(R.fold_documents(R.fill_defaults(X.explode_document(df), defaults)))
+
+
+def test_ids_of_records(spark, pages, fields):
+    _, df, rows = pages
+    links = X.link_texts(df.select("item_type_id", "value"), tuple(f[1] for f in FIELDS if f[3] == "link"), once=True)
+    want = R.typed_ids(rows, fields).where("kind = 'record'").select("kind", "id").distinct()
+    got = R.record_ids(links, fields)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and links.count() < rows.where("kind = 'string'").count() / 2
+    mapping = spark.createDataFrame([("record", "t4", "t5"), ("record", "t3", "t5"), ("block", "t1", "t2"), ("record", "t0", "n0")], "kind string, old_id string, new_id string")
+    assert [tuple(r) for r in R.merged_ids(got, mapping).collect()] == [("record", "t5", 3)]
