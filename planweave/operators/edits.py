@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Callable, Iterator
+from operator import is_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -136,7 +137,7 @@ def edit_documents(docs: DataFrame, edit: Callable | None = None, value: str = "
             if made:
                 yield flush()
 
-    out = docs.select(*keys, value).mapInArrow(run, schema)
+    out = docs.select(*keys, value).mapInArrow(X.without_cycles(run), schema)
     text = F.when(F.col("_odd"), normal_numbers(F.col("value"))).otherwise(F.col("value"))
     return out.select(*keys, text.alias("value"), *(f.name for f in extra)).withColumn("hash", F.sha2("value", 256))
 
@@ -229,7 +230,8 @@ def stripper(fields: list[tuple], targets, force: bool) -> Callable:
         return walk(v, model, field, True) if c is dict else listed(v, model, field) if c is list else v
 
     def listed(v: list, model, field) -> list:
-        return [leaf(x, model, field) for x in v if x.__class__ is not str or not goes(x, model, field)]
+        out = [leaf(x, model, field) for x in v if x.__class__ is not str or not goes(x, model, field)]
+        return v if len(out) == len(v) and all(map(is_, out, v)) else out
 
     def head(v: dict, model, field, around: bool):
         block = _block(v, around) if v.get("type") == "item" else None
@@ -242,22 +244,29 @@ def stripper(fields: list[tuple], targets, force: bool) -> Callable:
         own = v.get("type")
         in_text = own == "itemLink" or own == "inlineItem"
         starts = v.get("schema") == "dast"
-        out = {}
+        out = v  # copied when a member changes
         for k, x in v.items():
             c = x.__class__
-            if k != but and (c is str or c is dict or c is list):
-                below = X._HOLDS if apart and k == "attributes" else _below(k, field, beside)
-                if c is str:
-                    if not (in_text and k == "item") and goes(x, model, below):
-                        x = None
-                elif c is list:
-                    x = listed(x, model, None if below == X._HOLDS else below)
+            if c is str:
+                if x not in targets or in_text and k == "item" or not goes(x, model, _below(k, field, beside)):
+                    continue
+                new = None
+            elif c is not dict and c is not list or k == but:
+                continue
+            else:
+                below = X._HOLDS if apart and k == "attributes" else field if field != X._HOLDS else _below(k, field, beside)
+                if c is list:
+                    new = listed(x, model, None if below == X._HOLDS else below)
                 elif starts and k == "document":
                     left = node(x, model, below)
-                    x = left[0] if left else json.loads(EMPTY_ROOT)
+                    new = left[0] if left else json.loads(EMPTY_ROOT)
                 else:
-                    x = walk(x, model, below, True)
-            out[k] = x
+                    new = walk(x, model, below, True)
+                if new is x:
+                    continue
+            if out is v:
+                out = dict(v)
+            out[k] = new
         return out
 
     def walk(v: dict, model, field, around: bool) -> dict:
@@ -275,8 +284,8 @@ def stripper(fields: list[tuple], targets, force: bool) -> Callable:
         children = v.get("children")
         if children.__class__ is not list or own == "inlineItem":
             out = members(v, model, field, apart, beside)
-            if own == "span" and v.get("value") == "":
-                out.pop("marks", None)
+            if own == "span" and "marks" in v and v.get("value") == "":
+                out = {k: x for k, x in out.items() if k != "marks"}
             return [out]
         kids = nodes(children, model, _below("children", field, beside))
         if own == "itemLink" and hit:
@@ -286,7 +295,8 @@ def stripper(fields: list[tuple], targets, force: bool) -> Callable:
         if (own == "link" or own == "itemLink") and len(kids) == 1 and _is_void(kids[0]):
             return [{"type": "span", "value": ""}]
         out = members(v, model, field, apart, beside, but="children")
-        out["children"] = kids
+        if len(kids) != len(children) or not all(map(is_, kids, children)):
+            out = out | {"children": kids}
         return [out]
 
     def nodes(children: list, model, field) -> list:

@@ -1,5 +1,6 @@
 """What is picked from documents without unfolding them is what their rows say."""
 
+import gc
 import json
 import random
 
@@ -80,3 +81,10 @@ def test_stripped_edges(spark, docs):
     got = B.strip_documents(None, X.references(X.link_texts(docs, names), fields, unique=True), targets)
     same(got, B.strip_documents(rows, X.references(rows, fields), targets))
     assert got.where("NOT required AND to_id IN ('t1', 't2')").isEmpty() and not got.where("required AND to_id = 't1'").isEmpty()
+
+
+def test_the_collector_rests_during_a_pass():
+    seen = []
+    before = gc.isenabled()
+    assert list(X.without_cycles(lambda batches: (seen.append(gc.isenabled()) or b for b in batches))(iter([1, 2]))) == [1, 2]
+    assert seen == [False, False] and gc.isenabled() == before
